@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("features", "sequences", "evaluation", "splits")
+MODULES = ("features", "sequences", "evaluation", "splits", "modelling")
 
 
 def _load():

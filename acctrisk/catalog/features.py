@@ -8,6 +8,7 @@ from acctrisk.catalog.registry import query
 from acctrisk.functions import columns as C
 from acctrisk.operators import joins, nulls
 from acctrisk.plans import billing as B, mart, payments as P, profile, transactions as X
+from acctrisk.session import checkpointed
 from acctrisk.sources import views
 from acctrisk.sources.schemas import KEY, LABEL, PERIOD
 from acctrisk.sources.tables import submission
@@ -207,7 +208,7 @@ def default_rate_by_period(spark, sf_dir):
            round(sd / sqrt(n), 3) AS se
     FROM m JOIN c ON m.g = c.g JOIN t ON m.g = t.g""")
 def describe_by_group(spark, sf_dir):
-    balances = account_table(spark, sf_dir).select(LABEL, "max_balance").persist()
+    balances = checkpointed(account_table(spark, sf_dir).select(LABEL, "max_balance"))
     df = profile.describe_by(balances, LABEL, "max_balance")
     return rounded(rounded(df, "sd", "trimmed", "mad", "se", digits=3), "skew", "kurtosis", digits=6)
 

@@ -93,7 +93,7 @@ def remaining_balance(spark, sf_dir):
 
 
 @query("monthly_activity", """
-    SELECT ID_CPTE, avg(n) AS trx_per_month, round(regr_slope(amount, month), 4) AS amount_slope
+    SELECT ID_CPTE, avg(n) AS trx_per_month, CASE WHEN count(*) > 1 THEN round(regr_slope(amount, month), 4) END AS amount_slope
     FROM (SELECT ID_CPTE, year(TRANSACTION_DTTM) * 12 + month(TRANSACTION_DTTM) AS month, count(*) AS n,
                  avg(TRANSACTION_AMT) AS amount FROM transactions GROUP BY 1, 2)
     GROUP BY ID_CPTE""")
@@ -143,14 +143,18 @@ def recency_weighted(spark, sf_dir):
     return rounded(G.recency_weighted(views.billing(spark, sf_dir)), "recent_balance", digits=3)
 
 
-@query("rolling_trends", """
-    SELECT ID_CPTE, """ + ", ".join(f"""
-           round(regr_slope(CurrentTotalBalance, m) FILTER (WHERE back <= {k}), 3) AS slope_{k}""" for k in (12, 6, 3)) + """
+TREND = """
+           CASE WHEN count(*) > 1 THEN round(regr_slope(CurrentTotalBalance, m) FILTER (WHERE back <= {k})
+               / avg(CurrentTotalBalance) FILTER (WHERE back <= {k}), 9) END AS trend_{k}"""
+
+
+@query("rolling_trends", f"""
+    SELECT ID_CPTE, {", ".join(TREND.format(k=k) for k in (12, 6, 3))}
     FROM (SELECT ID_CPTE, CurrentTotalBalance, year(PERIODID_MY) * 12 + month(PERIODID_MY) AS m,
                  row_number() OVER (PARTITION BY ID_CPTE ORDER BY PERIODID_MY DESC) AS back FROM billing)
     GROUP BY ID_CPTE""")
 def rolling_trends(spark, sf_dir):
-    return rounded(G.rolling_trends(views.billing(spark, sf_dir)), "slope_12", "slope_6", "slope_3", digits=3)
+    return rounded(G.rolling_trends(views.billing(spark, sf_dir)), "trend_12", "trend_6", "trend_3")
 
 
 @query("last_zero_balance", """

@@ -15,18 +15,22 @@ def bin_index(value: Column, breaks: Column) -> Column:
 
 
 def with_position(df: DataFrame, value: Column, cuts: Column, size: int, name: str) -> DataFrame:
-    """Add the number of ``cuts`` below ``value``: a binary search written as columns.
+    """Add the number of ``cuts`` below ``value``, found by binary search.
 
     ``cuts`` is a sorted array of at most ``size`` entries, where ``size`` is one less than a
-    power of two. Each halving step is a projection of its own, so that no step is evaluated
-    twice and all of them stay inside one generated stage.
+    power of two. The halving steps are folded in one expression: written as a projection per
+    step they would make the optimizer derive constraints between all of them.
     """
     if size & (size + 1):
         raise ValueError("size must be one less than a power of two")
-    out = df.withColumns({"__value": value, "__cuts": cuts, name: F.lit(0)})
-    step = (size + 1) // 2
-    while step:
-        below = F.get(F.col("__cuts"), F.col(name) + (step - 1)) < F.col("__value")
-        out = out.withColumn(name, F.col(name) + F.when(below, step).otherwise(0))
-        step //= 2
-    return out.drop("__value", "__cuts")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length()))])
+    out = df.withColumns({"__value": value, "__cuts": cuts})
+    position = F.reduce(steps, F.lit(0), lambda at, step: at + F.when(
+        F.get(F.col("__cuts"), at + step - 1) < F.col("__value"), step).otherwise(0))
+    return out.withColumn(name, position).drop("__value", "__cuts")
+
+
+def with_bin(df: DataFrame, value: Column, breaks: Column, name: str = "bin") -> DataFrame:
+    """Add :func:`bin_index` for breaks that come from a scalar subquery."""
+    return (df.withColumn("__breaks", breaks)
+            .withColumn(name, bin_index(value, F.col("__breaks"))).drop("__breaks"))

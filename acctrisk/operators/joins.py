@@ -62,14 +62,17 @@ def statement_payments_join(statements: DataFrame, payments: DataFrame, how: str
     inside a month; accounts with very many payments are salted on top.
     """
     months = F.sequence(F.trunc("lag_period", "MM"), F.trunc(PERIOD, "MM"), F.expr("interval 1 month"))
-    bounded = statements.where(F.col("lag_period").isNotNull())
+    left = statements.where(F.col("lag_period").isNotNull()).withColumn("__month", F.explode(months))
+    right = payments.withColumn("__month", F.trunc("TRANSACTION_DTTM", "MM"))
+    on = [KEY, "__month"]
     hot = hot_keys(payments, KEY, hot_rows)
-    left = replicate(bounded.withColumn("__month", F.explode(months)), hot, KEY, salts)
-    right = scatter(payments.withColumn("__month", F.trunc("TRANSACTION_DTTM", "MM")), hot, KEY, salts,
-                    F.struct(*[c for c in payments.columns if c != KEY]))
+    if hot:
+        left = replicate(left, hot, KEY, salts)
+        right = scatter(right, hot, KEY, salts, F.struct("TRANSACTION_DTTM", "TRANSACTION_AMT"))
+        on = [*on, "salt"]
     inside = ((F.col("TRANSACTION_DTTM") >= F.col("lag_period").cast("timestamp"))
               & (F.col("TRANSACTION_DTTM") < F.col(PERIOD).cast("timestamp")))
-    matched = left.join(right, [KEY, "__month", "salt"]).where(inside).drop("__month", "salt")
+    matched = left.join(right, on).where(inside).drop("__month", "salt")
     if how == "inner":
         return matched
     if how != "left":

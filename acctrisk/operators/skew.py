@@ -8,34 +8,31 @@ HOT_ROWS = 1_000_000
 TRACKED = 1_000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, tracked: int = TRACKED) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, tracked: int = TRACKED) -> list:
     """The keys that hold at least ``rows`` rows, at most ``tracked`` of them.
 
     A frequent-items sketch reads only the key column and merges to one small row, so nothing
     is shuffled by key. The answer steers only *how* rows are spread: results are the same
-    whichever keys it lists.
+    whichever keys it lists. It is looked up before the plan is built because there are usually
+    none, and then the plan needs no second path.
     """
-    sketch = df.agg(F.expr(f"approx_top_k(`{key}`, {tracked}, {tracked * 20})").alias("top"))
-    return (
-        sketch.select(F.explode("top").alias("t"))
-        .where((F.col("t.count") >= rows) & F.col("t.item").isNotNull())
-        .select(F.col("t.item").alias(key), F.lit(True).alias("hot"))
-    )
+    top = f"approx_top_k(`{key}`, {tracked}, {tracked * 20})"
+    found = df.agg(F.expr(top).alias("top")).select(F.explode("top").alias("t"))
+    return [r[0] for r in found.where(F.col("t.count") >= rows).select("t.item").collect()
+            if r[0] is not None]
 
 
-def mark_hot(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Add the boolean column ``hot``. The list is bounded by the sketch, hence broadcast."""
-    return df.join(F.broadcast(hot), key, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+def is_hot(key: str, hot: list) -> Column:
+    return F.coalesce(F.col(key).isin(hot), F.lit(False))
 
 
-def scatter(df: DataFrame, hot: DataFrame, key: str, salts: int, spread: Column) -> DataFrame:
+def scatter(df: DataFrame, hot: list, key: str, salts: int, spread: Column) -> DataFrame:
     """Large side of a salted join: rows of hot keys get one of ``salts`` salts, others salt 0."""
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0)
-    return mark_hot(df, hot, key).withColumn("salt", salt.cast("int")).drop("hot")
+    salt = F.when(is_hot(key, hot), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0)
+    return df.withColumn("salt", salt.cast("int"))
 
 
-def replicate(df: DataFrame, hot: DataFrame, key: str, salts: int) -> DataFrame:
+def replicate(df: DataFrame, hot: list, key: str, salts: int) -> DataFrame:
     """Small side of a salted join: rows of hot keys once per salt, others once."""
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    return mark_hot(df, hot, key).withColumn(
-        "salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0))))).drop("hot")
+    return df.withColumn("salt", F.explode(F.when(is_hot(key, hot), every).otherwise(F.array(F.lit(0)))))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from acctrisk.functions.strict import Aggregates
 from acctrisk.operators.nulls import fill_with_zero
 from acctrisk.operators.quantiles import exact_quantiles
-from acctrisk.operators.skew import HOT_ROWS, hot_keys, mark_hot
+from acctrisk.operators.skew import HOT_ROWS, hot_keys, is_hot
 from acctrisk.sources.schemas import KEY
 
 FEATURES = (
@@ -25,20 +25,24 @@ def features(payments: DataFrame, skip_missing: bool = False, fill: bool = True,
     """
     a = Aggregates(skip_missing)
     amount, code = F.col("TRANSACTION_AMT"), F.col("PAYMENT_REVERSAL_XFLG")
-    marked = mark_hot(payments, hot_keys(payments, KEY, hot_rows), KEY)
-    usual = marked.groupBy(KEY).agg(
+    hot = hot_keys(payments, KEY, hot_rows)
+    complete = F.lit(skip_missing) | (F.count(amount) == F.count(F.lit(1)))
+    kept = F.when(~is_hot(KEY, hot), amount) if hot else amount
+    out = payments.groupBy(KEY).agg(
         a.mean(amount).alias("mean_payment"),
         a.max(amount).alias("max_payment"),
         a.min(amount).alias("min_payment"),
-        F.median(F.when(~F.col("hot"), amount)).alias("__median"),
-        (F.lit(skip_missing) | (F.count(amount) == F.count(F.lit(1)))).alias("__complete"),
+        F.when(complete, F.median(kept)).alias("median_payment"),
         F.count(F.lit(1)).alias("number_payments"),
         F.bool_or(code == "N").alias("reversedPayment"),
         F.bool_or(code == "").alias("noPayments"),
+        *([complete.alias("__complete")] if hot else []),
     )
-    heavy = exact_quantiles(marked.where("hot"), "TRANSACTION_AMT", [0.5], by=[KEY])
-    heavy = heavy.select(KEY, F.col("quantile").alias("__heavy"))
-    out = usual.join(heavy, KEY, "left").withColumn(
-        "median_payment", F.when(F.col("__complete"), F.coalesce("__median", "__heavy")))
+    if hot:
+        # At most as many rows as the list of hot keys is long.
+        heavy = exact_quantiles(payments.where(is_hot(KEY, hot)), "TRANSACTION_AMT", [0.5], by=[KEY])
+        heavy = heavy.select(KEY, F.col("quantile").alias("__heavy"))
+        out = out.join(F.broadcast(heavy), KEY, "left").withColumn(
+            "median_payment", F.coalesce("median_payment", F.when(F.col("__complete"), F.col("__heavy"))))
     out = out.select(KEY, *FEATURES)
     return fill_with_zero(out) if fill else out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from acctrisk.functions.columns import ratio
 from acctrisk.operators.quantiles import exact_quantiles
 from acctrisk.operators.running import running_totals
+from acctrisk.session import checkpointed
 
 # Fixed value: scales the median absolute deviation to the standard deviation of a normal.
 MAD_SCALE = 1.4826
@@ -41,7 +42,8 @@ def describe_by(df: DataFrame, group: str, value: str) -> DataFrame:
     """Sample statistics of a numeric column per group, for few but arbitrarily large groups.
 
     Moments are one aggregation; median, trimmed mean and median absolute deviation come from
-    distributed ranks. Skew and kurtosis use the sample variance.
+    distributed ranks. Skew and kurtosis use the sample variance. The column is read several
+    times, so pass a stored or checkpointed frame.
     """
     rows = df.select(group, F.col(value).cast("double").alias("x")).dropna()
     n = F.count(F.lit(1))
@@ -54,6 +56,7 @@ def describe_by(df: DataFrame, group: str, value: str) -> DataFrame:
         (F.stddev_samp("x") / F.sqrt(n)).alias("se"),
     )
     median = exact_quantiles(rows, "x", [0.5], by=[group]).select(group, F.col("quantile").alias("median"))
+    median = checkpointed(median)
     centre = median.agg(F.map_from_entries(F.collect_list(F.struct(group, "median")))).scalar()
     away = rows.select(group, F.abs(F.col("x") - F.element_at(centre, F.col(group))).alias("away"))
     mad = exact_quantiles(away, "away", [0.5], by=[group]).select(

@@ -122,12 +122,16 @@ def recency_weighted(billing: DataFrame) -> DataFrame:
 
 
 def rolling_trends(billing: DataFrame, spans: Sequence[int] = (12, 6, 3)) -> DataFrame:
-    """Slope of the balance over the last statements, as of each account's latest one."""
-    month = _month_number(PERIOD)
+    """Slope of the balance over the last statements, as of each account's latest one.
+
+    The slope per month is a share of the mean balance of those statements, so that accounts of
+    different size compare.
+    """
+    balance, month = F.col("CurrentTotalBalance"), _month_number(PERIOD)
     rows = billing.select(KEY, PERIOD, *[
-        F.regr_slope(F.col("CurrentTotalBalance"), month).over(last_rows(k)).alias(f"slope_{k}")
+        ratio(F.regr_slope(balance, month).over(last_rows(k)), F.avg(balance).over(last_rows(k))).alias(f"trend_{k}")
         for k in spans])
-    return rows.groupBy(KEY).agg(*latest({f"slope_{k}": F.col(f"slope_{k}") for k in spans}))
+    return rows.groupBy(KEY).agg(*latest({f"trend_{k}": F.col(f"trend_{k}") for k in spans}))
 
 
 def last_balance(billing: DataFrame) -> DataFrame:
