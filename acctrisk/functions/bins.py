@@ -1,36 +1,36 @@
-"""Right-closed bins and the search for a value among sorted cuts."""
+"""Bins between known cuts. Cuts are short lists, looked up before the plan is built."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def bin_index(value: Column, breaks: Column) -> Column:
+def bin_index(value: Column | str, breaks: Sequence[float]) -> Column:
     """Bin ``i`` holds ``breaks[i] < value <= breaks[i + 1]``, counted from 1.
 
     The smallest break itself and missing values belong to no bin: they get NULL, which
-    groups as a bin of its own. Meant for the few breaks of a report.
+    groups as a bin of its own. One comparison per break, meant for the few of a report.
     """
-    return F.nullif(F.size(F.filter(breaks, lambda b: b < value)), F.lit(0))
+    value = F.col(value) if isinstance(value, str) else value
+    below = sum((F.when(value > F.lit(b), 1).otherwise(0) for b in breaks), F.lit(0))
+    return F.nullif(below, F.lit(0))
 
 
-def with_position(df: DataFrame, value: Column, cuts: Column, size: int, name: str) -> DataFrame:
-    """Add the number of ``cuts`` below ``value``, found by binary search.
+def with_bucket(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
+    """Add the number of distinct ``cuts`` not above the value, by binary search.
 
-    ``cuts`` is a sorted array of at most ``size`` entries, where ``size`` is one less than a
-    power of two. The halving steps are folded in one expression: written as a projection per
-    step they would make the optimizer derive constraints between all of them.
+    The bucket never decreases as the value grows; missing values get bucket -1. It is never
+    NULL, so a join on it needs no NULL filter that would repeat the search.
     """
-    if size & (size + 1):
-        raise ValueError("size must be one less than a power of two")
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length()))])
-    out = df.withColumns({"__value": value, "__cuts": cuts})
-    position = F.reduce(steps, F.lit(0), lambda at, step: at + F.when(
-        F.get(F.col("__cuts"), at + step - 1) < F.col("__value"), step).otherwise(0))
-    return out.withColumn(name, position).drop("__value", "__cuts")
-
-
-def with_bin(df: DataFrame, value: Column, breaks: Column, name: str = "bin") -> DataFrame:
-    """Add :func:`bin_index` for breaks that come from a scalar subquery."""
-    return (df.withColumn("__breaks", breaks)
-            .withColumn(name, bin_index(value, F.col("__breaks"))).drop("__breaks"))
+    distinct = sorted({float(c) for c in cuts})
+    if not distinct:
+        return df.withColumn(name, F.lit(0))
+    search = Bucketizer(splits=[-math.inf, *distinct, math.inf], inputCol="__value", outputCol="__bucket",
+                        handleInvalid="keep")
+    found = search.transform(df.withColumn("__value", F.coalesce(F.col(column).cast("double"), F.lit(0.0))))
+    bucket = F.when(F.col(column).isNull(), -1).otherwise(F.col("__bucket").cast("int"))
+    return found.withColumn(name, F.coalesce(bucket, F.lit(-1))).drop("__value", "__bucket")

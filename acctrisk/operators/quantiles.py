@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from acctrisk.functions.bins import with_position
+from acctrisk.functions.bins import with_bucket
 from acctrisk.operators.running import BUCKETS, quantile_cuts
 
 
@@ -20,8 +20,7 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
     """
     by = list(by)
     values = df.select(*by, F.col(value).alias("v")).where(F.col("v").isNotNull())
-    rows = with_position(values, F.col("v"), quantile_cuts(values, "v", buckets).scalar(),
-                         buckets - 1, "bucket")
+    rows = with_bucket(values, "v", quantile_cuts(values, "v", buckets), "bucket")
     sizes = rows.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("rows"))
     group = Window.partitionBy(*by)
     ranked = sizes.select(
@@ -60,7 +59,7 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
     ).select(*by, "p", "quantile", "n")
 
 
-def quantile_breaks(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """One row holding the distinct, ascending breaks of ``bins`` equally filled bins."""
+def quantile_breaks(df: DataFrame, value: str, bins: int) -> list[float]:
+    """The distinct, ascending breaks of ``bins`` equally filled bins."""
     steps = [i / bins for i in range(bins + 1)]
-    return exact_quantiles(df, value, steps).agg(F.array_sort(F.collect_set("quantile")).alias("breaks"))
+    return sorted({r["quantile"] for r in exact_quantiles(df, value, steps).collect()})

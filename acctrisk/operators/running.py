@@ -2,7 +2,8 @@
 
 Rows are cut into value buckets, each bucket is totalled, the short table of bucket totals is
 accumulated, and the window runs inside the buckets. Any cuts give the same result, so
-approximate quantiles will do.
+approximate quantiles will do. The cuts are looked up when the plan is built: a few hundred
+numbers from one pass over the ordering column.
 """
 
 from __future__ import annotations
@@ -11,31 +12,45 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from acctrisk.functions.bins import with_position
+from acctrisk.functions.bins import with_bucket
 
 BUCKETS = 256
+EXACT_INTEGERS = 2 ** 53
 
 
-def quantile_cuts(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
-    """One row holding an array of ``buckets - 1`` ascending approximate quantiles."""
+def quantile_cuts(df: DataFrame, column: str, buckets: int = BUCKETS) -> list:
+    """``buckets - 1`` ascending approximate quantiles of a numeric column."""
     probabilities = ",".join(f"{i / buckets!r}D" for i in range(1, buckets))
-    return df.agg(F.expr(f"approx_percentile(`{column}`, array({probabilities}), 10000)").alias("cuts"))
+    return df.agg(F.expr(f"approx_percentile(`{column}`, array({probabilities}), 10000)")).first()[0] or []
+
+
+def _hot_values(cuts: Sequence) -> list:
+    """Values that fill two or more quantiles.
+
+    Integers beyond the exact range of a double share buckets with their neighbours; with
+    them no value is singled out.
+    """
+    if any(abs(c) >= EXACT_INTEGERS for c in cuts):
+        return []
+    return sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
 
 
 def _with_buckets(df: DataFrame, order: str, tie: str | None, buckets: int) -> tuple[DataFrame, list[str]]:
     """Add bucket columns whose order agrees with the order of ``(order, tie)``."""
-    cuts = quantile_cuts(df, order, buckets).scalar()
-    out = with_position(df, F.col(order), cuts, buckets - 1, "__bucket")
-    if tie is None:
-        return out, ["__bucket"]
-    # A value that fills two or more quantiles is a hot value. Its rows come last in their
-    # bucket, apart from the others, and are cut further by the tie-breaker.
-    nth = F.get(cuts, F.col("__bucket"))
-    hot = (nth == F.col(order)) & (F.get(cuts, F.col("__bucket") + 1) == F.col(order))
-    out = out.withColumn("__hot", F.coalesce(hot, F.lit(False)).cast("int"))
-    ties = quantile_cuts(df, tie, buckets).scalar()
-    out = with_position(out, F.when(F.col("__hot") == 1, F.col(tie)), ties, buckets - 1, "__tie_bucket")
-    return out, ["__bucket", "__hot", "__tie_bucket"]
+    cuts = quantile_cuts(df, order, buckets)
+    out = with_bucket(df, order, cuts, "__part")
+    hot = _hot_values(cuts) if tie is not None else []
+    if not hot:
+        return out, ["__part"]
+    # A hot value is itself a cut, so it is the smallest value of its bucket. Its rows are kept
+    # apart from the others, ahead of them, and are cut further by the tie-breaker.
+    is_hot = F.col(order).isin(hot)
+    out = with_bucket(out, tie, quantile_cuts(df.where(is_hot), tie, buckets), "__tie")
+    is_hot = F.coalesce(is_hot, F.lit(False))
+    return out.withColumns({
+        "__cold": F.when(is_hot, 0).otherwise(1),
+        "__tie": F.when(is_hot, F.col("__tie")).otherwise(-1),
+    }), ["__part", "__cold", "__tie"]
 
 
 def running_totals(df: DataFrame, order: str, totals: Mapping[str, Column], tie: str | None = None,
@@ -44,7 +59,7 @@ def running_totals(df: DataFrame, order: str, totals: Mapping[str, Column], tie:
 
     For every name in ``totals`` the column ``name`` holds the running sum and ``name_total``
     the sum of the whole group. Leave ``tie`` out only where ``order`` is unique within its
-    group. ``by`` is for few groups (models, labels): each bucket is a window partition.
+    group. ``by`` is for few groups (models, labels).
     """
     by = list(by)
     terms = df.withColumns({f"__{n}": c for n, c in totals.items()})
@@ -59,9 +74,13 @@ def running_totals(df: DataFrame, order: str, totals: Mapping[str, Column], tie:
     )
     inside = Window.partitionBy(*by, *parts).orderBy(*([order] if tie is None else [order, tie]))
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    matches = [rows[c].eqNullSafe(offsets[c]) for c in by] + [rows[c] == offsets[c] for c in parts]
+    condition = matches[0]
+    for m in matches[1:]:
+        condition = condition & m
+    # The table of offsets has at most buckets + buckets**2 / 2 rows per group.
+    joined = rows.join(F.broadcast(offsets), condition).drop(*[offsets[c] for c in (*by, *parts)])
     return (
-        # The table of offsets has at most buckets + buckets**2 / 2 rows per group.
-        rows.join(F.broadcast(offsets), [*by, *parts])
-        .withColumns({n: F.col(f"__{n}_before") + F.sum(f"__{n}").over(inside) for n in totals})
+        joined.withColumns({n: F.col(f"__{n}_before") + F.sum(f"__{n}").over(inside) for n in totals})
         .select(*df.columns, *totals, *[f"{n}_total" for n in totals])
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from acctrisk.functions.bins import with_bin
+from acctrisk.functions.bins import bin_index
 from acctrisk.functions.columns import at_threshold, ratio
 from acctrisk.operators.quantiles import quantile_breaks
 from acctrisk.operators.running import running_totals
@@ -97,8 +97,8 @@ def observed_by_bin(df: DataFrame, obs: str, mod1: str, mod2: str, var: str, bin
     The smallest value and missing values form the bin NULL.
     """
     require_columns(df, obs, mod1, mod2, var)
-    breaks = quantile_breaks(df, var, bins).scalar()
-    return with_bin(df, F.col(var), breaks).groupBy("bin").agg(*_measures(obs, mod1, mod2))
+    bin_ = bin_index(var, quantile_breaks(df, var, bins)).alias("bin")
+    return df.groupBy(bin_).agg(*_measures(obs, mod1, mod2))
 
 
 def observed_by_value(df: DataFrame, obs: str, mod1: str, mod2: str, var: str) -> DataFrame:
@@ -119,8 +119,8 @@ def double_lift(df: DataFrame, obs: str, mod1: str, mod2: str, bins: int = 10) -
     """Both models against the observed mean, per quantile bin of ``mod2 / mod1``."""
     require_columns(df, obs, mod1, mod2)
     sort_ratio = df.withColumn("sort_ratio", ratio(mod2, mod1))
-    breaks = quantile_breaks(sort_ratio, "sort_ratio", bins).scalar()
-    return with_bin(sort_ratio, F.col("sort_ratio"), breaks).groupBy("bin").agg(
+    bin_ = bin_index("sort_ratio", quantile_breaks(sort_ratio, "sort_ratio", bins)).alias("bin")
+    return sort_ratio.groupBy(bin_).agg(
         F.sum(obs).alias("observed_sum"),
         ratio(F.avg(mod1), F.avg(obs)).alias("model_1_lift"),
         ratio(F.avg(mod2), F.avg(obs)).alias("model_2_lift"),
