@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from acctrisk.models.base import Fit, Scorer, check_predictors
+from acctrisk.session import checkpointed
 from acctrisk.sources.schemas import KEY, LABEL
 
 BLOCK = 20_000
@@ -55,8 +56,8 @@ class Cells:
     def __init__(self, points: DataFrame, most: int, pivots: int):
         seeds = points.orderBy(F.xxhash64("point"), "point").limit(pivots).select("point").collect()
         self.pivots = np.array([r["point"] for r in seeds], dtype="float64")
-        self.assigned = points.withColumn("at", self._nearest()(F.col("point"))).select(
-            "point", "n", "pos", "at.cell", "at.away")
+        self.assigned = checkpointed(points.withColumn("at", self._nearest()(F.col("point"))).select(
+            "point", "n", "pos", "at.cell", "at.away"))
         # The nearest `most` points of a pivot; the row limit is applied before the shuffle.
         inner = Window.partitionBy("cell").orderBy("away", "point")
         near = (self.assigned.select("cell", "away", "point", "n", F.row_number().over(inner).alias("r"))
@@ -108,26 +109,21 @@ def _nearest_in_block(most: int):
     """For each row of a block pair its nearest training points until ``most`` rows are counted."""
 
     def search(rows: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        found = {"qid": [], "squared": [], "n": [], "pos": []}
-        if len(rows) and len(train):
-            points, n, pos = _stack(train["point"]), train["n"].to_numpy(), train["pos"].to_numpy()
-            step = max(1, 4_000_000 // len(points))
-            for start in range(0, len(rows), step):
-                part = rows.iloc[start:start + step]
-                squared = squared_distances(_stack(part["point"]), points)
-                k = min(most, len(points)) - 1
-                limit = np.partition(squared, k, axis=1)[:, k]
-                for qid, distances, furthest in zip(part["qid"], squared, limit):
-                    near = np.flatnonzero(distances <= furthest)
-                    value, group = np.unique(distances[near], return_inverse=True)
-                    count = np.bincount(group, n[near]).astype("int64")
-                    positive = np.bincount(group, pos[near]).astype("int64")
-                    keep = np.concatenate(([0], np.cumsum(count)[:-1])) < most
-                    found["qid"].extend([qid] * int(keep.sum()))
-                    found["squared"].extend(value[keep])
-                    found["n"].extend(count[keep])
-                    found["pos"].extend(positive[keep])
-        return pd.DataFrame(found)
+        if not len(rows) or not len(train):
+            return pd.DataFrame({"qid": [], "squared": [], "n": [], "pos": []})
+        points, n, pos = _stack(train["point"]), train["n"].to_numpy(), train["pos"].to_numpy()
+        asked, k = _stack(rows["point"]), min(most, len(points)) - 1
+        step, parts = max(1, 4_000_000 // len(points)), []
+        for start in range(0, len(asked), step):
+            squared = squared_distances(asked[start:start + step], points)
+            furthest = np.partition(squared, k, axis=1)[:, k]
+            row, col = np.nonzero(squared <= furthest[:, None])
+            parts.append(pd.DataFrame({
+                "row": row + start, "squared": squared[row, col], "n": n[col], "pos": pos[col]}))
+        near = pd.concat(parts).groupby(["row", "squared"], as_index=False).sum()
+        near = near[near.groupby("row")["n"].cumsum() - near["n"] < most]
+        return pd.DataFrame({"qid": rows["qid"].to_numpy()[near["row"]], "squared": near["squared"].to_numpy(),
+                             "n": near["n"].to_numpy(), "pos": near["pos"].to_numpy()})
 
     return search
 
@@ -139,10 +135,11 @@ def neighbours(rows: DataFrame, points: DataFrame, most: int, block: int = BLOCK
     ``rows`` has ``qid`` and ``point``; ``points`` has distinct ``point`` with ``n`` rows, ``pos``
     of them positive. Distances are listed until ``most`` rows are counted.
     """
+    points = checkpointed(points)
     if pivots is None:
-        pivots = int(min(256, max(1, points.count() // 500)))
+        pivots = int(min(256, max(1, points.count() // 1000)))
     cells = Cells(points, most, pivots)
-    spread = rows.withColumn("cell", F.explode(cells.candidates()(F.col("point"))))
+    spread = checkpointed(rows.withColumn("cell", F.explode(cells.candidates()(F.col("point")))))
     visits = {r["cell"]: r["visits"] for r in spread.groupBy("cell").agg(F.count(F.lit(1)).alias("visits")).collect()}
 
     def blocks(sizes: dict | np.ndarray) -> Column:

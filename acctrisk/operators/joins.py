@@ -6,9 +6,9 @@ from collections.abc import Mapping
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from acctrisk.operators.skew import hot_keys, replicate, scatter
+from acctrisk.operators.skew import HOT_ROWS, hot_keys, replicate, scatter
 from acctrisk.sources.schemas import KEY, PERIOD
 
 
@@ -52,31 +52,49 @@ def side_by_side(scores: Mapping[str, DataFrame], key: str = KEY, score: str = "
     return long.groupBy(key).pivot("name", list(scores)).agg(F.first("value"))
 
 
+def closing_statements(statements: DataFrame, days: DataFrame) -> DataFrame:
+    """``days`` (key, ``day``, ...) with the struct ``closing``: the statement each day falls to.
+
+    That is the first statement later than the day, if it has a previous one and the day is not
+    before it. Statements and days are merged in one ordered pass per account; both are bounded
+    by the calendar, whatever the number of payments.
+    """
+    dated = statements.select(
+        KEY, F.col(PERIOD).alias("day"), F.lit(0).alias("__is_day"),
+        F.struct(*[c for c in statements.columns if c != KEY]).alias("__statement"))
+    both = dated.unionByName(days.withColumn("__is_day", F.lit(1)), allowMissingColumns=True)
+    # On a shared day the statement comes first, so the payment falls to the next one.
+    ahead = Window.partitionBy(KEY).orderBy("day", "__is_day").rowsBetween(
+        Window.currentRow, Window.unboundedFollowing)
+    closing = F.first("__statement", ignorenulls=True).over(ahead)
+    return (both.withColumn("closing", closing)
+            .where((F.col("__is_day") == 1) & F.col("closing.lag_period").isNotNull()
+                   & (F.col("day") >= F.col("closing.lag_period")))
+            .drop("__is_day", "__statement"))
+
+
 def statement_payments_join(statements: DataFrame, payments: DataFrame, how: str = "inner",
-                            salts: int = 16, hot_rows: int = 1_000_000) -> DataFrame:
+                            salts: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each statement with the payments made since the previous one.
 
-    ``statements`` has the key, the period and ``lag_period``; a payment belongs to a statement
-    when ``lag_period <= TRANSACTION_DTTM < period``. The statement interval is spread over the
-    calendar months it touches, so account and month hash both sides and the bounds are checked
-    inside a month; accounts with very many payments are salted on top.
+    ``statements`` has the key, the period (a date) and ``lag_period``; a payment belongs to a
+    statement when ``lag_period <= TRANSACTION_DTTM < period``. The interval is resolved once per
+    account and day, so the payments themselves meet an equi-join on account and day, which
+    spreads an account over its days; accounts with very many payments are salted on top.
     """
-    months = F.sequence(F.trunc("lag_period", "MM"), F.trunc(PERIOD, "MM"), F.expr("interval 1 month"))
-    left = statements.where(F.col("lag_period").isNotNull()).withColumn("__month", F.explode(months))
-    right = payments.withColumn("__month", F.trunc("TRANSACTION_DTTM", "MM"))
-    on = [KEY, "__month"]
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    dated = payments.withColumn("day", F.to_date("TRANSACTION_DTTM"))
+    assigned = closing_statements(statements, dated.select(KEY, "day").distinct())
+    on, left, right = [KEY, "day"], assigned, dated
     hot = hot_keys(payments, KEY, hot_rows)
     if hot:
         left = replicate(left, hot, KEY, salts)
-        right = scatter(right, hot, KEY, salts, F.struct("TRANSACTION_DTTM", "TRANSACTION_AMT"))
+        right = scatter(right, hot, KEY, salts, F.struct(*[c for c in payments.columns if c != KEY]))
         on = [*on, "salt"]
-    inside = ((F.col("TRANSACTION_DTTM") >= F.col("lag_period").cast("timestamp"))
-              & (F.col("TRANSACTION_DTTM") < F.col(PERIOD).cast("timestamp")))
-    matched = left.join(right, on).where(inside).drop("__month", "salt")
+    matched = right.join(left, on).select(KEY, "closing.*", *[c for c in payments.columns if c != KEY])
     if how == "inner":
         return matched
-    if how != "left":
-        raise ValueError("how must be 'inner' or 'left'")
-    paid = matched.select(KEY, PERIOD).distinct()
+    paid = assigned.select(KEY, F.col(f"closing.{PERIOD}").alias(PERIOD))
     unpaid = statements.join(paid, [KEY, PERIOD], "left_anti")
     return matched.unionByName(unpaid, allowMissingColumns=True)

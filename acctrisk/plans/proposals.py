@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from acctrisk.functions.columns import TRANSACTION_TYPES, flag, guarded_ratio, ratio
+from acctrisk.operators.joins import closing_statements
 from acctrisk.operators.running import running_totals
 from acctrisk.operators.sequence import (
     change, change_sign, history, last_rows, latest, with_previous_period)
@@ -35,28 +36,17 @@ def limit_increases(billing: DataFrame) -> DataFrame:
 
 
 def paid_by_statement(billing: DataFrame, payments: DataFrame) -> DataFrame:
-    """Statements with the sum of the payments made since the previous statement.
+    """Statements that have a previous one, with the sum of the payments made since then.
 
     Payments are first totalled per account and day, which is as fine as a statement date.
-    A day is then ranked among the account's statements in one ordered pass: the statement
-    that closes its interval is the first one later than the day.
     """
-    statements = with_previous_period(billing).select(
-        KEY, PERIOD, "lag_period", "CurrentTotalBalance", F.lit(None).cast("long").alias("paid"),
-        F.col(PERIOD).alias("day"), F.lit(0).alias("is_payment"))
+    statements = with_previous_period(billing).select(KEY, PERIOD, "lag_period", "CurrentTotalBalance")
     days = payments.groupBy(KEY, F.to_date("TRANSACTION_DTTM").alias("day")).agg(
-        F.sum("TRANSACTION_AMT").alias("paid")).withColumn("is_payment", F.lit(1))
-    both = statements.unionByName(days, allowMissingColumns=True)
-    # On a shared day the statement comes first, so the payment falls into the next interval.
-    ahead = Window.partitionBy(KEY).orderBy("day", "is_payment").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing)
-    closing = F.first(PERIOD, ignorenulls=True).over(ahead)
-    return both.withColumn("closing", closing).where(F.col("closing").isNotNull()).groupBy(
-        KEY, F.col("closing").alias(PERIOD)).agg(
-        F.max("lag_period").alias("lag_period"),
-        F.max("CurrentTotalBalance").alias("CurrentTotalBalance"),
-        F.coalesce(F.sum("paid"), F.lit(0)).alias("paid"),
-    ).where(F.col("lag_period").isNotNull())
+        F.sum("TRANSACTION_AMT").alias("paid"))
+    paid = closing_statements(statements, days).groupBy(KEY, F.col(f"closing.{PERIOD}").alias(PERIOD)).agg(
+        F.sum("paid").alias("paid"))
+    return (statements.where(F.col("lag_period").isNotNull()).join(paid, [KEY, PERIOD], "left")
+            .withColumn("paid", F.coalesce("paid", F.lit(0))))
 
 
 def payback(billing: DataFrame, payments: DataFrame) -> DataFrame:
