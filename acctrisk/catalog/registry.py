@@ -201,8 +201,11 @@ CTES: dict[str, str] = {
         WHERE s.lag_period IS NOT NULL
         GROUP BY s.ID_CPTE, s.PERIODID_MY, s.CurrentTotalBalance""",
     "hashed": """
-        SELECT *, (mixed * 1103515245 + 12345) % 2147483648 AS h
-        FROM (SELECT *, (once >> 16) + (once % 65536) * 32768 AS mixed
-              FROM (SELECT *, (((ID_CPTE + seed) % 2147483648) * 1103515245 + 12345) % 2147483648 AS once
-                    FROM performance, (SELECT unnest([0, 8, 1000, 2000, 3000, 7919, 15838]) AS seed)))""",
+        SELECT *, (swapped * 1103515245 + 12345) % 2147483648 AS h
+        FROM (SELECT *, (b >> 16) + (b % 65536) * 32768 AS swapped
+              FROM (SELECT *, (xor((a >> 16) + (a % 65536) * 32768, (seed * 1103515245 + 12345) % 2147483648)
+                               * 1103515245 + 12345) % 2147483648 AS b
+                    FROM (SELECT *, ((ID_CPTE % 2147483648) * 1103515245 + 12345) % 2147483648 AS a
+                          FROM performance,
+                               (SELECT CAST(unnest([0, 8, 1000, 2000, 7919, 15838]) AS BIGINT) AS seed))))""",
 }

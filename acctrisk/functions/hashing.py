@@ -12,16 +12,24 @@ INCREMENT = 12345
 MODULUS = 2147483648
 
 
+def _step(x: Column) -> Column:
+    return (x * MULTIPLIER + INCREMENT) % MODULUS
+
+
+def _swap(x: Column) -> Column:
+    """Exchange the high and the low bits: the low bits of a congruential step are poor."""
+    return F.shiftright(x, 16) + (x % 65536) * 32768
+
+
 def key_hash(key: Column, seed: int = 0) -> Column:
     """A BIGINT in ``[0, 2**31)``.
 
-    Keys are folded before the multiplication so that it cannot overflow, and the step is
-    taken twice: after one step consecutive keys still differ by a constant.
+    Keys are folded first so that no multiplication can overflow. The seed enters by exclusive
+    or between two steps, so that numbers of different seeds are unrelated.
     """
-    folded = F.pmod(key + F.lit(seed).cast("long"), F.lit(MODULUS))
-    once = (folded * MULTIPLIER + INCREMENT) % MODULUS
-    mixed = F.shiftright(once, 16) + (once % 65536) * 32768
-    return (mixed * MULTIPLIER + INCREMENT) % MODULUS
+    salt = (seed * MULTIPLIER + INCREMENT) % MODULUS
+    first = _swap(_step(F.pmod(key, F.lit(MODULUS))))
+    return _step(_swap(_step(first.bitwiseXOR(F.lit(salt).cast("long")))))
 
 
 def uniform(key: Column, seed: int = 0) -> Column:

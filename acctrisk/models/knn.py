@@ -169,8 +169,8 @@ def neighbours(rows: DataFrame, points: DataFrame, most: int, block: int = BLOCK
 def class_shares(near: DataFrame, ks: Sequence[int], weighted: bool = False) -> DataFrame:
     """Share of positives among the k nearest rows: ``qid, knn_<k>``.
 
-    With ``weighted`` a neighbour counts with one minus its distance over that of the next
-    further row. A point has at most ``max(ks) + 1`` distances per block it visited.
+    With ``weighted`` a neighbour counts with one minus its distance over that of the row ranked
+    k + 1. A point has at most ``max(ks) + 1`` distances per block it visited.
     """
     upto = Window.partitionBy("qid").orderBy("squared")
     ranked = near.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("away", F.sqrt("squared"))
@@ -180,7 +180,7 @@ def class_shares(near: DataFrame, ks: Sequence[int], weighted: bool = False) ->
         return ranked.groupBy("qid").agg(*[(among(k, "pos") / among(k, "n")).alias(f"knn_{k}") for k in ks])
     out = ranked
     for k in ks:
-        edge = F.min(F.when(F.col("before") >= k, F.col("away"))).over(Window.partitionBy("qid"))
+        edge = F.min(F.when(F.col("before") + F.col("n") > k, F.col("away"))).over(Window.partitionBy("qid"))
         out = out.withColumn(f"w_{k}", F.when(
             F.col("before") < k, F.coalesce(1 - F.try_divide(F.col("away"), edge), F.lit(1.0))).otherwise(0.0))
     return out.groupBy("qid").agg(*[

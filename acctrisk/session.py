@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", name: str = "acctr
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
