@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from acctrisk.functions.bins import with_bucket
-from acctrisk.operators.running import BUCKETS, quantile_cuts
+from acctrisk.operators.running import bucket_count, quantile_cuts
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
-                    by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+                    by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per group: columns ``by``, ``p``, ``quantile``, ``n``.
 
     Bucket counts tell which bucket holds each wanted rank. Only the rows of those buckets are
@@ -20,6 +20,7 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
     """
     by = list(by)
     values = df.select(*by, F.col(value).alias("v")).where(F.col("v").isNotNull())
+    buckets = buckets or bucket_count(df.sparkSession)
     rows = with_bucket(values, "v", quantile_cuts(values, "v", buckets), "bucket")
     sizes = rows.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("rows"))
     group = Window.partitionBy(*by)
@@ -59,7 +60,14 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
     ).select(*by, "p", "quantile", "n")
 
 
-def quantile_breaks(df: DataFrame, value: str, bins: int) -> list[float]:
-    """The distinct, ascending breaks of ``bins`` equally filled bins."""
+def quantile_breaks(df: DataFrame, value: str, bins: int, approximate: bool = False) -> list[float]:
+    """The distinct, ascending breaks of ``bins`` equally filled bins.
+
+    ``approximate`` reads the column once instead of three times, with a rank error of 0.01 %.
+    """
+    if approximate:
+        cuts = quantile_cuts(df, value, bins)
+        ends = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+        return sorted({float(b) for b in (*cuts, *ends) if b is not None})
     steps = [i / bins for i in range(bins + 1)]
     return sorted({r["quantile"] for r in exact_quantiles(df, value, steps).collect()})

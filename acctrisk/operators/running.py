@@ -8,53 +8,65 @@ numbers from one pass over the ordering column.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from acctrisk.functions.bins import with_bucket
 
-BUCKETS = 256
+LEAST_BUCKETS, MOST_BUCKETS = 256, 4096
 EXACT_INTEGERS = 2 ** 53
 
 
-def quantile_cuts(df: DataFrame, column: str, buckets: int = BUCKETS) -> list:
+def bucket_count(spark: SparkSession) -> int:
+    """Enough buckets to occupy the shuffle partitions of the cluster."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * partitions))
+
+
+def quantile_cuts(df: DataFrame, column: str, buckets: int) -> list:
     """``buckets - 1`` ascending approximate quantiles of a numeric column."""
     probabilities = ",".join(f"{i / buckets!r}D" for i in range(1, buckets))
     return df.agg(F.expr(f"approx_percentile(`{column}`, array({probabilities}), 10000)")).first()[0] or []
 
 
-def _hot_values(cuts: Sequence) -> list:
-    """Values that fill two or more quantiles.
+def _hot_values(cuts: Sequence) -> dict:
+    """Values that fill two or more quantiles, with the number of quantiles they fill.
 
     Integers beyond the exact range of a double share buckets with their neighbours; with
     them no value is singled out.
     """
     if any(abs(c) >= EXACT_INTEGERS for c in cuts):
-        return []
-    return sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+        return {}
+    return {value: filled for value, filled in Counter(cuts).items() if filled > 1}
 
 
 def _with_buckets(df: DataFrame, order: str, tie: str | None, buckets: int) -> tuple[DataFrame, list[str]]:
     """Add bucket columns whose order agrees with the order of ``(order, tie)``."""
     cuts = quantile_cuts(df, order, buckets)
     out = with_bucket(df, order, cuts, "__part")
-    hot = _hot_values(cuts) if tie is not None else []
+    hot = _hot_values(cuts) if tie is not None else {}
     if not hot:
         return out, ["__part"]
     # A hot value is itself a cut, so it is the smallest value of its bucket. Its rows are kept
-    # apart from the others, ahead of them, and are cut further by the tie-breaker.
-    is_hot = F.col(order).isin(hot)
-    out = with_bucket(out, tie, quantile_cuts(df.where(is_hot), tie, buckets), "__tie")
-    is_hot = F.coalesce(is_hot, F.lit(False))
-    return out.withColumns({
-        "__cold": F.when(is_hot, 0).otherwise(1),
-        "__tie": F.when(is_hot, F.col("__tie")).otherwise(-1),
-    }), ["__part", "__cold", "__tie"]
+    # apart from the others, ahead of them, and are cut by the tie-breaker into about as many
+    # pieces as it fills quantiles (the next power of two).
+    levels: dict[int, list] = {}
+    for value, filled in hot.items():
+        levels.setdefault((filled - 1).bit_length(), []).append(value)
+    finest = max(levels)
+    is_hot = F.coalesce(F.col(order).isin(list(hot)), F.lit(False))
+    out = with_bucket(out, tie, quantile_cuts(df.where(is_hot), tie, 1 << finest), "__fine")
+    piece = F.lit(-1)
+    for level, values in levels.items():
+        piece = F.when(F.col(order).isin(values), F.shiftright("__fine", finest - level)).otherwise(piece)
+    out = out.withColumns({"__cold": F.when(is_hot, 0).otherwise(1), "__tie": piece}).drop("__fine")
+    return out, ["__part", "__cold", "__tie"]
 
 
 def running_totals(df: DataFrame, order: str, totals: Mapping[str, Column], tie: str | None = None,
-                   by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+                   by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Inclusive running sums in ascending ``(order, tie)``, separately for each ``by`` group.
 
     For every name in ``totals`` the column ``name`` holds the running sum and ``name_total``
@@ -63,7 +75,7 @@ def running_totals(df: DataFrame, order: str, totals: Mapping[str, Column], tie:
     """
     by = list(by)
     terms = df.withColumns({f"__{n}": c for n, c in totals.items()})
-    rows, parts = _with_buckets(terms, order, tie, buckets)
+    rows, parts = _with_buckets(terms, order, tie, buckets or bucket_count(df.sparkSession))
     sums = rows.groupBy(*by, *parts).agg(*[F.sum(f"__{n}").alias(f"__{n}_sum") for n in totals])
     group = Window.partitionBy(*by)
     before = group.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
@@ -78,7 +90,7 @@ def running_totals(df: DataFrame, order: str, totals: Mapping[str, Column], tie:
     condition = matches[0]
     for m in matches[1:]:
         condition = condition & m
-    # The table of offsets has at most buckets + buckets**2 / 2 rows per group.
+    # The table of offsets has at most four times as many rows per group as there are buckets.
     joined = rows.join(F.broadcast(offsets), condition).drop(*[offsets[c] for c in (*by, *parts)])
     return (
         joined.withColumns({n: F.col(f"__{n}_before") + F.sum(f"__{n}").over(inside) for n in totals})

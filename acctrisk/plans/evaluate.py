@@ -91,13 +91,14 @@ def _measures(obs: str, mod1: str, mod2: str) -> list[Column]:
     ]
 
 
-def observed_by_bin(df: DataFrame, obs: str, mod1: str, mod2: str, var: str, bins: int = 20) -> DataFrame:
+def observed_by_bin(df: DataFrame, obs: str, mod1: str, mod2: str, var: str, bins: int = 20,
+                    approximate: bool = False) -> DataFrame:
     """Observed and predicted means per quantile bin of a numeric column.
 
     The smallest value and missing values form the bin NULL.
     """
     require_columns(df, obs, mod1, mod2, var)
-    bin_ = bin_index(var, quantile_breaks(df, var, bins)).alias("bin")
+    bin_ = bin_index(var, quantile_breaks(df, var, bins, approximate)).alias("bin")
     return df.groupBy(bin_).agg(*_measures(obs, mod1, mod2))
 
 
@@ -115,11 +116,13 @@ def observed_vs_predicted(df: DataFrame, obs: str, mod1: str, mod2: str, var: st
     return observed_by_value(df, obs, mod1, mod2, var)
 
 
-def double_lift(df: DataFrame, obs: str, mod1: str, mod2: str, bins: int = 10) -> DataFrame:
+def double_lift(df: DataFrame, obs: str, mod1: str, mod2: str, bins: int = 10,
+                approximate: bool = False) -> DataFrame:
     """Both models against the observed mean, per quantile bin of ``mod2 / mod1``."""
     require_columns(df, obs, mod1, mod2)
     sort_ratio = df.withColumn("sort_ratio", ratio(mod2, mod1))
-    bin_ = bin_index("sort_ratio", quantile_breaks(sort_ratio, "sort_ratio", bins)).alias("bin")
+    breaks = quantile_breaks(sort_ratio, "sort_ratio", bins, approximate)
+    bin_ = bin_index("sort_ratio", breaks).alias("bin")
     return sort_ratio.groupBy(bin_).agg(
         F.sum(obs).alias("observed_sum"),
         ratio(F.avg(mod1), F.avg(obs)).alias("model_1_lift"),

@@ -45,4 +45,5 @@ def features(payments: DataFrame, skip_missing: bool = False, fill: bool = True,
         out = out.join(F.broadcast(heavy), KEY, "left").withColumn(
             "median_payment", F.coalesce("median_payment", F.when(F.col("__complete"), F.col("__heavy"))))
     out = out.select(KEY, *FEATURES)
-    return fill_with_zero(out) if fill else out
+    # The key is left as it is: a filled key would no longer count as the partitioning key.
+    return fill_with_zero(out, FEATURES) if fill else out

@@ -104,6 +104,11 @@ def test_exact_quantiles_per_group(spark, buckets):
         assert r.quantile == pytest.approx(np.quantile([v for g, v in data if g == r.g], r.p))
 
 
+def test_approximate_breaks_are_close(spark):
+    df = spark.range(10_001).select(F.col("id").cast("double").alias("v"))
+    assert quantiles.quantile_breaks(df, "v", 4, approximate=True) == pytest.approx([0, 2500, 5000, 7500, 10_000], abs=5)
+
+
 def test_quantiles_of_nothing(spark):
     assert quantiles.exact_quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]).count() == 0
 
