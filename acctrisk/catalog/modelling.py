@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acctrisk.catalog.features import account_table, rounded
 from acctrisk.catalog.registry import query
-from acctrisk.models import bayes, knn, linear, stacking, trees
+from acctrisk.models import bayes, kernel_bayes, knn, linear, stacking, trees
 from acctrisk.models.base import Fit, settled
 from acctrisk.operators import splits
 from acctrisk.plans import mart
@@ -51,6 +51,7 @@ _register("fit_svm_linear", lambda: linear.svm_linear(FULL24))
 _register("fit_svm_rff", lambda: linear.svm_radial(FULL24))
 _register("fit_gam_spline", lambda: linear.additive(FULL24))
 _register("fit_mlp_avg", lambda: linear.network_average(NET16, networks=3, max_iter=50))
+_register("nb_kernel", lambda: kernel_bayes.kernel(FULL24))
 _register("nb_model_avg", lambda: bayes.model_averaged(mart.BAYES14))
 _register("adaboost", lambda: trees.adaptive(FULL24, rounds=5))
 _register("bagged_adaboost", lambda: trees.bagged_adaptive(FULL24, bags=2, rounds=3))

@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, functions as F
 
 from acctrisk.functions.columns import at_threshold
-from acctrisk.models import bayes, knn, linear, trees
+from acctrisk.models import bayes, kernel_bayes, knn, linear, trees
 from acctrisk.models.base import Fit, assembled
 from acctrisk.operators.joins import side_by_side, union_all
 from acctrisk.operators.splits import in_fold, outside_fold
@@ -36,6 +36,7 @@ def registry(rounds: int = 300, small_rounds: int = 100, trees_: int = 100, netw
         "network_average": linear.network_average(NET16, networks=networks),
         **{f"knn_{k}": knn.nearest(FULL24, k) for k in (2, 4, 8, 16)},
         "bayes": bayes.gaussian(FULL24),
+        "bayes_kernel": kernel_bayes.kernel(FULL24),
         "bayes_averaged": bayes.model_averaged(BAYES14),
     }
 
