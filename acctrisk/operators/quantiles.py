@@ -10,6 +10,9 @@ from acctrisk.functions.bins import with_bucket
 from acctrisk.operators.running import bucket_count, quantile_cuts
 
 
+MOST_TARGETS = 10_000
+
+
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
                     by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per group: columns ``by``, ``p``, ``quantile``, ``n``.
@@ -18,16 +21,17 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
     counted by value and ranked; a bucket is a small slice of the table, however large a
     group is. Missing values are left out.
     """
-    by = list(by)
-    values = df.select(*by, F.col(value).alias("v")).where(F.col("v").isNotNull())
-    buckets = buckets or bucket_count(df.sparkSession)
-    rows = with_bucket(values, "v", quantile_cuts(values, "v", buckets), "bucket")
-    sizes = rows.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("rows"))
-    group = Window.partitionBy(*by)
+    # As a struct the group is never NULL, so the joins below keep a missing group.
+    group = F.struct(*by) if by else F.struct(F.lit(0))
+    values = df.select(group.alias("g"), F.col(value).alias("v")).where(F.col("v").isNotNull())
+    cuts = quantile_cuts(values, "v", buckets or bucket_count(df.sparkSession))
+    rows, place = with_bucket(values, "v", cuts, "bucket"), ["g", "bucket"]
+    sizes = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("rows"))
+    whole = Window.partitionBy("g")
     ranked = sizes.select(
-        *by, "bucket", "rows",
-        (F.sum("rows").over(group.orderBy("bucket")) - F.col("rows")).alias("before"),
-        F.sum("rows").over(group).alias("n"),
+        *place, "rows",
+        (F.sum("rows").over(whole.orderBy("bucket")) - F.col("rows")).alias("before"),
+        F.sum("rows").over(whole).alias("n"),
     )
     wanted = (
         ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
@@ -37,27 +41,35 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("rows")))
     )
     # At most two ranks per probability: one short array for each bucket that is needed.
-    targets = wanted.groupBy(*by, "bucket").agg(
+    targets = _broadcast_if_few(wanted.groupBy(*place).agg(
         F.first("before").alias("before"), F.first("n").alias("n"),
-        F.collect_list(F.struct("p", "at", "rank")).alias("targets"))
-    targets = targets.withColumn("targets", F.array_sort("targets"))
+        F.collect_list(F.struct("p", "at", "rank")).alias("targets")))
     counted = (
-        rows.join(targets.select(*by, "bucket"), [*by, "bucket"], "left_semi")
-        .groupBy(*by, "bucket", "v").agg(F.count(F.lit(1)).alias("copies"))
+        rows.join(targets.select(*place), place, "left_semi")
+        .groupBy(*place, "v").agg(F.count(F.lit(1)).alias("copies"))
     )
-    last = F.sum("copies").over(Window.partitionBy(*by, "bucket").orderBy("v"))
+    last = F.sum("copies").over(Window.partitionBy(*place).orderBy("v"))
     located = (
         counted.withColumn("last", last)
-        .join(targets, [*by, "bucket"])
+        .join(targets, place)
         .withColumn("hit", F.explode(F.filter("targets", lambda t: (
             (t["rank"] >= F.col("before") + F.col("last") - F.col("copies"))
             & (t["rank"] < F.col("before") + F.col("last"))))))
-        .select(*by, "n", "hit.p", "hit.at", "v")
+        .select("g", "n", "hit.p", "hit.at", "v")
     )
     low, high = F.min("v").cast("double"), F.max("v").cast("double")
-    return located.groupBy(*by, "n", "p", "at").agg(
+    return located.groupBy("g", "n", "p", "at").agg(
         (low + (high - low) * (F.col("at") - F.floor("at"))).alias("quantile")
-    ).select(*by, "p", "quantile", "n")
+    ).select(*[F.col(f"g.{c}").alias(c) for c in by], "p", "quantile", "n")
+
+
+def _broadcast_if_few(targets: DataFrame) -> DataFrame:
+    """With few targets, fix them and broadcast them: rows of other buckets are then dropped
+    where they are read. With many groups the rows are shuffled to their targets instead."""
+    found = targets.limit(MOST_TARGETS + 1).collect()
+    if len(found) > MOST_TARGETS:
+        return targets
+    return F.broadcast(targets.sparkSession.createDataFrame(found, targets.schema))
 
 
 def quantile_breaks(df: DataFrame, value: str, bins: int, approximate: bool = False) -> list[float]:

@@ -71,27 +71,26 @@ def running_totals(df: DataFrame, order: str, totals: Mapping[str, Column], tie:
 
     For every name in ``totals`` the column ``name`` holds the running sum and ``name_total``
     the sum of the whole group. Leave ``tie`` out only where ``order`` is unique within its
-    group. ``by`` is for few groups (models, labels).
+    group.
     """
-    by = list(by)
-    terms = df.withColumns({f"__{n}": c for n, c in totals.items()})
+    # As a struct the group is never NULL, so plain equality matches missing groups too.
+    terms = df.withColumns({**{f"__{n}": c for n, c in totals.items()},
+                            "__group": F.struct(*by) if by else F.struct(F.lit(0))})
     rows, parts = _with_buckets(terms, order, tie, buckets or bucket_count(df.sparkSession))
-    sums = rows.groupBy(*by, *parts).agg(*[F.sum(f"__{n}").alias(f"__{n}_sum") for n in totals])
-    group = Window.partitionBy(*by)
+    place = ["__group", *parts]
+    sums = rows.groupBy(*place).agg(*[F.sum(f"__{n}").alias(f"__{n}_sum") for n in totals])
+    group = Window.partitionBy("__group")
     before = group.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *by, *parts,
+        *place,
         *[F.coalesce(F.sum(f"__{n}_sum").over(before), F.lit(0)).alias(f"__{n}_before") for n in totals],
         *[F.sum(f"__{n}_sum").over(group).alias(f"{n}_total") for n in totals],
     )
-    inside = Window.partitionBy(*by, *parts).orderBy(*([order] if tie is None else [order, tie]))
+    inside = Window.partitionBy(*place).orderBy(*([order] if tie is None else [order, tie]))
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    matches = [rows[c].eqNullSafe(offsets[c]) for c in by] + [rows[c] == offsets[c] for c in parts]
-    condition = matches[0]
-    for m in matches[1:]:
-        condition = condition & m
-    # The table of offsets has at most four times as many rows per group as there are buckets.
-    joined = rows.join(F.broadcast(offsets), condition).drop(*[offsets[c] for c in (*by, *parts)])
+    # The join hashes rows as the window wants them: one shuffle serves both. A group has at most
+    # four times as many offsets as there are buckets, so the build sides are small.
+    joined = rows.join(offsets.hint("shuffle_hash"), place)
     return (
         joined.withColumns({n: F.col(f"__{n}_before") + F.sum(f"__{n}").over(inside) for n in totals})
         .select(*df.columns, *totals, *[f"{n}_total" for n in totals])
