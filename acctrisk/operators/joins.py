@@ -63,10 +63,11 @@ def closing_statements(statements: DataFrame, days: DataFrame) -> DataFrame:
         KEY, F.col(PERIOD).alias("day"), F.lit(0).alias("__is_day"),
         F.struct(*[c for c in statements.columns if c != KEY]).alias("__statement"))
     both = dated.unionByName(days.withColumn("__is_day", F.lit(1)), allowMissingColumns=True)
-    # On a shared day the statement comes first, so the payment falls to the next one.
-    ahead = Window.partitionBy(KEY).orderBy("day", "__is_day").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing)
-    closing = F.first("__statement", ignorenulls=True).over(ahead)
+    # Latest first, so the window only grows. On a shared day the payment is passed before the
+    # statement, so it falls to the next one.
+    later = Window.partitionBy(KEY).orderBy(F.desc("day"), F.desc("__is_day")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    closing = F.last("__statement", ignorenulls=True).over(later)
     return (both.withColumn("closing", closing)
             .where((F.col("__is_day") == 1) & F.col("closing.lag_period").isNotNull()
                    & (F.col("day") >= F.col("closing.lag_period")))

@@ -6,6 +6,8 @@ partitions are merged, so every run and every cluster size gives the same value.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from acctrisk.sources.schemas import KEY, LABEL, PERIOD
@@ -59,8 +61,8 @@ def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per purchase shipped in the first half of 1995, so some accounts have none."""
     line = table(spark, sf_dir, "lineitem").where(
-        (F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp"))
-        & (F.col("l_shipdate") < F.lit("1995-07-01").cast("timestamp")))
+        (F.col("l_shipdate") >= F.lit(datetime.date(1995, 1, 1)))
+        & (F.col("l_shipdate") < F.lit(datetime.date(1995, 7, 1))))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
