@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import tempfile
 import types
@@ -51,14 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bucketed_rank(df: DataFrame, group: list[str], order: list, bucket_by: list[str], bucket_rows: int, rows: int,
-                  name: str) -> DataFrame:
+def bucketed_rank(df: DataFrame, group: list[str], order: list, bucket_by: list[str], rows: int, name: str) -> DataFrame:
     """Add ``name``: a gapless number from 0 within each ``group``, whose columns are not missing.
 
-    Rows are numbered inside hash buckets of a group, each of about ``bucket_rows`` of all ``rows``
-    at most, and counts of the buckets give their offsets: a large group is no single task.
+    Rows are numbered inside hash buckets of a group, and counts of the buckets give their offsets:
+    a large group is no single task. There are as many buckets as the root of the number of all
+    ``rows``, so that a group has as many offsets as a bucket has rows at most.
     """
-    buckets = max(1, -(-rows // bucket_rows))
+    buckets = math.isqrt(max(rows, 1))
     df = df.withColumn("__bucket", F.pmod(F.xxhash64(*bucket_by), F.lit(buckets)).cast("int"))
     place = [*group, "__bucket"]
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

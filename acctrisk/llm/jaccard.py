@@ -6,22 +6,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from acctrisk.llm import words
 from acctrisk.llm.common import NO_ID, bitset, flush, groups, in_bitset, stored
 from acctrisk.llm.components import components, roots
 
 WIDTH, PERCENT = 5, 80
-#: A shingle in so many texts of one Arrow batch is common; ``2**BITS`` bits remember the common ones.
-COMMON, BITS = 8, 24
+#: A shingle is common if it is in so many neighbouring texts with so many shingles together;
+#: ``2**BITS`` bits remember the common ones.
+COMMON, NEAR, BITS = 8, 1 << 20, 24
 #: Sets of a leaf of a signature tree, children of a node, and sets of a tree.
 LEAF, FANOUT, TREE = 16, 8, 512
+#: Candidate pairs for each set of a tree that are verified at once.
+FEW = 4
 
 SETS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64())])
 POSTINGS = pa.schema([("token", pa.int64()), ("set_id", pa.int64())])
 GROUPED = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("sets", pa.int64()), ("members", pa.int64())])
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_())])
 
 
 def _sets(batch: pa.RecordBatch, width: int, tables: tuple):
@@ -36,17 +39,25 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def common_shingles(docs: DataFrame, width: int = WIDTH) -> bytes:
-    """The shingles that many neighbouring texts hold, as a bit set of fixed size.
+    """The shingles that many neighbouring texts hold, as a bit set of fixed size. All texts are counted.
 
     They only come last in the order of :func:`prefix`; results are the same whatever it holds.
     """
     def count(batches):
-        tables = words.powers()
+        tables, own, size = words.powers(), [], 0
         for batch in batches:
-            own = [s for _, s in _sets(batch, width, tables)]
-            if own:
-                tokens, n = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[n >= COMMON].view(np.int64))], names=["token"])
+            for _, tokens in _sets(batch, width, tables):
+                own.append(tokens)
+                size += len(tokens)
+                if size >= NEAR:
+                    yield often(own)
+                    own, size = [], 0
+        if own:
+            yield often(own)
+
+    def often(own):
+        tokens, n = np.unique(np.concatenate(own), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(tokens[n >= COMMON].view(np.int64))], names=["token"])
 
     return bitset(docs.select("text").mapInArrow(count, "token long"), "token", BITS)
 
@@ -107,55 +118,65 @@ def _mark(ids: np.ndarray) -> np.ndarray:
 def shared_tokens(batches):
     """Of postings sorted by token and set, those of tokens that two sets or more hold, once each.
 
-    ``members`` tells groups apart by the sets in them. A run may span batches: what is left of the
+    ``members`` tells groups apart by the sets in them. Postings of common tokens (with a ``part``)
+    are only made distinct here: their sets are spread. A run may span batches: what is left of the
     last one is held until its end; uncommon tokens make short runs.
     """
     held = None
     out = [[], [], [], []]
 
-    def emit(token, ids):
+    def emit(token, ids, often):
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
-        token, ids = token[new], ids[new]
+        token, ids, often = token[new], ids[new], often[new]
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
         lengths = np.diff(np.append(starts, len(token)))
         members = np.add.reduceat(_mark(ids), starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
-        many = np.repeat(lengths > 1, lengths)
-        for column, values in zip(out, (token, ids, np.repeat(lengths, lengths), np.repeat(members, lengths))):
-            column.append(values[many])
+        sets = np.where(often, 0, np.repeat(lengths, lengths))
+        for column, values in zip(out, (token, ids, sets, np.repeat(members, lengths))):
+            column.append(values[sets != 1])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, ids = batch.column("token").to_numpy(), batch.column("set_id").to_numpy()
+        token, ids, often = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "set_id", "often"))
         if held is not None:
-            token, ids = np.concatenate([held[0], token]), np.concatenate([held[1], ids])
-        last = int(np.searchsorted(token, token[-1]))
-        held = token[last:], ids[last:]
-        emit(token[:last], ids[:last])
+            token, ids, often = (np.concatenate(x) for x in zip(held, (token, ids, often)))
+        last = len(token) if often[-1] else int(np.searchsorted(token, token[-1]))
+        held = token[last:], ids[last:], often[last:]
+        emit(token[:last], ids[:last], often[:last])
         if out[0]:
             yield flush(out, GROUPED)
-    if held is not None:
+    if held is not None and len(held[0]):
         emit(*held)
         yield flush(out, GROUPED)
 
 
-def token_groups(docs: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """``token``, ``set_id`` and ``sets`` of the groups of sets that share a prefix token; stored.
+def token_groups(docs: DataFrame, sets: DataFrame, width: int, percent: int, common) -> DataFrame:
+    """``token``, ``set_id``, ``size`` and ``sets`` of the groups of sets that share a prefix token; stored.
 
-    Groups with the same members are the same work: one of them stays. Uncommon tokens are sorted
-    and compared with their neighbours. Common ones can have very many sets, and are counted by
-    Spark with partial sums instead.
+    Uncommon tokens are sorted and compared with their neighbours. Common ones can have very many
+    sets: their postings are spread, and counted by Spark with partial sums. Groups with the same
+    members are the same work, so one of them stays. In groups of one tree, sets without another of
+    a similar size go.
     """
     schema = "token long, set_id long, sets long, members long"
-    rows = postings(docs, width, percent, common)
-    rare = rows.where("not often").select("token", "set_id").repartition("token").sortWithinPartitions("token", "set_id").mapInArrow(shared_tokens, schema)
-    often = rows.where("often").select("token", "set_id").distinct()
+    part = F.when(F.col("often"), F.pmod(F.xxhash64("set_id"), F.lit(64))).otherwise(-1)
+    rows = postings(docs, width, percent, common).withColumn("part", part)
+    found = stored(rows.repartition("part", "token").sortWithinPartitions("token", "set_id").mapInArrow(shared_tokens, schema), "groups")
+    often = found.where("sets = 0").select("token", "set_id").distinct()
     sums = often.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("m"))
     sums = sums.where("sets > 1").select("token", "sets", F.xxhash64("m", F.lit("often")).alias("members"))
-    found = stored(rare.unionByName(often.join(sums, "token").select("token", "set_id", "sets", "members")), "groups")
+    found = stored(found.where("sets > 0").unionByName(often.join(sums, "token").select("token", "set_id", "sets", "members")), "groups")
     one = found.groupBy("members", "sets").agg(F.min("token").alias("token")).select("token").distinct()
-    return stored(found.join(one, "token").select("token", "set_id", "sets"), "groups")
+    sizes = sets.where("set_id is not null").groupBy("set_id").agg(F.min("size").alias("size"))
+    sized = found.join(one, "token").select("token", "set_id", "sets").join(sizes, "set_id")
+    own = sized.where(F.col("sets") <= TREE)  # so that no window is large
+    by_size = Window.partitionBy("token").orderBy("size", "set_id")
+    less, more = F.lag("size").over(by_size), F.lead("size").over(by_size)
+    near = F.coalesce(less * 100 >= F.col("size") * percent, F.lit(False)) | F.coalesce(F.col("size") * 100 >= more * percent, F.lit(False))
+    own = own.withColumn("near", near).where("near").drop("near")
+    return stored(own.unionByName(sized.where(F.col("sets") > TREE)), "groups")
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -169,7 +190,9 @@ def signature(tokens: np.ndarray) -> bytes:
 def signatures(docs: DataFrame, sets: DataFrame, grouped: DataFrame, width: int) -> DataFrame:
     """``set_id``, ``size``, ``bitmap`` and ``tokens`` of all sets that are in a group; stored.
 
-    One text stands for a set. The texts are found by a bit set of their ids and then by a join.
+    One text stands for a set. The texts are found by a bit set of their ids, so that none is
+    shuffled. It lets a few others pass; a set may then be signed by a second task, or be in no
+    group, which both change no result.
     """
     texts = (
         sets.join(grouped.select("set_id").distinct(), "set_id", "left_semi")
@@ -180,19 +203,24 @@ def signatures(docs: DataFrame, sets: DataFrame, grouped: DataFrame, width: int)
     schema = pa.schema([("set_id", pa.int64()), ("size", pa.int64()), ("bitmap", pa.binary()), ("tokens", pa.binary())])
 
     def sign(batches):
-        tables, held = words.powers(), np.frombuffer(wanted.value, np.uint64)
+        tables, held, seen = words.powers(), np.frombuffer(wanted.value, np.uint64), set()
         for batch in batches:
             batch = batch.filter(pa.array(in_bitset(held, batch.column("mark").to_numpy().view(np.uint64))))
-            rows = []
+            rows, size = [], 0
             for _, own in _sets(batch, width, tables):
-                rows.append((set_id(own), len(own), signature(own), own.tobytes()))
+                sid = set_id(own)
+                if sid not in seen:
+                    seen.add(sid)
+                    rows.append((sid, len(own), signature(own), own.tobytes()))
+                    size += 8 * len(own)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     signed = docs.withColumn("mark", F.xxhash64("doc_id")).mapInArrow(sign, "set_id long, size long, bitmap binary, tokens binary")
-    signed = signed.join(texts.select("set_id"), "set_id", "left_semi")
-    # Rows that repeat an id, or ids with the same bit, can sign a set more than once.
-    return stored(signed.dropDuplicates(["set_id"]), "signatures")
+    return stored(signed, "signatures")
 
 
 def enough(overlap, a, b, percent: int):
@@ -315,47 +343,55 @@ def _spanning(i: np.ndarray, j: np.ndarray, score: np.ndarray, n: int) -> np.nda
 
 
 def tree_pairs(grouped: DataFrame, signed: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame:
-    """Distinct candidate pairs of sets, by signature trees over every group.
+    """Candidate pairs ``a``, ``b`` of sets by signature trees over every group, and ``open`` groups.
 
-    Without ``labels``, only pairs that span the candidates of a tree, the most similar ones first.
-    With them, all pairs across different labels. A group of more than :data:`TREE` sets has several
-    trees, dealt anew for every token; across its trees pairs are looked for only with labels.
+    Without ``labels``, a tree gives all its candidates if they are at most :data:`FEW` for each set.
+    Else it gives those that span them, the most similar ones first, and the group stays open: a row
+    with its token as ``a``. With labels, it gives all pairs across different labels. A group of more
+    than :data:`TREE` sets has several trees, dealt anew for every token, and stays open; pairs across
+    its trees are looked for only with labels.
     """
-    rows = grouped.join(signed.select("set_id", "size", "bitmap"), "set_id")
+    rows = grouped.join(signed.select("set_id", "bitmap"), "set_id")
     rows = rows.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")) if labels is not None else rows.withColumn("label", F.col("set_id"))
     trees = F.ceil(F.col("sets") / TREE).cast("int")
-    rows = rows.withColumn("tree", F.pmod(F.xxhash64("set_id", "token"), trees).cast("int"))
+    rows = rows.withColumns({"tree": F.pmod(F.xxhash64("set_id", "token"), trees).cast("int"), "trees": trees})
     if labels is None:
         rows = rows.withColumns({"x": F.col("tree"), "y": F.col("tree")})
     else:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), trees - 1))).withColumns(
             {"x": F.least("tree", "other"), "y": F.greatest("tree", "other")})
     keys = ["token", "x", "y"]
-    dealt = rows.select(*keys, "tree", "set_id", "label", "size", "bitmap").repartition(*map(F.col, keys)).sortWithinPartitions(*keys, "set_id")
+    dealt = rows.select(*keys, "tree", "trees", "set_id", "label", "size", "bitmap").repartition(*map(F.col, keys)).sortWithinPartitions(*keys, "set_id")
     across = labels is not None
 
     def pairs(batches):
-        out = [[], []]
+        out = [[], [], []]
         for run in groups(batches, keys):
             ids, tree, label = (run.column(c).to_numpy() for c in ("set_id", "tree", "label"))
-            if len(ids) < 2 or across and (label == label[0]).all():
-                continue
-            i, j, score = candidates(run.column("size").to_numpy(), run.column("bitmap").to_pylist(), percent)
-            if across:
-                own = label[i] != label[j]
-                if run.column("x")[0] != run.column("y")[0]:
-                    own &= tree[i] != tree[j]
-            else:
-                own = _spanning(i, j, score, len(ids))
-            a, b = ids[i[own]], ids[j[own]]
-            out[0].append(np.minimum(a, b))
-            out[1].append(np.maximum(a, b))
+            open_ = not across and run.column("trees")[0].as_py() > 1
+            a = b = ids[:0]
+            if len(ids) > 1 and not (across and (label == label[0]).all()):
+                i, j, score = candidates(run.column("size").to_numpy(), run.column("bitmap").to_pylist(), percent)
+                if across:
+                    own = label[i] != label[j]
+                    if run.column("x")[0] != run.column("y")[0]:
+                        own &= tree[i] != tree[j]
+                    i, j = i[own], j[own]
+                elif len(i) > FEW * len(ids):
+                    own, open_ = _spanning(i, j, score, len(ids)), True
+                    i, j = i[own], j[own]
+                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            if open_:
+                token = run.column("token").to_numpy()[:1]
+                a, b = np.append(a, token), np.append(b, token)
+            for column, values in zip(out, (a, b, np.arange(len(a)) == (len(a) - 1 if open_ else -1))):
+                column.append(values)
             if sum(map(len, out[0])) > 1 << 16:
                 yield flush(out, PAIRS)
         if out[0]:
             yield flush(out, PAIRS)
 
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+    return dealt.mapInArrow(pairs, "a long, b long, open boolean").distinct()
 
 
 def verified(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -387,22 +423,25 @@ def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width
     are told apart by 64-bit hashes.
 
     Sets that share a token of their prefixes meet in a group, and trees over the group prune the
-    pairs that can't be similar. First only pairs that span the candidates are verified. Then only
-    pairs across different components are left to look at, so that a large group of near copies,
-    which is one component by then, costs no pair any more. No link between components is lost.
+    pairs that can't be similar. Of groups with many candidates only spanning pairs are verified at
+    first. Then only pairs across different components are left to look at in them, so that a large
+    group of near copies, which is one component by then, costs no pair any more. No link between
+    components is lost.
     """
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(own, width))
     sets = shingle_sets(own, width)
-    grouped = token_groups(own, width, percent, common)
+    grouped = token_groups(own, sets, width, percent, common)
     signed = signatures(own, sets, grouped, width)
-    first = stored(tree_pairs(grouped, signed, percent), "pairs")
+    found = stored(tree_pairs(grouped, signed, percent), "pairs")
+    first = found.where("not open").select("a", "b")
     links = stored(verified(first, signed, percent), "links")
     labels = stored(components(links).select(F.col("node").alias("set_id"), F.col("component").alias("label")), "labels")
-    mixed = grouped.join(labels, "set_id", "left").groupBy("token").agg(
-        F.min(F.coalesce("label", "set_id")).alias("low"), F.max(F.coalesce("label", "set_id")).alias("high")).where("low <> high")
-    rest = tree_pairs(grouped.join(mixed.select("token"), "token", "left_semi"), signed, percent, labels)
+    left = grouped.join(found.where("open").select(F.col("a").alias("token")).distinct(), "token", "left_semi")
+    label = F.coalesce("label", "set_id")
+    mixed = left.join(labels, "set_id", "left").groupBy("token").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low <> high")
+    rest = tree_pairs(left.join(mixed.select("token"), "token", "left_semi"), signed, percent, labels).select("a", "b")
     more = verified(rest.join(first, ["a", "b"], "left_anti"), signed, percent)
     labels = components(links.unionByName(more)).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
     rows = sets.join(labels, "set_id", "left").withColumn("group", F.coalesce("label", "set_id"))

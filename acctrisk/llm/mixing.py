@@ -7,8 +7,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rows of one source that a task ranks.
-BUCKET_ROWS = 100_000
+from acctrisk.llm.common import bucketed_rank
+
 #: The sum of all weights times the number of sources, at most: the schedule is broadcast.
 MOST_SLOTS = 1_000_000
 
@@ -90,7 +90,7 @@ def _schedule(spark, plan: list[dict], block_rows: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, default_weight: int = 1,
-        block_rows: int = 16, id: str = "doc_id", source: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+        block_rows: int = 16, id: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` with ``mix_position`` (gapless from 0), ``mix_phase`` and ``mix_block`` (of its source).
 
     Each source's rows, in the order of a hash of their ids, form blocks of ``block_rows`` rows.
@@ -108,14 +108,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, defaul
     """
     spark, columns = docs.sparkSession, [c for c in docs.columns if not c.startswith("mix_")]
     docs = docs.select(*columns)
-    count = docs.select(F.count(F.lit(1))).first()[0]
-    buckets = max(1, math.ceil(count / bucket_rows))
-    key = {"__source": F.struct(F.col(source).cast("string").alias("s")),
-           "__bucket": F.pmod(F.xxhash64(F.col(id)), F.lit(buckets)).cast("int")}
-    counts = docs.select(*[c.alias(n) for n, c in key.items()]).groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__source", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    rows = {r[0]["s"]: r[1] for r in counts.groupBy("__source").agg(F.sum("__n")).collect()}
+    named = docs.withColumn("__source", F.struct(F.col(source).cast("string").alias("s")))
+    counts = named.groupBy("__source").agg(F.count(F.lit(1)).alias("n"))
+    rows = {r[0]["s"]: r[1] for r in counts.collect()}
     parts = {s: int((weights or {}).get(s, default_weight)) for s in rows}
     if any(w < 1 for w in parts.values()):
         raise ValueError("weights are integers of at least 1")
@@ -123,10 +118,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, defaul
     if sum(parts.values()) * max(1, len(parts)) > MOST_SLOTS:
         raise ValueError(f"the sum of the weights times the number of sources exceeds {MOST_SLOTS}")
     schedule = _schedule(spark, plan, block_rows).select(F.struct(F.col("source").alias("s")).alias("__source"), "__phases")
-    inside = Window.partitionBy("__source", "__bucket").orderBy(F.xxhash64(F.col(id)), F.col(id))
     ranked = (
-        docs.withColumns(key).join(offsets.hint("shuffle_hash"), ["__source", "__bucket"])
-        .withColumn("__row", F.col("__before") + F.row_number().over(inside) - 1)
+        bucketed_rank(named, ["__source"], [F.xxhash64(F.col(id)), F.col(id)], [id], sum(rows.values()), "__row")
         .join(F.broadcast(schedule), "__source")
         .withColumn("mix_block", F.floor(F.col("__row") / block_rows).cast("long"))
     )

@@ -16,8 +16,6 @@ from acctrisk.llm.common import bucketed_rank, stored
 CAPACITY = 2048
 #: The id behind every document.
 END_ID = 0
-#: Pieces of one length that a task ranks.
-BUCKET_ROWS = 100_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -125,7 +123,7 @@ def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return out + [x for held in open_.values() for x in held]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.
 
     Only the counts of the lengths, ``capacity`` numbers at most, reach the driver. The plan that
@@ -143,7 +141,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_
         sequence += n
     kind = "length long, places array<struct<first:long,stop:long,sequence:long,offset:int>>"
     places = pieces.sparkSession.createDataFrame(sorted(segments.items()), kind)
-    ranked = bucketed_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], ["doc_id", "piece"], bucket_rows, sum(counts.values()), "__rank")
+    ranked = bucketed_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], ["doc_id", "piece"], sum(counts.values()), "__rank")
     place = F.get(F.filter("places", lambda p: (p["first"] <= F.col("__rank")) & (F.col("__rank") < p["stop"])), 0)
     return ranked.join(F.broadcast(places), "length").withColumn("__place", place).select(
         *pieces.columns, (F.col("__place")["sequence"] + F.col("__rank") - F.col("__place")["first"]).alias("sequence_id"),
