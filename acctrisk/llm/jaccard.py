@@ -15,11 +15,11 @@ from acctrisk.llm.components import components, roots
 WIDTH, PERCENT = 5, 80
 #: A shingle is common if it is in so many neighbouring texts with so many shingles together;
 #: ``2**BITS`` bits remember the common ones.
-COMMON, NEAR, BITS = 8, 1 << 20, 24
+COMMON, NEAR, BITS = 4, 1 << 20, 24
 #: Sets of a leaf of a signature tree, children of a node, and sets of a tree.
 LEAF, FANOUT, TREE = 16, 8, 512
 #: Candidate pairs for each set of a tree that are verified at once.
-FEW = 4
+FEW = 2
 
 SETS = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64())])
 POSTINGS = pa.schema([("token", pa.int64()), ("set_id", pa.int64())])
@@ -180,47 +180,45 @@ def token_groups(docs: DataFrame, sets: DataFrame, width: int, percent: int, com
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A bitmap of a set's tokens, with eight to sixteen bits for each."""
-    bits = max(256, 1 << int(8 * len(tokens) - 1).bit_length())
+    """A bitmap of a set's tokens, with two to four bits for each."""
+    bits = max(256, 1 << int(2 * len(tokens) - 1).bit_length())
     held = np.zeros(bits, np.uint8)
     held[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(held, bitorder="little").tobytes()
 
 
-def signatures(docs: DataFrame, sets: DataFrame, grouped: DataFrame, width: int) -> DataFrame:
-    """``set_id``, ``size``, ``bitmap`` and ``tokens`` of all sets that are in a group; stored.
+def made_from(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int, make, kind: str) -> DataFrame:
+    """``set_id`` and ``make`` of its tokens for the sets with a ``set_id`` in ``wanted``; stored.
 
     One text stands for a set. The texts are found by a bit set of their ids, so that none is
-    shuffled. It lets a few others pass; a set may then be signed by a second task, or be in no
-    group, which both change no result.
+    shuffled. It lets a few others pass; a set may then be made by a second task, or not be wanted,
+    which both change no result.
     """
     texts = (
-        sets.join(grouped.select("set_id").distinct(), "set_id", "left_semi")
+        sets.join(wanted.select("set_id").distinct(), "set_id", "left_semi")
         .groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     )
-    texts = stored(texts.withColumn("mark", F.xxhash64("doc_id")), "texts")
-    wanted = docs.sparkSession.sparkContext.broadcast(bitset(texts, "mark", BITS))
-    schema = pa.schema([("set_id", pa.int64()), ("size", pa.int64()), ("bitmap", pa.binary()), ("tokens", pa.binary())])
+    ids = docs.sparkSession.sparkContext.broadcast(bitset(texts.select(F.xxhash64("doc_id").alias("mark")), "mark", BITS))
+    schema = pa.schema([("set_id", pa.int64()), (kind, pa.binary())])
 
-    def sign(batches):
-        tables, held, seen = words.powers(), np.frombuffer(wanted.value, np.uint64), set()
+    def rows(batches):
+        tables, held, seen = words.powers(), np.frombuffer(ids.value, np.uint64), set()
         for batch in batches:
             batch = batch.filter(pa.array(in_bitset(held, batch.column("mark").to_numpy().view(np.uint64))))
-            rows, size = [], 0
+            out, size = [], 0
             for _, own in _sets(batch, width, tables):
                 sid = set_id(own)
                 if sid not in seen:
                     seen.add(sid)
-                    rows.append((sid, len(own), signature(own), own.tobytes()))
-                    size += 8 * len(own)
+                    out.append((sid, make(own)))
+                    size += len(out[-1][1])
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    signed = docs.withColumn("mark", F.xxhash64("doc_id")).mapInArrow(sign, "set_id long, size long, bitmap binary, tokens binary")
-    return stored(signed, "signatures")
+    return stored(docs.withColumn("mark", F.xxhash64("doc_id")).mapInArrow(rows, f"set_id long, {kind} binary"), kind)
 
 
 def enough(overlap, a, b, percent: int):
@@ -394,10 +392,12 @@ def tree_pairs(grouped: DataFrame, signed: DataFrame, percent: int, labels: Data
     return dealt.mapInArrow(pairs, "a long, b long, open boolean").distinct()
 
 
-def verified(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, by their tokens. Each set goes to the pairs it leads once."""
-    one = signed.select(F.col("set_id").alias("a"), F.col("tokens").alias("one"))
-    two = signed.select(F.col("set_id").alias("b"), F.col("tokens").alias("two"))
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough, by the tokens of the sets that are in a pair; stored."""
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
+    made = made_from(docs, sets, wanted, width, lambda tokens: tokens.tobytes(), "tokens")
+    one = made.select(F.col("set_id").alias("a"), F.col("tokens").alias("one"))
+    two = made.select(F.col("set_id").alias("b"), F.col("tokens").alias("two"))
 
     def check(batches):
         for batch in batches:
@@ -408,7 +408,7 @@ def verified(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
                 keep.append(enough(int((both[1:] == both[:-1]).sum()), len(s), len(t), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long")
+    return stored(pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long"), "links")
 
 
 def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -433,17 +433,19 @@ def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width
     common = spark.sparkContext.broadcast(common_shingles(own, width))
     sets = shingle_sets(own, width)
     grouped = token_groups(own, sets, width, percent, common)
-    signed = signatures(own, sets, grouped, width)
+    signed = made_from(own, sets, grouped, width, signature, "bitmap")
     found = stored(tree_pairs(grouped, signed, percent), "pairs")
     first = found.where("not open").select("a", "b")
-    links = stored(verified(first, signed, percent), "links")
+    links = verified(first, own, sets, width, percent)
     labels = stored(components(links).select(F.col("node").alias("set_id"), F.col("component").alias("label")), "labels")
     left = grouped.join(found.where("open").select(F.col("a").alias("token")).distinct(), "token", "left_semi")
     label = F.coalesce("label", "set_id")
     mixed = left.join(labels, "set_id", "left").groupBy("token").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low <> high")
     rest = tree_pairs(left.join(mixed.select("token"), "token", "left_semi"), signed, percent, labels).select("a", "b")
-    more = verified(rest.join(first, ["a", "b"], "left_anti"), signed, percent)
-    labels = components(links.unionByName(more)).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
+    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        links = links.unionByName(verified(rest, own, sets, width, percent))
+    labels = components(links).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
     rows = sets.join(labels, "set_id", "left").withColumn("group", F.coalesce("label", "set_id"))
     rows = stored(rows.select("doc_id", "size", "group"), "members")
     least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
