@@ -38,15 +38,15 @@ _register("fit_logit", lambda: linear.logistic(FULL24))
 _register("fit_logit_interactions", lambda: linear.logistic_formula(
     linear.formula(NET16, linear.LOGISTIC_INTERACTIONS)))
 _register("fit_step_aic", lambda: linear.stepwise(
-    ("TotalBalanceOL_perc_max", "count_num_cmp", "median_payment", "number_payments"), max_steps=3))
-_register("fit_forest", lambda: trees.forest(FULL24, trees=20))
+    ("TotalBalanceOL_perc_max", "count_num_cmp", "median_payment", "number_payments")))
+_register("fit_forest", lambda: trees.forest(FULL24))
 _register("fit_gbt", lambda: trees.boosted(FULL24, rounds=10, max_depth=5, min_rows=20, min_gain=0.0))
 _register("fit_gbt_early_stop", lambda: trees.boosted(
     FULL24, rounds=20, step=0.1, max_depth=3, min_gain=0.0, min_rows=1, holdout=0.2))
 _register("fit_gbt_var1", lambda: trees.boosted(
-    mart.BILLING13, rounds=10, step=0.3, max_depth=2, min_gain=0.0, min_rows=1, rows=0.5))
+    mart.BILLING13, rounds=100, step=0.3, max_depth=2, min_gain=0.0, min_rows=1, rows=0.5))
 _register("fit_gbt_var2", lambda: trees.boosted(
-    mart.PAYMENTS11, rounds=10, step=0.3, max_depth=3, min_gain=0.0, min_rows=1, rows=0.5))
+    mart.PAYMENTS11, rounds=100, step=0.3, max_depth=3, min_gain=0.0, min_rows=1, rows=0.5))
 _register("fit_svm_linear", lambda: linear.svm_linear(FULL24))
 _register("fit_svm_rff", lambda: linear.svm_radial(FULL24))
 _register("fit_gam_spline", lambda: linear.additive(FULL24))
@@ -57,7 +57,7 @@ _register("adaboost", lambda: trees.adaptive(FULL24, rounds=5))
 _register("bagged_adaboost", lambda: trees.bagged_adaptive(FULL24, bags=2, rounds=3))
 _register("knn_weighted", lambda: knn.nearest(FULL24, 8, weighted=True))
 
-BAYES = ("mean_payment", "max_balance", "count_num_cmp", "number_payments", "TotalBalanceOL_perc_max")
+BAYES = FULL24
 _FILLED = ", ".join(f"coalesce(CAST({p} AS DOUBLE), 0) AS {p}" for p in FULL24)
 _MODEL = f'SELECT ID_CPTE, CAST("Default" AS DOUBLE) AS "Default", {_FILLED} FROM mart'
 
@@ -85,13 +85,13 @@ def nb_gaussian(spark, sf_dir):
 
 
 @query("oof_nb", f"""
-    WITH m AS ({_MODEL}), folded AS (SELECT m.*, h % 3 AS fold FROM m JOIN hashed x ON m.ID_CPTE = x.ID_CPTE
+    WITH m AS ({_MODEL}), folded AS (SELECT m.*, h % 10 AS fold FROM m JOIN hashed x ON m.ID_CPTE = x.ID_CPTE
                                      WHERE seed = 0),
-    train AS (SELECT a.* EXCLUDE (fold), f.fold FROM folded a JOIN (SELECT unnest([0, 1, 2]) AS fold) f
+    train AS (SELECT a.* EXCLUDE (fold), f.fold FROM folded a JOIN (SELECT unnest(range(10)) AS fold) f
               ON a.fold <> f.fold), {_bayes_sql('train', 'folded', 'fold')}""")
 def oof_nb(spark, sf_dir):
-    rows = splits.hashed_folds(model_rows(spark, sf_dir), 3)
-    return rounded(stacking.out_of_fold(rows, bayes.gaussian(BAYES), 3), "score", digits=6)
+    rows = splits.hashed_folds(model_rows(spark, sf_dir), 10)
+    return rounded(stacking.out_of_fold(rows, bayes.gaussian(BAYES), 10), "score", digits=6)
 
 
 NEAR = ("mean_payment", "max_balance", "count_num_cmp", "TotalBalanceOL_perc_max")

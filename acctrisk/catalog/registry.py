@@ -74,7 +74,7 @@ CTES: dict[str, str] = {
               FROM orders)
         GROUP BY ID_CPTE, PERIODID_MY""",
     "transactions": f"""
-        SELECT o_custkey AS ID_CPTE,
+        SELECT CASE WHEN o_custkey % 10 = 3 THEN o_custkey - 1 ELSE o_custkey END AS ID_CPTE,
                CAST(round(l_extendedprice * (CAST(1 AS DOUBLE) - l_discount) * 100) AS BIGINT) AS TRANSACTION_AMT,
                l_shipdate AS TRANSACTION_DTTM,
                {_LIMIT.format(key='o_custkey', day='l_shipdate')} AS PRIOR_CREDIT_LIMIT_AMT,
@@ -85,8 +85,7 @@ CTES: dict[str, str] = {
                CASE WHEN s_nationkey = c_nationkey THEN 'DP' ELSE 'N' || s_nationkey END AS MERCHANT_COUNTRY_XCD,
                'M' || (l_partkey % 25) AS MERCHANT_CATEGORY_XCD, 'CITY' || l_suppkey AS MERCHANT_CITY_NAME
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-             JOIN supplier ON l_suppkey = s_suppkey
-        WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-07-01'""",
+             JOIN supplier ON l_suppkey = s_suppkey""",
     "payments": """
         SELECT user_id * 10 + event_id % 10 AS ID_CPTE,
                CASE WHEN event_id % 97 <> 0 THEN CAST(round(value * 100) AS BIGINT) END AS TRANSACTION_AMT,
@@ -186,9 +185,9 @@ CTES: dict[str, str] = {
              JOIN performance f ON p.ID_CPTE = f.ID_CPTE LEFT JOIN trx_features t ON p.ID_CPTE = t.ID_CPTE""",
     "mart_filled": """
         SELECT * REPLACE (
-            coalesce(CAST(mean_trx_amt AS DOUBLE), (SELECT avg(mean_trx_amt) FROM mart)) AS mean_trx_amt,
-            coalesce(CAST(mean_trx_pct AS DOUBLE), (SELECT avg(mean_trx_pct) FROM mart)) AS mean_trx_pct,
-            coalesce(CAST(number_transactions AS DOUBLE), (SELECT avg(number_transactions) FROM mart))
+            coalesce(CAST(mean_trx_amt AS DOUBLE), (SELECT avg(mean_trx_amt) FROM trx_features)) AS mean_trx_amt,
+            coalesce(CAST(mean_trx_pct AS DOUBLE), (SELECT avg(mean_trx_pct) FROM trx_features)) AS mean_trx_pct,
+            coalesce(CAST(number_transactions AS DOUBLE), (SELECT avg(number_transactions) FROM trx_features))
                 AS number_transactions)
         FROM mart""",
     "lagged": """

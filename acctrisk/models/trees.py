@@ -32,9 +32,13 @@ def _forest(trees: int, per_split: int, min_rows: int, max_depth: int) -> Random
 
 
 def boosted(predictors: Sequence[str], rounds: int = 300, step: float = 0.05, max_depth: int = 9,
-            min_gain: float = 0.1, columns: float = 0.8, min_rows: int = 100, rows: float = 0.8,
+            min_gain: float = 0.0, columns: float = 0.8, min_rows: int = 100, rows: float = 0.8,
             holdout: float = 0.0, tolerance: float = 0.01) -> Fit:
-    """Gradient-boosted trees. With ``holdout`` > 0 that share of the training rows decides when to stop."""
+    """Gradient-boosted trees. With ``holdout`` > 0 that share of the training rows decides when to stop.
+
+    ``min_gain`` is the impurity that a split must remove per row. A least gain of the whole loss, as
+    other libraries have it, is to be divided by the number of rows.
+    """
     if not 0 < step <= 1:
         raise ValueError("the learning rate must be in (0, 1]")
     settings = dict(

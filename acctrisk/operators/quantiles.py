@@ -10,9 +10,6 @@ from acctrisk.functions.bins import with_bucket
 from acctrisk.operators.running import bucket_count, quantile_cuts
 
 
-MOST_TARGETS = 10_000
-
-
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
                     by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per group: columns ``by``, ``p``, ``quantile``, ``n``.
@@ -41,9 +38,9 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("rows")))
     )
     # At most two ranks per probability: one short array for each bucket that is needed.
-    targets = _broadcast_if_few(wanted.groupBy(*place).agg(
+    targets = wanted.groupBy(*place).agg(
         F.first("before").alias("before"), F.first("n").alias("n"),
-        F.collect_list(F.struct("p", "at", "rank")).alias("targets")))
+        F.collect_list(F.struct("p", "at", "rank")).alias("targets"))
     counted = (
         rows.join(targets.select(*place), place, "left_semi")
         .groupBy(*place, "v").agg(F.count(F.lit(1)).alias("copies"))
@@ -63,15 +60,6 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
     ).select(*[F.col(f"g.{c}").alias(c) for c in by], "p", "quantile", "n")
 
 
-def _broadcast_if_few(targets: DataFrame) -> DataFrame:
-    """With few targets, fix them and broadcast them: rows of other buckets are then dropped
-    where they are read. With many groups the rows are shuffled to their targets instead."""
-    found = targets.limit(MOST_TARGETS + 1).collect()
-    if len(found) > MOST_TARGETS:
-        return targets
-    return F.broadcast(targets.sparkSession.createDataFrame(found, targets.schema))
-
-
 def quantile_breaks(df: DataFrame, value: str, bins: int, approximate: bool = False) -> list[float]:
     """The distinct, ascending breaks of ``bins`` equally filled bins.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BooleanType, IntegralType, NumericType
 
 from acctrisk.functions.bins import bin_index
 from acctrisk.functions.columns import at_threshold, ratio
@@ -14,6 +14,7 @@ from acctrisk.operators.running import running_totals
 from acctrisk.plans.profile import contingency
 from acctrisk.sources.tables import require_columns
 
+#: Distinct values above which a numeric column is shown by bin.
 BIN_ABOVE = 250
 
 
@@ -22,10 +23,11 @@ def totals(df: DataFrame, obs: str) -> DataFrame:
 
 
 def _long(df: DataFrame, obs: str, models: Sequence[str], *keep: str) -> DataFrame:
-    """One row per row and model: ``model``, ``score``, ``obs``."""
+    """One row per row and model: ``model``, ``score``, ``obs``, which stays whole only if it is an integer."""
     require_columns(df, obs, *models, *keep)
+    whole = isinstance(df.schema[obs].dataType, (IntegralType, BooleanType))
     entries = [F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("score")) for m in models]
-    return df.select(*keep, F.col(obs).cast("long").alias("obs"), F.inline(F.array(*entries)))
+    return df.select(*keep, F.col(obs).cast("long" if whole else "double").alias("obs"), F.inline(F.array(*entries)))
 
 
 def lorenz_points(df: DataFrame, obs: str, models: Sequence[str], key: str) -> DataFrame:
@@ -107,11 +109,12 @@ def observed_by_value(df: DataFrame, obs: str, mod1: str, mod2: str, var: str) -
     return df.groupBy(var).agg(*_measures(obs, mod1, mod2))
 
 
-def observed_vs_predicted(df: DataFrame, obs: str, mod1: str, mod2: str, var: str, bins: int = 20) -> DataFrame:
+def observed_vs_predicted(df: DataFrame, obs: str, mod1: str, mod2: str, var: str, bins: int = 20,
+                          bin_above: int = BIN_ABOVE) -> DataFrame:
     """By bin for a numeric column with many values, by value otherwise."""
     require_columns(df, obs, mod1, mod2, var)
     if isinstance(df.schema[var].dataType, NumericType):
-        if df.select(var).distinct().limit(BIN_ABOVE + 1).count() > BIN_ABOVE:
+        if df.select(var).distinct().limit(bin_above + 1).count() > bin_above:
             return observed_by_bin(df, obs, mod1, mod2, var, bins)
     return observed_by_value(df, obs, mod1, mod2, var)
 

@@ -21,14 +21,14 @@ def _typed(name: str, data_type: T.DataType) -> Column:
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType,
              code_columns: Iterable[str] = schemas.CODE_COLUMNS) -> DataFrame:
-    """CSV with a header line, given the schema.
+    """CSV with a header line: the columns of the schema by name, in any order, others left out.
 
     The fields are read as text and cast, because the reader's own NULL option cannot tell a
     blank code from a missing one. A field that does not fit its type fails the query.
     """
     codes = set(code_columns)
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.csv(path, header=True, schema=text, enforceSchema=False)
+    raw = spark.read.csv(path, header=True)
+    require_columns(raw, *schema.names)
     return raw.select([
         blank_is_value(F.col(f.name)).alias(f.name) if f.name in codes else _typed(f.name, f.dataType)
         for f in schema
