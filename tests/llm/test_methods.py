@@ -198,10 +198,10 @@ def test_lines_by_hand(spark):
 
 
 def test_quality_holds_out(spark):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = quality.weighed(docs, labels, fit_rows=200).collect()
-    good, bad = quality.fitted_labels(labels, "doc_id", "quality", 200)
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = quality.weighed(docs, labels, fit_rows=2000).collect()
+    good, bad = quality.fitted_labels(labels, "doc_id", "quality", 2000)
     fitted, truth = {*good.tolist(), *bad.tolist()}, {r["doc_id"]: r["quality"] for r in labels.collect()}
     held = [(truth[r["id"]], r["accepted"]) for r in rows if r["id"] in truth and r["id"] not in fitted]
     assert len(held) > 150 and np.mean([bool(q) == a for q, a in held]) > 0.93
