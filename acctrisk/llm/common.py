@@ -119,8 +119,8 @@ def bitset(df: DataFrame, column: str, bits: int) -> bytes:
     place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     words = df.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     out = np.zeros(1 << (bits - 6), np.int64)
-    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        out[row["word"]] = row["bits"]
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.tobytes()
 
 

@@ -65,11 +65,10 @@ def models(docs: DataFrame, good: np.ndarray) -> np.ndarray:
         held = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(target[held]), pa.array(raw[held])], schema=schema)
 
-    sums = docs.mapInArrow(count, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target"), F.sum("raw"))
+    sums = docs.mapInArrow(count, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
     target, raw = np.full(BUCKETS, PRIOR), np.full(BUCKETS, PRIOR)
-    for bucket, t, r in sums.toLocalIterator():
-        target[bucket] += t
-        raw[bucket] += r
+    target[sums["bucket"].to_numpy()] += sums["target"].to_numpy()
+    raw[sums["bucket"].to_numpy()] += sums["raw"].to_numpy()
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
