@@ -26,6 +26,9 @@ def _rounding(*names: str) -> str:
 
 
 BILLING_MEANS = RATIO_MEANS[:3]
+# With imputed amounts these are sums and midpoints of fractions.
+PAID = ("mean_payment", "median_payment")
+_PAID = ", ".join(f"round({n}, 4) AS {n}" for n in PAID)
 
 
 def account_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,22 +299,22 @@ def corr_matrix(spark, sf_dir):
     return rounded(profile.correlations(account_table(spark, sf_dir), CORRELATED), "correlation", digits=6)
 
 
-@query("mart_train", f"SELECT * REPLACE ({_rounding(*RATIO_MEANS)}) FROM mart WHERE ID_CPTE % 10 < 7")
+@query("mart_train", f"SELECT * REPLACE ({_rounding(*RATIO_MEANS)}, {_PAID}) FROM mart WHERE ID_CPTE % 10 < 7")
 def mart_train(spark, sf_dir):
-    return rounded(train_part(account_table(spark, sf_dir)), *RATIO_MEANS)
+    return rounded(rounded(train_part(account_table(spark, sf_dir)), *RATIO_MEANS), *PAID, digits=4)
 
 
-@query("mart_test", f"SELECT * REPLACE ({_rounding(*RATIO_MEANS)}) FROM mart WHERE ID_CPTE % 10 >= 7")
+@query("mart_test", f"SELECT * REPLACE ({_rounding(*RATIO_MEANS)}, {_PAID}) FROM mart WHERE ID_CPTE % 10 >= 7")
 def mart_test(spark, sf_dir):
-    return rounded(test_part(account_table(spark, sf_dir)), *RATIO_MEANS)
+    return rounded(rounded(test_part(account_table(spark, sf_dir)), *RATIO_MEANS), *PAID, digits=4)
 
 
 @query("mart_filled", f"""
-    SELECT * REPLACE ({_rounding(*RATIO_MEANS)}, round(mean_trx_amt, 4) AS mean_trx_amt) FROM mart_filled""")
+    SELECT * REPLACE ({_rounding(*RATIO_MEANS)}, {_PAID}, round(mean_trx_amt, 4) AS mean_trx_amt) FROM mart_filled""")
 def mart_filled(spark, sf_dir):
     # The population is every account with purchases, also those that the inner joins leave out.
     filled = mart.fill_transactions(account_table(spark, sf_dir), X.features(views.transactions(spark, sf_dir)))
-    return rounded(rounded(filled, *RATIO_MEANS), "mean_trx_amt", digits=4)
+    return rounded(rounded(filled, *RATIO_MEANS), *PAID, "mean_trx_amt", digits=4)
 
 
 @query("semi_split", """

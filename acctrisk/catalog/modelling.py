@@ -148,7 +148,8 @@ def level2_scores(spark, sf_dir):
 def level2_blend(spark, sf_dir):
     scores = checkpointed(level_1(spark, sf_dir).withColumnsRenamed(
         {n: f"v{i}" for i, n in enumerate(LEVEL_1, 1)}))
-    return stacking.blender()(scores)(scores).select(KEY, "score", LABEL)
+    train, test = scores.where(views.is_train()), scores.where(~views.is_train())
+    return stacking.blender()(train)(test).select(KEY, "score", LABEL)
 
 
 @query("first_stage_feature")

@@ -58,6 +58,18 @@ def _strict(function: str, column: str) -> str:
     return f"CASE WHEN count({column}) = count(*) THEN {function}({column}) END"
 
 
+def _payment_features(rows: str) -> str:
+    return f"""
+        SELECT ID_CPTE, coalesce({_strict('avg', 'TRANSACTION_AMT')}, 0) AS mean_payment,
+               coalesce({_strict('max', 'TRANSACTION_AMT')}, 0) AS max_payment,
+               coalesce({_strict('min', 'TRANSACTION_AMT')}, 0) AS min_payment,
+               coalesce({_strict('median', 'TRANSACTION_AMT')}, 0) AS median_payment,
+               count(*) AS number_payments,
+               coalesce({_strict('bool_or', "PAYMENT_REVERSAL_XFLG = 'N'")}, false) AS reversedPayment,
+               coalesce({_strict('bool_or', "PAYMENT_REVERSAL_XFLG = ''")}, false) AS noPayments
+        FROM {rows} GROUP BY ID_CPTE"""
+
+
 # Listed so that every definition comes after the ones it uses.
 CTES: dict[str, str] = {
     "performance": """
@@ -167,21 +179,18 @@ CTES: dict[str, str] = {
               FROM trx_derived GROUP BY ID_CPTE) a
         LEFT JOIN type_mode t ON a.ID_CPTE = t.ID_CPTE
         LEFT JOIN category_mode c ON a.ID_CPTE = c.ID_CPTE""",
-    "payment_features": f"""
-        SELECT ID_CPTE, coalesce({_strict('avg', 'TRANSACTION_AMT')}, 0) AS mean_payment,
-               coalesce({_strict('max', 'TRANSACTION_AMT')}, 0) AS max_payment,
-               coalesce({_strict('min', 'TRANSACTION_AMT')}, 0) AS min_payment,
-               coalesce({_strict('median', 'TRANSACTION_AMT')}, 0) AS median_payment,
-               count(*) AS number_payments,
-               coalesce(bool_or(PAYMENT_REVERSAL_XFLG = 'N'), false) AS reversedPayment,
-               coalesce(bool_or(PAYMENT_REVERSAL_XFLG = ''), false) AS noPayments
-        FROM payments GROUP BY ID_CPTE""",
+    "payments_imputed": """
+        SELECT * REPLACE (coalesce(CAST(TRANSACTION_AMT AS DOUBLE), (SELECT avg(TRANSACTION_AMT) FROM payments))
+                          AS TRANSACTION_AMT)
+        FROM payments""",
+    "payment_features": _payment_features("payments"),
+    "payment_features_imputed": _payment_features("payments_imputed"),
     "mart": """
         SELECT p.ID_CPTE, mean_payment, max_payment, min_payment, median_payment, number_payments,
                CAST(reversedPayment AS INTEGER) AS reversedPayment, CAST(noPayments AS INTEGER) AS noPayments,
                b.* EXCLUDE (ID_CPTE, credit_change), CAST(credit_change AS INTEGER) AS credit_change,
                f."Default", t.* EXCLUDE (ID_CPTE)
-        FROM payment_features p JOIN billing_features b ON p.ID_CPTE = b.ID_CPTE
+        FROM payment_features_imputed p JOIN billing_features b ON p.ID_CPTE = b.ID_CPTE
              JOIN performance f ON p.ID_CPTE = f.ID_CPTE LEFT JOIN trx_features t ON p.ID_CPTE = t.ID_CPTE""",
     "mart_filled": """
         SELECT * REPLACE (

@@ -18,7 +18,7 @@ def strict(aggregate: Callable[[Column], Column], column: Column | str) -> Colum
 
 
 class Aggregates:
-    """``mean``, ``max``, ``min``, ``sum`` under one missing-value rule."""
+    """``mean``, ``max``, ``min``, ``sum``, ``any`` under one missing-value rule."""
 
     def __init__(self, skip_missing: bool = False):
         self._wrap = (lambda f, c: f(c)) if skip_missing else strict
@@ -34,3 +34,6 @@ class Aggregates:
 
     def sum(self, column: Column | str) -> Column:
         return self._wrap(F.sum, column)
+
+    def any(self, condition: Column | str) -> Column:
+        return self._wrap(F.bool_or, condition)

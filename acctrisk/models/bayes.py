@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,11 +13,17 @@ from acctrisk.sources.schemas import LABEL
 VARIANCE_FLOOR = 1e-6
 
 
+def require_both_classes(labels: Iterable) -> None:
+    if {int(v) for v in labels if v is not None} != {0, 1}:
+        raise ValueError("the training rows must hold both classes, 0 and 1")
+
+
 def class_statistics(train: DataFrame, predictors: Sequence[str]) -> dict:
     """Rows, mean and variance per class and predictor: one aggregation, two rows on the driver."""
     check_predictors(train, predictors)
     measures = [f(c).alias(f"{n}_{c}") for c in predictors for n, f in (("m", F.avg), ("v", F.var_samp))]
     rows = train.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"), *measures).collect()
+    require_both_classes(r[LABEL] for r in rows)
     return {
         int(r[LABEL]): {
             "n": r["n"],

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from acctrisk.models.base import Fit, Scorer, check_predictors
+from acctrisk.models.bayes import require_both_classes
 from acctrisk.sources.schemas import LABEL
 
 # The usual rule-of-thumb bandwidth, the grid, and the margin in bandwidths.
@@ -39,6 +40,7 @@ def _ranges(train: DataFrame, predictors: Sequence[str], adjust: float) -> dict:
             low, high = r[f"lo_{c}"] - MARGIN * width, r[f"hi_{c}"] + MARGIN * width
             ranges[c] = (float(low), float((high - low) / (GRID - 1)), float(width))
         out[int(r[LABEL])] = (r["n"], ranges)
+    require_both_classes(out)
     return out
 
 

@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from acctrisk.operators.skew import HOT_ROWS, hot_keys, replicate, scatter
 from acctrisk.sources.schemas import KEY, PERIOD
 
 
@@ -74,26 +73,19 @@ def closing_statements(statements: DataFrame, days: DataFrame) -> DataFrame:
             .drop("__is_day", "__statement"))
 
 
-def statement_payments_join(statements: DataFrame, payments: DataFrame, how: str = "inner",
-                            salts: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
+def statement_payments_join(statements: DataFrame, payments: DataFrame, how: str = "inner") -> DataFrame:
     """Each statement with the payments made since the previous one.
 
     ``statements`` has the key, the period (a date) and ``lag_period``; a payment belongs to a
     statement when ``lag_period <= TRANSACTION_DTTM < period``. The interval is resolved once per
     account and day, so the payments themselves meet an equi-join on account and day, which
-    spreads an account over its days; accounts with very many payments are salted on top.
+    spreads an account over its days; adaptive execution splits a day with very many.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     dated = payments.withColumn("day", F.to_date("TRANSACTION_DTTM"))
     assigned = closing_statements(statements, dated.select(KEY, "day").distinct())
-    on, left, right = [KEY, "day"], assigned, dated
-    hot = hot_keys(payments, KEY, hot_rows)
-    if hot:
-        left = replicate(left, hot, KEY, salts)
-        right = scatter(right, hot, KEY, salts, F.struct(*[c for c in payments.columns if c != KEY]))
-        on = [*on, "salt"]
-    matched = right.join(left, on).select(KEY, "closing.*", *[c for c in payments.columns if c != KEY])
+    matched = dated.join(assigned, [KEY, "day"]).select(KEY, "closing.*", *[c for c in payments.columns if c != KEY])
     if how == "inner":
         return matched
     paid = assigned.select(KEY, F.col(f"closing.{PERIOD}").alias(PERIOD))

@@ -15,31 +15,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from acctrisk.functions.bins import with_bucket
 
-LEAST_BUCKETS, MOST_BUCKETS = 256, 4096
+LEAST_BUCKETS = 256
 EXACT_INTEGERS = 2 ** 53
 
 
 def bucket_count(spark: SparkSession) -> int:
     """Enough buckets to occupy the shuffle partitions of the cluster."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * partitions))
+    return max(LEAST_BUCKETS, 2 * partitions)
 
 
 def quantile_cuts(df: DataFrame, column: str, buckets: int) -> list:
     """``buckets - 1`` ascending approximate quantiles of a numeric column."""
     probabilities = ",".join(f"{i / buckets!r}D" for i in range(1, buckets))
-    return df.agg(F.expr(f"approx_percentile(`{column}`, array({probabilities}), 10000)")).first()[0] or []
+    return df.agg(F.expr(f"approx_percentile(`{column}`, array({probabilities}), {max(10_000, 4 * buckets)})")).first()[0] or []
 
 
 def _hot_values(cuts: Sequence) -> dict:
     """Values that fill two or more quantiles, with the number of quantiles they fill.
 
-    Integers beyond the exact range of a double share buckets with their neighbours; with
-    them no value is singled out.
+    Integers beyond the exact range of a double share buckets with their neighbours and are not
+    singled out.
     """
-    if any(abs(c) >= EXACT_INTEGERS for c in cuts):
-        return {}
-    return {value: filled for value, filled in Counter(cuts).items() if filled > 1}
+    return {v: filled for v, filled in Counter(cuts).items() if filled > 1 and not abs(v) >= EXACT_INTEGERS}
 
 
 def _with_buckets(df: DataFrame, order: str, tie: str | None, buckets: int) -> tuple[DataFrame, list[str]]:

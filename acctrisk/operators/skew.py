@@ -1,38 +1,13 @@
-"""Finding heavy keys and spreading their rows."""
+"""Finding heavy keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
-TRACKED = 1_000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, tracked: int = TRACKED) -> list:
-    """The keys that hold at least ``rows`` rows, at most ``tracked`` of them.
-
-    A frequent-items sketch reads only the key column and merges to one small row, so nothing
-    is shuffled by key. The answer steers only *how* rows are spread: results are the same
-    whichever keys it lists. It is looked up before the plan is built because there are usually
-    none, and then the plan needs no second path.
-    """
-    top = f"approx_top_k(`{key}`, {tracked}, {tracked * 20})"
-    found = df.agg(F.expr(top).alias("top")).select(F.explode("top").alias("t"))
-    return [r[0] for r in found.where(F.col("t.count") >= rows).select("t.item").collect()
-            if r[0] is not None]
-
-
-def is_hot(key: str, hot: list) -> Column:
-    return F.coalesce(F.col(key).isin(hot), F.lit(False))
-
-
-def scatter(df: DataFrame, hot: list, key: str, salts: int, spread: Column) -> DataFrame:
-    """Large side of a salted join: rows of hot keys get one of ``salts`` salts, others salt 0."""
-    salt = F.when(is_hot(key, hot), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0)
-    return df.withColumn("salt", salt.cast("int"))
-
-
-def replicate(df: DataFrame, hot: list, key: str, salts: int) -> DataFrame:
-    """Small side of a salted join: rows of hot keys once per salt, others once."""
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    return df.withColumn("salt", F.explode(F.when(is_hot(key, hot), every).otherwise(F.array(F.lit(0)))))
+def heavy_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """All keys that hold at least ``rows`` rows, one column. The counts are partial sums, so no task sees a heavy key's rows."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+    return counts.where(F.col("__rows") >= rows).select(key)

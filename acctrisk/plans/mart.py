@@ -42,13 +42,17 @@ REVISED8 = (
 
 
 def account_table(billing_rows: DataFrame, payment_rows: DataFrame, transaction_rows: DataFrame,
-                  performance: DataFrame) -> DataFrame:
+                  performance: DataFrame, impute: bool = True) -> DataFrame:
     """Payments and billing features joined to the label; transaction features where there are any.
 
     Each input is aggregated on the account key before it is joined, so the joins meet rows
     that are already partitioned by that key. Train and test accounts are told apart by
-    membership in ``performance``; pass both to build them in one go.
+    membership in ``performance``; pass both to build them in one go. Missing payment amounts
+    become the mean of all payments first; without ``impute`` they make the account's amounts
+    missing, hence 0.
     """
+    if impute:
+        payment_rows = fill_with_mean(payment_rows, ["TRANSACTION_AMT"])
     wide = (
         payments.features(payment_rows)
         .join(billing.features(billing_rows), KEY)

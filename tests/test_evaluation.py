@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from acctrisk.functions.bins import bin_index
 from acctrisk.operators import quantiles, running, splits
-from acctrisk.operators.skew import hot_keys
+from acctrisk.operators.skew import heavy_keys
 from acctrisk.plans import evaluate
 
 SIX = [(1, 0, 0.10), (2, 0, 0.40), (3, 1, 0.35), (4, 1, 0.80), (5, 0, 0.40), (6, 1, 0.40)]
@@ -113,10 +113,11 @@ def test_quantiles_of_nothing(spark):
     assert quantiles.exact_quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]).count() == 0
 
 
-def test_hot_keys_finds_the_heavy_ones(spark):
+def test_heavy_keys_finds_all_of_them(spark):
     df = spark.range(10_000).select(F.expr("if(id % 3 = 0, 7, id)").alias("k"))
-    assert hot_keys(df, "k", rows=1000) == [7]
-    assert hot_keys(df, "k", rows=100_000) == []
+    assert [r.k for r in heavy_keys(df, "k", rows=1000).collect()] == [7]
+    assert heavy_keys(df, "k", rows=100_000).isEmpty()
+    assert heavy_keys(spark.range(30_000).selectExpr("id % 3000 AS k"), "k", rows=10).count() == 3000
 
 
 def accounts(spark):

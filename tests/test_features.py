@@ -98,6 +98,16 @@ def test_account_table_drops_and_keeps_the_right_accounts(spark):
     assert [(r.ID_CPTE, r.number_transactions) for r in rows] == [(1, 1), (2, None)]
 
 
+@pytest.mark.parametrize("impute, amounts", [(True, [15.0, 20.0]), (False, [0.0, 20.0])])
+def test_missing_payments_become_the_mean_of_all_before_they_are_aggregated(spark, impute, amounts):
+    bills = statements(spark, [(k, day(1), 50.0, 10.0, 100.0, 0) for k in (1, 2)])
+    pays = spark.createDataFrame([(1, 10.0, at(1, 2), "Y"), (1, None, at(1, 3), "Y"), (2, 20.0, at(1, 2), "Y"), (3, 30.0, at(1, 2), "Y")], PAYMENTS)
+    buys = spark.createDataFrame([], TRANSACTIONS)
+    labels = spark.createDataFrame([(k, day(1), 0) for k in (1, 2)], schemas.PERFORMANCE)
+    rows = mart.account_table(bills, pays, buys, labels, impute=impute).orderBy("ID_CPTE").collect()
+    assert [r.mean_payment for r in rows] == amounts
+
+
 def test_label_cannot_be_a_predictor(spark):
     with pytest.raises(ValueError):
         mart.model_table(spark.createDataFrame([(1, 1)], "ID_CPTE long, Default int"), ("Default",))
@@ -156,16 +166,15 @@ def test_lag_and_sign_stay_within_the_account(spark):
         (None, None), (day(1), 0), (day(2), -1), (None, None), (day(1), 0), (day(2), 1)]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
-def test_payment_on_a_statement_day_belongs_to_the_next_statement(spark, hot_rows):
+def test_payment_on_a_statement_day_belongs_to_the_next_statement(spark):
     lagged = with_previous_period(statements(spark, [
         (1, day(1), 1.0, 0.0, 1.0, 0), (1, day(2), 2.0, 0.0, 1.0, 0), (1, day(3), 3.0, 0.0, 1.0, 0)]))
     pays = spark.createDataFrame([
         (1, 10.0, at(1, 1), "Y"), (1, 20.0, at(2, 1), "Y"), (1, 30.0, at(2, 1, 23), "Y"), (1, 40.0, at(3, 1), "Y")], PAYMENTS)
-    got = joins.statement_payments_join(lagged, pays, "inner", hot_rows=hot_rows)
+    got = joins.statement_payments_join(lagged, pays, "inner")
     assert sorted((r.PERIODID_MY, r.TRANSACTION_AMT) for r in got.collect()) == [
         (day(2), 10.0), (day(3), 20.0), (day(3), 30.0)]
-    left = joins.statement_payments_join(lagged, pays, "left", hot_rows=hot_rows)
+    left = joins.statement_payments_join(lagged, pays, "left")
     assert sorted((r.PERIODID_MY, r.TRANSACTION_AMT or 0.0) for r in left.collect()) == [
         (day(1), 0.0), (day(2), 10.0), (day(3), 20.0), (day(3), 30.0)]
     paid = proposals.paid_by_statement(lagged.drop("lag_period"), pays)

@@ -1,10 +1,14 @@
-"""Fractional observed values, CSV columns by name, and quantiles of many groups."""
+"""Fractional observed values, CSV columns by name, quantiles of many groups, missing flags, heavy accounts, one class."""
+
+from datetime import datetime
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
+from acctrisk.models import bayes, kernel_bayes
 from acctrisk.operators.quantiles import exact_quantiles
-from acctrisk.plans import evaluate
+from acctrisk.operators.running import running_totals
+from acctrisk.plans import evaluate, payments
 from acctrisk.sources import tables
 
 
@@ -28,3 +32,34 @@ def test_quantiles_of_many_groups(spark):
     df = spark.range(3000).selectExpr("id % 1500 AS g", "CAST(id AS DOUBLE) AS v")
     rows = exact_quantiles(df, "v", [0.5], by=["g"]).collect()
     assert len(rows) == 1500 and all(r["quantile"] == r["g"] + 750 for r in rows)
+
+
+PAYMENTS = "ID_CPTE long, TRANSACTION_AMT double, TRANSACTION_DTTM timestamp, PAYMENT_REVERSAL_XFLG string"
+
+
+def test_a_missing_flag_makes_the_flags_of_its_account_false(spark):
+    rows = [(1, 1.0, "N"), (1, 1.0, None), (2, 1.0, "N"), (2, 1.0, "Y")]
+    df = spark.createDataFrame([(k, v, datetime(2001, 1, 1), f) for k, v, f in rows], PAYMENTS)
+    assert [r.reversedPayment for r in payments.features(df).orderBy("ID_CPTE").collect()] == [False, True]
+    assert [r.reversedPayment for r in payments.features(df, skip_missing=True).orderBy("ID_CPTE").collect()] == [True, True]
+
+
+def test_more_than_a_thousand_heavy_accounts(spark):
+    df = spark.range(6000).selectExpr(
+        "id % 1500 AS ID_CPTE", "CAST(id AS DOUBLE) AS TRANSACTION_AMT", "TIMESTAMP '2001-01-01' AS TRANSACTION_DTTM",
+        "'Y' AS PAYMENT_REVERSAL_XFLG")
+    rows = payments.features(df, hot_rows=4).collect()
+    assert len(rows) == 1500 and all(r.median_payment == r.ID_CPTE + 2250 for r in rows)
+
+
+def test_one_class_is_refused(spark):
+    train = spark.createDataFrame([(1.0, 0.0), (2.0, 0.0)], 'x double, `Default` double')
+    for fit in (bayes.gaussian(["x"]), bayes.model_averaged(["x"]), kernel_bayes.kernel(["x"])):
+        with pytest.raises(ValueError, match="both classes"):
+            fit(train)
+
+
+def test_running_totals_of_integers_beyond_doubles(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 5).otherwise(2 ** 60 + F.col("id") % 7).alias("v"))
+    got = running_totals(df, "v", {"n": F.lit(1)}, tie="id").orderBy("v", "id").collect()
+    assert [r.n for r in got] == list(range(1, 3001))
