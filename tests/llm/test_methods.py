@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import oracle
-from acctrisk.llm import bpe, catalog, components, jaccard, lines, mixing, packing, quality, shards, tokens
+from acctrisk.llm import bpe, catalog, components, jaccard, lines, mixing, neighbours, packing, quality, shards, tokens
 
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -144,6 +144,28 @@ def test_components(spark):
     assert {r[0]: r[1] for r in got} == label and len(got) == len(label)
 
 
+def test_near_vectors_with_full_lists(spark, monkeypatch):
+    """Pairs of groups of 20 near copies, linked with each other: own copies fill every list. Nothing is left to the audit."""
+    whole = neighbours.audit
+    monkeypatch.setattr(neighbours, "audit", lambda vectors, threshold: whole(vectors, threshold, sample=0))
+    rng = np.random.default_rng(3)
+    rows = [rng.standard_normal((2000, 64))]
+    for _ in range(10):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        for centre in (a, 0.93 * a + (1 - 0.93 ** 2) ** 0.5 * b):
+            rows.append(centre + 0.006 * rng.standard_normal((20, 64)))
+    x = rng.permutation(np.concatenate(rows))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= neighbours.THRESHOLD
+    np.fill_diagonal(near, False)
+    nodes, least = components.roots(*np.nonzero(near))
+    component = dict(enumerate(range(len(x)))) | dict(zip(nodes.tolist(), least.tolist()))
+    assert collections.Counter(collections.Counter(component.values()).values())[40] == 10
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(table).collect()}
+    assert got == {i: (int(near[i].sum()), component[i]) for i in range(len(x))}
+
+
 def test_mix_follows_the_weights(spark):
     rows = [(i, s) for i, s in enumerate(["a"] * 300 + ["b"] * 220 + ["c"] * 100)]
     weights, block = {"a": 5, "b": 3, "c": 2}, 4
