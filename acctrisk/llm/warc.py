@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from acctrisk.llm.common import stored
+
 #: Payload bytes of a file, about. Files are read whole, so this bounds a task's memory.
 SEGMENT_BYTES = 16 << 20
 #: Equal payloads of at least so many bytes are stored once.
@@ -77,9 +80,11 @@ def write_archive(records: DataFrame, folder: str, date: str = "1970-01-01T00:00
     records.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
-SCHEMA = "id long, type string, refers_to long, digest binary, head binary, payload binary"
+SCHEMA = ("id long, type string, refers_to long, digest binary, head binary, payload binary, "
+          "file string, place int, own binary, crc long")
 ARROW = pa.schema([("id", pa.int64()), ("type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.binary()),
-                   ("head", pa.binary()), ("payload", pa.binary())])
+                   ("head", pa.binary()), ("payload", pa.binary()), ("file", pa.string()), ("place", pa.int32()),
+                   ("own", pa.binary()), ("crc", pa.int64())])
 
 
 def _number(urn: bytes | None) -> int | None:
@@ -103,21 +108,29 @@ def parse(data: bytes) -> Iterator[tuple]:
         at = stop + 4
 
 
-def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, folder: str, payloads: bool = True, chosen: DataFrame | None = None) -> DataFrame:
     """The records in ``folder``: id, type, refers_to, digest, exact ``head`` and, if asked for, payload.
 
-    Spark lists and opens the files; each is unpacked and parsed in one piece, and the rows leave in
-    batches of a few MB.
+    ``file`` and ``place`` say where a record lies. ``own`` is the SHA-256 digest of a response's
+    payload and ``crc`` the CRC-32 of the record, both computed from the bytes read. ``chosen``
+    (``file``, ``places``) names the records to return; all without it. Spark lists and opens the
+    files; each is unpacked and parsed in one piece, and the rows leave in batches of a few MB.
     """
 
     def rows(batches):
         for batch in batches:
-            for content in batch.column("content"):
+            held = batch.column("places").to_pylist() if "places" in batch.schema.names else [None] * batch.num_rows
+            for path, content, some in zip(batch.column("path").to_pylist(), batch.column("content"), held):
                 out, size = [], 0
                 unpack = zlib.decompressobj(31)
                 data = unpack.decompress(content.as_py()) + unpack.flush()
-                for r in parse(data):
-                    out.append(r if payloads else (*r[:5], None))
+                wanted = None if some is None else set(some)
+                for n, r in enumerate(parse(data)):
+                    if wanted is not None and n not in wanted:
+                        continue
+                    own = None if r[5] is None else hashlib.sha256(r[5]).digest()
+                    crc = zlib.crc32(r[5] or b"", zlib.crc32(r[4]))
+                    out.append((*r[:5], r[5] if payloads else None, path, n, own, crc))
                     size += len(r[4]) + len(out[-1][5] or b"")
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW)], schema=ARROW)
@@ -125,25 +138,27 @@ def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW)], schema=ARROW)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    if chosen is not None:
+        files = files.join(chosen.select(F.col("file").alias("path"), "places"), "path")
     return files.mapInArrow(rows, SCHEMA)
 
 
-def store(spark: SparkSession, folder: str, target: str, revisit_from: int = REVISIT_FROM) -> tuple[DataFrame, DataFrame]:
+def store(spark: SparkSession, folder: str, target: str) -> tuple[DataFrame, DataFrame]:
     """Split an archive into the tables ``payloads`` and ``heads`` below ``target``.
 
-    ``payloads`` has each payload once under the SHA-256 digest of its bytes, computed anew.
-    ``heads`` has every record's exact header bytes with the digest that the record declares. The
-    writer has made payloads of ``revisit_from`` bytes and more unique (:func:`with_types`); of the
-    shorter ones one per digest is stored.
+    ``heads`` has every record's exact header bytes with the digest that the record declares.
+    ``payloads`` has each payload once under the SHA-256 digest of its bytes, computed anew, whoever
+    wrote the archive: of the responses with one digest, the first by file and place is read again
+    and stored. The choice takes digests and places alone, so that no payload is shuffled for it.
     """
-    records = read_archive(spark, folder).where(F.col("type") == "response")
-    hashed = records.select(F.unhex(F.sha2("payload", 256)).alias("digest"), "payload", F.octet_length("payload").cast("long").alias("bytes"))
-    long, short = hashed.where(F.col("bytes") >= revisit_from), hashed.where(F.col("bytes") < revisit_from)
-    short = short.groupBy("digest").agg(F.min("payload").alias("payload"), F.min("bytes").alias("bytes"))
-    long.unionByName(short).write.option("compression", "zstd").parquet(f"{target}/payloads")
     read_archive(spark, folder, payloads=False).drop("payload").write.option("compression", "zstd").parquet(f"{target}/heads")
-    return spark.read.parquet(f"{target}/payloads"), spark.read.parquet(f"{target}/heads")
+    heads = spark.read.parquet(f"{target}/heads")
+    one = heads.where(F.col("type") == "response").groupBy("own").agg(F.min(F.struct("file", "place")).alias("at"))
+    chosen = stored(one.groupBy("at.file").agg(F.collect_list("at.place").alias("places")), "chosen")
+    kept = read_archive(spark, folder, chosen=chosen).select(F.col("own").alias("digest"), "payload", F.octet_length("payload").cast("long").alias("bytes"))
+    kept.write.option("compression", "zstd").parquet(f"{target}/payloads")
+    return spark.read.parquet(f"{target}/payloads"), heads
 
 
 def resolve(heads: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -157,9 +172,15 @@ def resolve(heads: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def reconstruct(heads: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``id`` and ``record``: the bytes of every record as they were archived, without the closing line ends."""
+    """``heads`` with ``record``, the bytes of every record as they were archived, without the closing line ends.
+
+    ``payload`` and ``bytes`` are those of the full payload, also for revisits. A record that differs
+    from the archived one raises.
+    """
     body = F.when(F.col("type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return resolve(heads, payloads).where(F.col("bytes").isNotNull()).select("id", F.concat("head", body).alias("record"))
+    rebuilt = resolve(heads, payloads).where(F.col("bytes").isNotNull()).withColumn("record", F.concat("head", body))
+    other = F.raise_error(F.concat(F.lit("other bytes than archived in record "), F.coalesce(F.col("id").cast("string"), F.lit("none"))))
+    return rebuilt.withColumn("record", F.when(F.crc32("record") == F.col("crc"), F.col("record")).otherwise(other.cast("binary")))
 
 
 def archive_pages(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html",
@@ -174,9 +195,8 @@ def archive_pages(pages: DataFrame, folder: str, id: str = "page_id", url: str =
     """
     spark = pages.sparkSession
     write_archive(with_types(as_records(pages, id, url, html), revisit_from, segment_bytes), f"{folder}/warc")
-    payloads, heads = store(spark, f"{folder}/warc", folder, revisit_from)
-    # The digest is computed from the stored bytes once more: what is reported has been read back.
-    checked = payloads.select("digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    return resolve(heads, checked).select(
-        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), "payload_digest",
+    payloads, heads = store(spark, f"{folder}/warc", folder)
+    # Every record is rebuilt and compared, and the digest computed from its payload once more: what is reported has been read back.
+    return reconstruct(heads, payloads).where(F.col("record").isNotNull()).select(
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
         F.col("type").alias("record_type"), "refers_to")

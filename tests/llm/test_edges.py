@@ -1,6 +1,7 @@
 """Every operator on missing values, empty and long texts, ties, repeated rows, empty tables and odd columns."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from acctrisk.llm import exact, jaccard, lines, mixing, neighbours, packing, quality, shards, warc
 from acctrisk.llm.common import shared_folder
@@ -110,6 +111,22 @@ def test_warc_records_are_rebuilt_exactly(spark):
     assert payloads.count() == 2
 
 
+def test_warc_long_payloads_are_stored_once(spark):
+    pages = [(1, "u", "y" * 150), (1, "v", "y" * 150), (2, "w", "y" * 150), (None, "u", "z" * 200), (None, "v", "z" * 200), (3, "u", ""), (4, "u", None)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = warc.archive_pages(table, shared_folder(spark, "t")).collect()
+    assert sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out) == [
+        (0, 200, "response", None), (0, 200, "response", None), (1, 150, "response", None), (1, 150, "response", None),
+        (2, 150, "revisit", 1), (3, 0, "response", None), (4, 0, "response", None)]
+    folder = shared_folder(spark, "t")  # by a writer that repeats every payload
+    plain = warc.as_records(table).withColumn("refers_to", F.lit(None).cast("long"))
+    warc.write_archive(plain, f"{folder}/warc")
+    payloads, heads = warc.store(spark, f"{folder}/warc", folder)
+    assert payloads.count() == 3
+    whole = sorted(bytes(r["head"]) + bytes(r["payload"]) for r in warc.read_archive(spark, f"{folder}/warc").collect())
+    assert sorted(bytes(r["record"]) for r in warc.reconstruct(heads, payloads).collect()) == whole
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.1]), (4, [0.0, 1.0]), (5, None), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]),
