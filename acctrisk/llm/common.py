@@ -52,15 +52,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bucketed_rank(df: DataFrame, group: list[str], order: list, bucket_by: list[str], rows: int, name: str) -> DataFrame:
+def bucketed_rank(df: DataFrame, group: list[str], order: list, bucket_by: list[str], rows: int, name: str,
+                  bucket: Column | None = None) -> DataFrame:
     """Add ``name``: a gapless number from 0 within each ``group``, whose columns are not missing.
 
     Rows are numbered inside hash buckets of a group, and counts of the buckets give their offsets:
     a large group is no single task. There are as many buckets as the root of the number of all
-    ``rows``, so that a group has as many offsets as a bucket has rows at most.
+    ``rows``, so that a group has as many offsets as a bucket has rows at most. With ``bucket``, an
+    integer that never falls along ``order``, the numbers follow ``order`` across buckets, too.
     """
     buckets = math.isqrt(max(rows, 1))
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*bucket_by), F.lit(buckets)).cast("int"))
+    hashed = F.pmod(F.xxhash64(*bucket_by), F.lit(buckets)).cast("int") if bucket is None else bucket
+    df = df.withColumn("__bucket", hashed)
     place = [*group, "__bucket"]
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"))

@@ -28,8 +28,8 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    """Every piece of every document, with its place in a sequence."""
-    return packing.pack_documents(docs)
+    """Every piece of every document, with its place in a sequence; sequences follow the order of the mix."""
+    return packing.pack_documents(docs, ordered=True)
 
 
 STAGES = [

@@ -253,3 +253,28 @@ def test_pipeline(spark):
     assert len(set(left.values())) == len(left)
     assert len(set(brute_components({i: shingle_set(t) for i, t in left.items()}).values())) == len(left)
     assert {r["doc_id"] for r in entry.queries()["pipeline"](spark, SF_DIR).collect()} == set(left)
+
+
+def test_pipeline_packs_in_the_order_of_the_mix(spark):
+    """Sources lie apart by id; along the sequences they come by their weights until one runs dry."""
+    import corpus_pipeline
+    from acctrisk.llm.common import stored
+
+    source = {i: f"src{0 if i < 600 else 1 if i < 900 else 2}" for i in range(1300)}
+    docs = spark.createDataFrame([(i, "some words " * (60 + i % 3), s) for i, s in source.items()], "doc_id long, text string, source string")
+    mixed = stored(corpus_pipeline.mix_sources(spark, stored(docs), SF_DIR))
+    rows = corpus_pipeline.pack(spark, mixed, SF_DIR).collect()
+    assert {r["doc_id"] for r in rows} == set(source) and len(rows) == len(source)
+    last = max(r["sequence_id"] for r in rows)
+    assert {r["sequence_id"] for r in rows} == set(range(last + 1))
+    spaces = collections.defaultdict(list)
+    for r in rows:
+        spaces[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in spaces.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:i]) for i in range(len(held))] and sum(n for _, n in held) <= 2048
+    head = collections.Counter(source[r["doc_id"]] for r in rows if r["sequence_id"] <= last // 2)
+    tail = collections.Counter(source[r["doc_id"]] for r in rows if r["sequence_id"] > last * 0.9)
+    for name, weight in catalog.MIX_WEIGHTS.items():
+        assert abs(head[name] / sum(head.values()) - weight / 11) < 0.05
+    assert tail["src2"] > 0.9 * sum(tail.values())
