@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acctrisk.llm import exact, jaccard, lines, mixing, neighbours, packing, quality, shards, tokens, warc
+from acctrisk.llm import exact, jaccard, lines, mixing, neighbours, packing, pieces, quality, shards, tokens, warc
 from acctrisk.llm.common import shared_folder, table
 
 #: Target weights: shares of the mix in parts; sources not named have one part.
@@ -53,9 +53,17 @@ def op10_exact_dedup(spark, sf_dir):
     return exact.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_pieces(spark, sf_dir):
+    docs = pieces.encode_texts(table(spark, sf_dir, "documents"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_mixing, op3_line_dedup, op4_token_counts, op5_jaccard_join, op6_quality, op7_near_vectors, op8_packing,
-    op9_sharding, op10_exact_dedup)}
+    op9_sharding, op10_exact_dedup, op13_pieces)}
 
 SQL = {
     "op1_warc": """
