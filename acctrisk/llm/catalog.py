@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acctrisk.llm import exact, jaccard, lines, mixing, neighbours, packing, pieces, quality, shards, tokens, warc
+from acctrisk.llm import exact, jaccard, lines, mixing, neighbours, packing, pieces, quality, search, shards, tokens, warc
 from acctrisk.llm.common import shared_folder, table
 
 #: Target weights: shares of the mix in parts; sources not named have one part.
@@ -53,6 +53,10 @@ def op10_exact_dedup(spark, sf_dir):
     return exact.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_pieces(spark, sf_dir):
     docs = pieces.encode_texts(table(spark, sf_dir, "documents"))
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -63,7 +67,7 @@ def op13_pieces(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_mixing, op3_line_dedup, op4_token_counts, op5_jaccard_join, op6_quality, op7_near_vectors, op8_packing,
-    op9_sharding, op10_exact_dedup, op13_pieces)}
+    op9_sharding, op10_exact_dedup, op11_search, op13_pieces)}
 
 SQL = {
     "op1_warc": """
@@ -93,4 +97,21 @@ SQL = {
                count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM t""",
+    "op11_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT CAST(count(*) FILTER (WHERE len(terms) > 0) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d),
+        p AS (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+        f AS (SELECT row, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+              FROM f, s GROUP BY term, docs),
+        i AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * docs) // total)))) AS impact
+              FROM f JOIN w USING (term), s),
+        r AS (SELECT item_id, doc_id, row, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(impact) > 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
 }
