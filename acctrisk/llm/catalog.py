@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from acctrisk.llm import exact, jaccard, lines, mixing, neighbours, packing, pieces, quality, search, shards, tokens, warc
+from acctrisk.llm import exact, jaccard, lines, mixing, neighbours, packing, phrases, pieces, quality, search, shards, tokens, warc
 from acctrisk.llm.common import shared_folder, table
 
 #: Target weights: shares of the mix in parts; sources not named have one part.
@@ -57,6 +57,10 @@ def op11_search(spark, sf_dir):
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_pieces(spark, sf_dir):
     docs = pieces.encode_texts(table(spark, sf_dir, "documents"))
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -67,7 +71,7 @@ def op13_pieces(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_mixing, op3_line_dedup, op4_token_counts, op5_jaccard_join, op6_quality, op7_near_vectors, op8_packing,
-    op9_sharding, op10_exact_dedup, op11_search, op13_pieces)}
+    op9_sharding, op10_exact_dedup, op11_search, op12_phrases, op13_pieces)}
 
 SQL = {
     "op1_warc": """
@@ -114,4 +118,25 @@ SQL = {
         r AS (SELECT item_id, doc_id, row, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(impact) > 0),
         o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
         SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
+    "op12_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                   FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+        s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE len(words) > 0),
+        t AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY lang),
+        g AS (SELECT lang, words[i:i + m - 1] AS g, m FROM s, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(words)),
+        f AS (SELECT lang, g, m, CAST(count(*) AS BIGINT) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        dropped AS (SELECT DISTINCT a.lang, a.g FROM (
+                SELECT lang, g[1:m - 1] AS g, f FROM f WHERE m > 2 UNION ALL SELECT lang, g[2:m] AS g, f FROM f WHERE m > 2) b
+            JOIN f a ON a.lang = b.lang AND a.g = b.g AND a.f = b.f),
+        c AS (SELECT * FROM f WHERE m >= 2 AND NOT EXISTS (SELECT 1 FROM dropped d WHERE d.lang = f.lang AND d.g = f.g)),
+        k AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, n,
+                     CAST((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+              FROM c JOIN (SELECT unnest(range(1, 5)) AS k) ON k < c.m JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k]
+              JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:c.m] JOIN t ON t.lang = c.lang),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS cut FROM k),
+        o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM b WHERE cut = 1),
+        z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
+        SELECT * FROM z WHERE rank <= 2000""",
 }
