@@ -16,6 +16,8 @@ from acctrisk.llm.words import BASE, WEIGHTS, mixed
 
 #: Words of the longest phrase. Hashes that a task adds up, and phrases, before it gives them away.
 LONGEST, HELD_HASHES, HELD_PHRASES = 5, 1 << 20, 1 << 17
+#: Words of the longest phrases that are counted by hash first.
+FILTERED = 3
 #: Rows of a prefix range, rows that a range is chosen by, and most ranges. More rows make longer ranges.
 RANGE_ROWS, SAMPLE_ROWS, MOST_RANGES = 20_000, 50, 4096
 #: Signs of a word that a range may be named by.
@@ -43,9 +45,26 @@ class Words:
         #: Whether a word and the next one stand in the same piece.
         self.joined = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
 
-    def pairs(self) -> np.ndarray:
-        """Hashes of each word with the next one."""
-        return mixed(self.hashes[:-1] * WEIGHTS[0] + self.hashes[1:] * WEIGHTS[1])
+    def grams(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the ``size`` words from each of some places on."""
+        sums = np.full(len(at), size, np.uint64)
+        for j in range(size):
+            sums += self.hashes[at + j] * WEIGHTS[j]
+        return mixed(sums)
+
+    def possible(self, filters: list, size: int) -> np.ndarray:
+        """Places from which ``size`` words of a piece follow that may be frequent, and all shorter parts of them, too.
+
+        ``filters`` hold what is frequent of one word, two words and so on; beyond them only the parts decide.
+        """
+        held = in_bitset(filters[0], self.hashes)
+        for k in range(2, size + 1):
+            at = np.flatnonzero(self.joined[:max(len(held) - 1, 0)] & held[:-1] & held[1:])
+            if k <= len(filters):
+                at = at[in_bitset(filters[k - 1], self.grams(at, k))]
+            held = np.zeros(len(held), bool)
+            held[at] = True
+        return held
 
 
 def _slices(batches):
@@ -105,31 +124,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, h long, n long")
 
 
-def pair_counts(docs: DataFrame, frequent) -> DataFrame:
-    """Counts of hashed pairs of frequent words that follow each other."""
+def gram_counts(docs: DataFrame, filters: list, size: int) -> DataFrame:
+    """Counts of hashed phrases of ``size`` words whose parts are all frequent."""
     def count(batches):
-        sums = _Sums()
+        sums, own = _Sums(), [f.value for f in filters]
         for words in _slices(batches):
-            held = in_bitset(frequent.value, words.hashes)
-            yield from sums.add(words.pairs()[words.joined & held[:-1] & held[1:]])
+            at = np.flatnonzero(words.possible(own, size))
+            yield from sums.add(words.grams(at, size))
         yield sums.give()
 
     return docs.mapInArrow(count, "lang string, h long, n long")
 
 
-def shard_phrases(docs: DataFrame, frequent, frequent_pairs) -> DataFrame:
-    """``lang``, ``words`` and ``n``: of each frequent word on, the words of up to five that are frequent pairs.
+def shard_phrases(docs: DataFrame, filters: list) -> DataFrame:
+    """``lang``, ``words`` and ``n``: from each frequent word on, up to five words of which all parts may be frequent.
 
     What a task holds is given away in ascending order, equal phrases added up. Beginnings of these
     phrases are all phrases that can be frequent, and every occurrence of such is counted once.
     """
     def count(batches):
         sums: dict[tuple, int] = {}
+        own = [f.value for f in filters]
         for words in _slices(batches):
-            held = in_bitset(frequent.value, words.hashes)
-            step = words.joined & held[:-1] & held[1:]
-            step[step] = in_bitset(frequent_pairs.value, words.pairs()[step])
-            _add_phrases(sums, words, held, step)
+            _add_phrases(sums, words, own)
             if len(sums) > HELD_PHRASES:
                 yield _rows(sorted(sums.items()))
                 sums = {}
@@ -139,7 +156,8 @@ def shard_phrases(docs: DataFrame, frequent, frequent_pairs) -> DataFrame:
     return docs.mapInArrow(count, "lang string, words array<string>, n long")
 
 
-def _add_phrases(sums: dict, words: Words, held: np.ndarray, step: np.ndarray) -> None:
+def _add_phrases(sums: dict, words: Words, filters: list) -> None:
+    held = words.possible(filters, 1)
     at = np.flatnonzero(held)
     if not len(at):
         return
@@ -147,11 +165,7 @@ def _add_phrases(sums: dict, words: Words, held: np.ndarray, step: np.ndarray) -
     names = [w.as_py() for w in coded.dictionary]
     code = np.full(len(held) + LONGEST, -1, np.int64)
     code[at] = coded.indices.to_numpy()
-    more = np.concatenate([step, np.zeros(LONGEST, bool)])
-    size, going = np.ones(len(at), np.int64), np.ones(len(at), bool)
-    for k in range(LONGEST - 1):
-        going = going & more[at + k]
-        size += going
+    size = sum(words.possible(filters, k)[at].astype(np.int64) for k in range(1, LONGEST + 1))
     keys = words.lang[at] * len(names) + code[at]
     tables = []
     for k in range(1, LONGEST):  # pairs of what stands so far and the next word get one number each
@@ -277,9 +291,9 @@ def part_counts(counts: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
     """The ``top`` phrases of each language by score: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 
-    Phrases have two to five words of one piece and occur at least ``least`` times. Words and pairs
-    are first counted by hash, which only rules out what can't be frequent; all that is left is
-    counted as text. Phrases inside a longer one with the same count go.
+    Phrases have two to five words of one piece and occur at least ``least`` times. Words, pairs and
+    triples are first counted by hash, which only rules out what can't be frequent; all that is left
+    is counted as text. Phrases inside a longer one with the same count go.
 
     A missing language is ``und``, also next to a language of that name. Missing and empty texts have
     no words, texts and words of any length are read whole, repeated rows count as often as they
@@ -289,9 +303,10 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str =
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     words = stored(word_counts(rows), "words")
     totals = words.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = spark.sparkContext.broadcast(_frequent(words, least, "frequent"))
-    frequent_pairs = spark.sparkContext.broadcast(_frequent(pair_counts(rows, frequent), least, "pairs"))
-    counts = stored(united_counts(stored(shard_phrases(rows, frequent, frequent_pairs), "shards"), least), "counts")
+    filters = [spark.sparkContext.broadcast(_frequent(words, least, "frequent"))]
+    for size in range(2, FILTERED + 1):
+        filters.append(spark.sparkContext.broadcast(_frequent(gram_counts(rows, filters, size), least, "frequent")))
+    counts = stored(united_counts(stored(shard_phrases(rows, filters), "shards"), least), "counts")
     ahead = part_counts(counts).select("lang", "words", F.col("along").alias("ls"), F.lit(None).cast("array<long>").alias("rs"), "same")
     turned = part_counts(counts.withColumn("words", F.reverse("words")))
     behind = turned.select("lang", F.reverse("words").alias("words"), F.lit(None).cast("array<long>").alias("ls"), F.col("along").alias("rs"), "same")
