@@ -17,7 +17,7 @@ from acctrisk.llm.words import BASE, WEIGHTS, mixed
 #: Words of the longest phrase. Hashes that a task adds up, and phrases, before it gives them away.
 LONGEST, HELD_HASHES, HELD_PHRASES = 5, 1 << 20, 1 << 17
 #: Words of the longest phrases that are counted by hash first.
-FILTERED = 3
+FILTERED = LONGEST
 #: Rows of a prefix range, rows that a range is chosen by, and most ranges. More rows make longer ranges.
 RANGE_ROWS, SAMPLE_ROWS, MOST_RANGES = 20_000, 50, 4096
 #: Signs of a word that a range may be named by.
@@ -291,8 +291,8 @@ def part_counts(counts: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
     """The ``top`` phrases of each language by score: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 
-    Phrases have two to five words of one piece and occur at least ``least`` times. Words, pairs and
-    triples are first counted by hash, which only rules out what can't be frequent; all that is left
+    Phrases have two to five words of one piece and occur at least ``least`` times. Words and
+    phrases are first counted by hash, level by level, which only rules out what can't be frequent; all that is left
     is counted as text. Phrases inside a longer one with the same count go.
 
     A missing language is ``und``, also next to a language of that name. Missing and empty texts have
