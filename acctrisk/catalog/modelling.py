@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acctrisk.catalog.features import account_table, rounded
 from acctrisk.catalog.registry import query
-from acctrisk.models import bayes, kernel_bayes, knn, linear, stacking, trees
+from acctrisk.models import bayes, boosting, kernel_bayes, knn, linear, splines, stacking, stepwise, trees
 from acctrisk.models.base import Fit, settled
 from acctrisk.operators import splits
 from acctrisk.plans import mart
@@ -37,19 +37,19 @@ _register("fit_tree", lambda: trees.tree(FULL24))
 _register("fit_logit", lambda: linear.logistic(FULL24))
 _register("fit_logit_interactions", lambda: linear.logistic_formula(
     linear.formula(NET16, linear.LOGISTIC_INTERACTIONS)))
-_register("fit_step_aic", lambda: linear.stepwise(
-    ("TotalBalanceOL_perc_max", "count_num_cmp", "median_payment", "number_payments")))
+_register("fit_step_aic", lambda: stepwise.stepwise(FULL24))
 _register("fit_forest", lambda: trees.forest(FULL24))
 _register("fit_gbt", lambda: trees.boosted(FULL24, rounds=10, max_depth=5, min_rows=20, min_gain=0.0))
-_register("fit_gbt_early_stop", lambda: trees.boosted(
-    FULL24, rounds=20, step=0.1, max_depth=3, min_gain=0.0, min_rows=1, holdout=0.2))
+STOPPED = dict(holdout=0.2, rounds=500, step=0.1, max_depth=3, min_loss=5.0, min_hessian=1.0, stop=5)
+_register("fit_boosted", lambda: boosting.boosted(FULL24))
+_register("fit_gbt_early_stop", lambda: boosting.boosted(FULL24, **STOPPED))
 _register("fit_gbt_var1", lambda: trees.boosted(
     mart.BILLING13, rounds=100, step=0.3, max_depth=2, min_gain=0.0, min_rows=1, rows=0.5))
 _register("fit_gbt_var2", lambda: trees.boosted(
     mart.PAYMENTS11, rounds=100, step=0.3, max_depth=3, min_gain=0.0, min_rows=1, rows=0.5))
 _register("fit_svm_linear", lambda: linear.svm_linear(FULL24))
 _register("fit_svm_rff", lambda: linear.svm_radial(FULL24))
-_register("fit_gam_spline", lambda: linear.additive(FULL24))
+_register("fit_gam_spline", lambda: splines.additive(FULL24))
 _register("fit_mlp_avg", lambda: linear.network_average(NET16, networks=3, max_iter=50))
 _register("nb_kernel", lambda: kernel_bayes.kernel(FULL24))
 _register("nb_model_avg", lambda: bayes.model_averaged(mart.BAYES14))
@@ -117,7 +117,36 @@ def knn_exact(spark, sf_dir):
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    return trees.importance(model_rows(spark, sf_dir), FULL24, trees=20, max_depth=5)
+    rows = model_rows(spark, sf_dir)
+    nodes = boosting.node_table(rows.where(views.is_train()), FULL24, **STOPPED | dict(min_loss=1.0))
+    return boosting.importance(nodes)
+
+
+#: Cuts of equal width, which SQL can repeat to the last digit.
+_EQUAL = "(SELECT min({p}) AS low, max({p}) AS high FROM train)"
+_LEFT = """SELECT '{p}' AS predictor, cut, sum(0.5 - "Default") FILTER (WHERE {p} <= cut) AS gl, 0.25 * count(*) FILTER (WHERE {p} <= cut) AS hl,
+           sum(0.5 - "Default") AS g, 0.25 * count(*) AS h
+    FROM train, (SELECT DISTINCT low + (high - low) * k / 64 AS cut, high FROM """ + _EQUAL + """, (SELECT unnest(range(1, 64)) AS k))
+    WHERE cut < high GROUP BY cut"""
+
+
+@query("boost_first_gains", f"""
+    WITH m AS ({_MODEL}), train AS (SELECT * FROM m WHERE ID_CPTE % 10 < 7),
+    cuts AS ({" UNION ALL ".join(_LEFT.format(p=p) for p in FULL24)}),
+    filled AS (SELECT predictor, cut, coalesce(gl, 0) AS gl, hl, g, h FROM cuts)
+    SELECT predictor, cut, CAST(gl AS DOUBLE) AS gl, CAST(hl AS DOUBLE) AS hl,
+           round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1), 6) AS gain FROM filled""")
+def boost_first_gains(spark, sf_dir):
+    train = model_rows(spark, sf_dir).where(views.is_train())
+    spans = train.agg(*[F.struct(F.min(p), F.max(p)) for p in FULL24]).first()
+    cuts = [sorted({low + (high - low) * k / 64 for k in range(1, 64)} - {high}) if low < high else [] for low, high in spans]
+    return rounded(boosting.first_gains(train, FULL24, cuts), "gain", digits=6)
+
+
+@query("step_path")
+def step_path(spark, sf_dir):
+    rows = model_rows(spark, sf_dir)
+    return stepwise.step_table(rows.where(views.is_train()), FULL24)
 
 
 LEVEL_1 = {
@@ -162,9 +191,11 @@ def first_stage_feature(spark, sf_dir):
 
 @query("grid_search")
 def grid_search(spark, sf_dir):
-    rows = splits.hashed_folds(model_rows(spark, sf_dir), 2)
-    grid = stacking.expand_grid(rows=[0.8], max_depth=[3], min_rows=[1, 20], step=[0.1], min_gain=[0.0])
-    return stacking.grid_search(rows, lambda **p: trees.boosted(FULL24, rounds=5, **p), grid, 2)
+    rows = splits.hashed_folds(model_rows(spark, sf_dir), 3)
+    grid = stacking.expand_grid(
+        rows=[0.8], columns=[0.8], max_depth=[3], min_hessian=[1.0, 20.0, 50.0], step=[0.05, 0.1, 0.2], min_loss=[0.0, 1.0, 5.0],
+        rounds=[500], stop=[10])
+    return boosting.grid_search(rows, mart.REVISED8, grid, 3)
 
 
 @query("cross_validation")

@@ -20,7 +20,7 @@ from acctrisk.models.base import (
 from acctrisk.models.trees import averaged
 from acctrisk.sources.schemas import KEY, LABEL
 
-# The interaction terms the models are defined on.
+# The interaction terms and degrees of freedom the models are defined on.
 LOGISTIC_INTERACTIONS = (
     ("mean_balance", "max_balance"), ("mean_cash_balance", "max_cash_balance"),
     ("SpendingOL_perc_max", "SpendingOL_ind"),
