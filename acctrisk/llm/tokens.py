@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from acctrisk.llm import bpe
-from acctrisk.llm.common import shared_folder
+from acctrisk.llm.common import shared_folder, stored
 
 #: The id that ends a document in a flat file. Ids are unsigned 16-bit, little-endian.
 END_OF_DOCUMENT = 50256
@@ -29,7 +29,7 @@ def write_flat(docs: DataFrame, folder: str, by: list[str], order: str, text: st
     def ids(batches):
         encode = bpe.encoder(path)
         for batch in batches:
-            rows = [np.frombuffer(encode(t.as_py()), np.uint32).astype("<u2").tobytes() for t in batch.column(text)]
+            rows = [_narrow(np.frombuffer(encode(t.as_py()), np.uint32), eod) for t in batch.column(text)]
             keys = [batch.column(c) for c in (*by, order)]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(rows, pa.binary())], names=[*by, order, "value"])
 
@@ -42,6 +42,13 @@ def write_flat(docs: DataFrame, folder: str, by: list[str], order: str, text: st
      .option("maxRecordsPerFile", FILE_DOCUMENTS).text(folder))
 
 
+def _narrow(ids: np.ndarray, eod: int) -> bytes:
+    """Ids as they stand in a flat file; such that can't stand there raise."""
+    if len(ids) and (ids.max() >= 1 << 16 or (ids == eod).any()):
+        raise ValueError(f"ids of a flat file are below {1 << 16}, and {eod} only ends a document")
+    return ids.astype("<u2").tobytes()
+
+
 def scan_blocks(spark: SparkSession, folder: str, eod: int = END_OF_DOCUMENT, block: int = BLOCK) -> DataFrame:
     """One row per block of a file: ``file``, ``block``, ``tokens`` and ``ends``, the places of ``eod`` in the file."""
     def scan(batches):
@@ -77,13 +84,13 @@ def document_spans(blocks: DataFrame) -> DataFrame:
         "file", "ends", F.coalesce(F.max(last).over(earlier) + 1, F.lit(0)).alias("open"),
         F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("before"),
         F.when(F.count(F.lit(1)).over(later) == 0, upto).alias("stop"))
-    tail = F.coalesce(last + 1, F.col("open"))
+    # The arrays are made once per block, outside the function of an element. The last start has no end in its block.
     starts = F.concat(F.array("open"), F.transform("ends", lambda e: e + 1))
-    whole = F.transform("ends", lambda e, i: F.struct(
-        (F.col("before") + i).alias("ordinal"), F.get(starts, i).alias("start"), (e - F.get(starts, i)).alias("n_tokens"), F.lit(True).alias("ended")))
-    rest = F.when(F.col("stop") > tail, F.array(F.struct(
-        (F.col("before") + F.size("ends")).alias("ordinal"), tail.alias("start"), (F.col("stop") - tail).alias("n_tokens"), F.lit(False).alias("ended"))))
-    return carried.select("file", F.inline(F.concat(whole, F.coalesce(rest, F.array_except(whole, whole)))))
+    both = F.zip_with(starts, "ends", lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+    spans = F.transform(both, lambda z, i: F.struct(
+        (F.col("before") + i).alias("ordinal"), z["start"].alias("start"),
+        (F.coalesce(z["end"], F.col("stop")) - z["start"]).alias("n_tokens"), z["end"].isNotNull().alias("ended")))
+    return carried.select("file", F.inline(F.filter(spans, lambda x: x["ended"] | (x["n_tokens"] > 0))))
 
 
 def token_counts(spark: SparkSession, path: str, id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -93,7 +100,8 @@ def token_counts(spark: SparkSession, path: str, id: str = "doc_id", text: str =
     ``ordinal`` and ``start``. The files have no index: the n-th document of an input file is the
     n-th end in the flat files written from it, in their order, and a prefix scan over those files
     numbers the ends. A missing or empty text has no tokens; missing and repeated ids have a row per
-    input row; an empty table gives an empty result; other columns are ignored.
+    input row; an empty table gives an empty result; other columns are ignored. Long texts are counted
+    whole; a flat file holds 4000 documents, and Spark reads it if it has less than 2 GB.
     """
     docs = spark.read.parquet(path)
     source = F.xxhash64(F.col("_metadata.file_path"))
@@ -103,9 +111,9 @@ def token_counts(spark: SparkSession, path: str, id: str = "doc_id", text: str =
     write_flat(placed, folder, ["source", "part"], "row", "text", tokenizer)
     found = document_spans(scan_blocks(spark, folder))
     name = F.col("file")
-    found = found.select(
+    found = stored(found.select(
         "*", F.regexp_extract(name, r"source=(-?\d+)", 1).cast("long").alias("source"),
-        F.regexp_extract(name, r"part=(\d+)", 1).cast("long").alias("part"), F.regexp_extract(name, r"[.-]c(\d+)", 1).cast("int").alias("number"))
+        F.regexp_extract(name, r"part=(\d+)", 1).cast("long").alias("part"), F.regexp_extract(name, r"[.-]c(\d+)", 1).cast("int").alias("number")), "spans")
     sizes = found.groupBy("source", "part", "number").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("source", "part", "number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
