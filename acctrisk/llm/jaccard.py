@@ -457,8 +457,11 @@ def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width
 def drop_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
 
-    Rows that repeat that id all stay: they are told apart by nothing but their texts.
+    Rows that repeat that id all stay. A row without id counts as one with an id of its own, below
+    ``-2**62`` and made from its text: rows without id and of equal texts stay or go together.
     """
-    found = similar_texts(docs, id, text, width, percent)
+    own = F.coalesce(F.col(id).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 2))
+    numbered = docs.withColumn("__own", own)
+    found = similar_texts(numbered, "__own", text, width, percent)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")), F.col(id) == F.col("__gone"), "left_anti")
+    return numbered.join(gone.select(F.col("doc_id").alias("__gone")), F.col("__own") == F.col("__gone"), "left_anti").drop("__own")

@@ -62,8 +62,9 @@ def cut(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
 
 
 def _positions(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ``__pos``, the number of their document in the table, for its file and row; one count per file is broadcast."""
-    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    """``pieces`` with ``__pos``, the number of their document in the table, for its file's number and its row; one count per file is broadcast."""
+    number = F.regexp_extract("__file", r"part-(\d+)", 1).try_cast("long")  # as text, part-100000 stands before part-99999
+    before = Window.orderBy(number, "__file").rowsBetween(Window.unboundedPreceding, -1)
     files = pieces.where("piece = 0").groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
     offsets = files.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
     return pieces.join(F.broadcast(offsets), "__file").withColumn("__pos", F.col("__offset") + F.col("__row")).drop("__file", "__row", "__offset")

@@ -73,19 +73,20 @@ def models(docs: DataFrame, good: np.ndarray) -> np.ndarray:
 
 
 def scores(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``id``, ``log_weight`` (sum over the text's n-grams) and ``n_grams``, per row."""
+    """``id``, ``text_hash``, ``log_weight`` (sum over the text's n-grams) and ``n_grams``, per row."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)  # one number per bucket
-    schema = pa.schema([("id", pa.int64()), ("log_weight", pa.float64()), ("n_grams", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("log_weight", pa.float64()), ("n_grams", pa.int64())])
 
     def score(batches):
         tables = words.powers()
         for batch in batches:
             found = [ngrams(own) for own in _texts(batch, tables)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array([float(held.value[f].sum()) for f in found], pa.float64()),
+                batch.column("id"), batch.column("text_hash"), pa.array([float(held.value[f].sum()) for f in found], pa.float64()),
                 pa.array([len(f) for f in found], pa.int64())], schema=schema)
 
-    return docs.mapInArrow(score, "id long, log_weight double, n_grams long")
+    hashed = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    return hashed.mapInArrow(score, "id long, text_hash long, log_weight double, n_grams long")
 
 
 def mean_weight() -> Column:
@@ -163,7 +164,7 @@ def top_k(rows: DataFrame, key: str, k: int) -> DataFrame:
 
 def weighed(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality",
             fit_rows: int = FIT_ROWS, loss: float = LOSS) -> DataFrame:
-    """One row per input row: id, ``log_weight``, ``n_grams``, ``mean_weight``, ``accepted``; stored.
+    """One row per input row: id, ``text_hash``, ``log_weight``, ``n_grams``, ``mean_weight``, ``accepted``; stored.
 
     Hashed unigrams and bigrams of words, numbers and runs of signs have probabilities in the target
     (the labelled good texts) and in all texts; a text's log weight is the sum of the logs of their
@@ -177,7 +178,7 @@ def weighed(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     scored = stored(scores(own, models(own, good)), "weights")
     cut = best_cut(scored, good, bad, loss)
     accepted = (mean_weight() >= F.lit(cut)) | (F.col("n_grams") == 0) if math.isfinite(cut) else F.lit(cut < 0) | (F.col("n_grams") == 0)
-    return scored.select("id", "log_weight", "n_grams", mean_weight().alias("mean_weight"), accepted.alias("accepted"))
+    return scored.select("id", "text_hash", "log_weight", "n_grams", mean_weight().alias("mean_weight"), accepted.alias("accepted"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int = 0, id: str = "doc_id", text: str = "text",
@@ -194,10 +195,11 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int =
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`weighed` accepts, with all their columns.
+    """The rows of ``docs`` that :func:`weighed` accepts, with all their columns; nothing is sampled.
 
-    Rows that repeat an id with different texts stay or go together: they go if one is rejected.
+    A row is judged by its own text, also where its id is missing or repeated.
     """
-    gone = weighed(docs, labels, id, text, label, **options).where("not accepted").select("id").distinct()
-    gone = gone.where("id is not null")
-    return docs.join(gone.select(F.col("id").alias("__gone")), F.col(id) == F.col("__gone"), "left_anti")
+    gone = weighed(docs, labels, id, text, label, **options).where("not accepted")
+    gone = gone.select(F.col("id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col(id).cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that are hashed at once; longer texts are cut at white space.
+#: Bytes that are hashed at once. Longer texts are hashed in pieces, their words as wholes.
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 #: ASCII space, tab, line feed, vertical tab, form feed and carriage return.
@@ -37,15 +37,12 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for one chunk with room for a long word."""
+    """Powers of the base and of its inverse modulo 2**64, for one chunk."""
     return _powers(CHUNK + 1, BASE), _powers(CHUNK + 1, pow(BASE, -1, 1 << 64))
 
 
-def word_hashes(data: np.ndarray, breaks: np.ndarray, tables: tuple, values: np.ndarray, by_kind: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words in ``data``, of at most :data:`CHUNK` bytes. No word spans a break.
-
-    Words are runs of non-blanks or, ``by_kind``, runs of letters, digits or other signs.
-    """
+def _sums(data: np.ndarray, breaks: np.ndarray, tables: tuple, values: np.ndarray, by_kind: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and polynomial sums of the words in ``data``, of at most :data:`CHUNK` bytes."""
     n = len(data)
     kind = KINDS[data]
     word = kind != 0
@@ -57,18 +54,37 @@ def word_hashes(data: np.ndarray, breaks: np.ndarray, tables: tuple, values: np.
     up, down = tables
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values[data] * up[:n], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    return starts, (ends - starts).astype(np.uint64), (sums[ends] - sums[starts]) * down[starts]
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Pieces of a long text, cut behind white space; a word longer than a chunk is cut, too."""
-    at = 0
-    while len(data) - at > CHUNK:
-        blanks = np.flatnonzero(KINDS[data[at:at + CHUNK]] == 0)
-        cut = at + int(blanks[-1]) + 1 if len(blanks) else at + CHUNK
-        yield data[at:cut]
-        at = cut
-    yield data[at:]
+def word_hashes(data: np.ndarray, breaks: np.ndarray, tables: tuple, values: np.ndarray, by_kind: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words in ``data``, of at most :data:`CHUNK` bytes. No word spans a break.
+
+    Words are runs of non-blanks or, ``by_kind``, runs of letters, digits or other signs.
+    """
+    starts, lengths, sums = _sums(data, breaks, tables, values, by_kind)
+    return mixed(sums + lengths), starts
+
+
+def _long(data: np.ndarray, tables: tuple, values: np.ndarray, by_kind: bool) -> np.ndarray:
+    """The word hashes of one long text. The sum of a word that a chunk cuts is carried into the next one."""
+    out, carried = [], None  # sum, length and kind of the last byte
+    for at in range(0, len(data), CHUNK):
+        piece = data[at:at + CHUNK]
+        starts, lengths, sums = _sums(piece, np.zeros(1, np.int64), tables, values, by_kind)
+        if carried is not None:
+            total, length, kind = carried
+            if len(starts) and starts[0] == 0 and (not by_kind or KINDS[piece[0]] == kind):
+                moved = (int(sums[0]) * pow(BASE, length, 1 << 64) + total) % (1 << 64)
+                sums[0], lengths[0] = np.uint64(moved), lengths[0] + np.uint64(length)
+            else:
+                out.append(mixed(np.array([(total + length) % (1 << 64)], np.uint64)))
+            carried = None
+        if len(starts) and at + CHUNK < len(data) and KINDS[piece[-1]]:
+            carried = int(sums[-1]), int(lengths[-1]), KINDS[piece[-1]]
+            sums, lengths = sums[:-1], lengths[:-1]
+        out.append(mixed(sums + lengths))
+    return np.concatenate(out)
 
 
 def words_of(texts: pa.Array, tables: tuple, lower: bool = True, by_kind: bool = False) -> Iterator[np.ndarray]:
@@ -81,8 +97,7 @@ def words_of(texts: pa.Array, tables: tuple, lower: bool = True, by_kind: bool =
     while i < len(texts):
         j = int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1
         if j <= i:
-            parts = [word_hashes(p, np.zeros(1, np.int64), tables, values, by_kind)[0] for p in _pieces(data[offsets[i]:offsets[i + 1]])]
-            yield np.concatenate(parts)
+            yield _long(data[offsets[i]:offsets[i + 1]], tables, values, by_kind)
             i += 1
             continue
         bounds = offsets[i:j + 1] - offsets[i]
