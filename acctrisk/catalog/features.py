@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acctrisk.catalog.registry import query
 from acctrisk.functions import columns as C
-from acctrisk.operators import joins, nulls
+from acctrisk.operators import coding, joins, nulls
 from acctrisk.plans import billing as B, mart, payments as P, profile, transactions as X
 from acctrisk.session import checkpointed
 from acctrisk.sources import views
@@ -147,9 +147,7 @@ def label_recode(spark, sf_dir):
 @query("categorical_code", """
     SELECT key, var_cat, CAST(dense_rank() OVER (ORDER BY var_cat) - 1 AS INTEGER) AS code FROM scored""")
 def categorical_code(spark, sf_dir):
-    df = views.scored(spark, sf_dir)
-    levels = C.sorted_levels(df, "var_cat")
-    return df.select("key", "var_cat", C.categorical_code("var_cat", levels).alias("code"))
+    return coding.categorical_code(views.scored(spark, sf_dir).select("key", "var_cat"), "var_cat")
 
 
 @query("logical_cast", """

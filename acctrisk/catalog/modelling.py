@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acctrisk.catalog.features import account_table, rounded
 from acctrisk.catalog.registry import query
-from acctrisk.models import bayes, boosting, kernel_bayes, knn, linear, splines, stacking, stepwise, trees
+from acctrisk.models import bayes, boosting, kernel_bayes, knn, linear, pruning, splines, stacking, stepwise, trees
 from acctrisk.models.base import Fit, settled
 from acctrisk.operators import splits
 from acctrisk.plans import mart
@@ -34,6 +34,7 @@ def _register(name: str, make) -> None:
 
 
 _register("fit_tree", lambda: trees.tree(FULL24))
+_register("fit_pruned_tree", lambda: pruning.pruned_tree(FULL24))
 _register("fit_logit", lambda: linear.logistic(FULL24))
 _register("fit_logit_interactions", lambda: linear.logistic_formula(
     linear.formula(NET16, linear.LOGISTIC_INTERACTIONS)))
@@ -143,6 +144,12 @@ def boost_first_gains(spark, sf_dir):
     return rounded(boosting.first_gains(train, FULL24, cuts), "gain", digits=6)
 
 
+@query("complexity_table")
+def complexity_table(spark, sf_dir):
+    rows = splits.hashed_folds(model_rows(spark, sf_dir).where(views.is_train()), 10)
+    return pruning.complexity_table(rows, FULL24, 10)
+
+
 @query("step_path")
 def step_path(spark, sf_dir):
     rows = model_rows(spark, sf_dir)

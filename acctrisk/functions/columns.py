@@ -77,16 +77,3 @@ def _reject_unknown(df: DataFrame, names: set[str], strict: bool) -> None:
     unknown = sorted(names - set(df.columns))
     if strict and unknown:
         raise ValueError(f"not in the table: {', '.join(unknown)}")
-
-
-def categorical_code(column: str, levels: DataFrame) -> Column:
-    """Zero-based position of a value among the sorted levels.
-
-    ``levels`` is a one-row, one-column frame holding the sorted array of levels.
-    """
-    return (F.array_position(levels.scalar(), F.col(column)) - 1).cast("int")
-
-
-def sorted_levels(df: DataFrame, column: str) -> DataFrame:
-    """The distinct values of a categorical column as one sorted array (for factor coding)."""
-    return df.agg(F.array_sort(F.collect_set(column)).alias("levels"))

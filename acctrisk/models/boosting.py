@@ -216,7 +216,8 @@ def _best(sums: DataFrame, settings: dict[int, Settings]) -> list[tuple]:
     table = sums.toArrow()
     model, node, predictor, cut, gl, hl, g, h = (table[c].to_numpy() for c in ("model", "node", "predictor", "cut", "gl", "hl", "g", "h"))
     l2, least = (np.array([getattr(settings[m], name) for m in model.tolist()]) for name in ("l2", "min_hessian"))
-    gain = removed_loss(gl, hl, g, h, l2)
+    with np.errstate(invalid="ignore", divide="ignore"):  # an empty child, without an L2 term
+        gain = removed_loss(gl, hl, g, h, l2)
     splits = (hl >= least) & (h - hl >= least) & (gain > 1e-6)
     order = np.lexsort((cut, predictor, -gain, ~splits, node, model))
     first = np.flatnonzero(np.diff(model[order], prepend=-1).astype(bool) | np.diff(node[order], prepend=-1).astype(bool))

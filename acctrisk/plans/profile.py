@@ -39,7 +39,7 @@ def contingency(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def describe_by(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Sample statistics of a numeric column per group, for few but arbitrarily large groups.
+    """Sample statistics of a numeric column per group, for any number of groups of any size.
 
     Moments are one aggregation; median, trimmed mean and median absolute deviation come from
     distributed ranks. Skew and kurtosis use the sample variance. The column is read several
@@ -57,8 +57,7 @@ def describe_by(df: DataFrame, group: str, value: str) -> DataFrame:
     )
     median = exact_quantiles(rows, "x", [0.5], by=[group]).select(group, F.col("quantile").alias("median"))
     median = checkpointed(median)
-    centre = median.agg(F.map_from_entries(F.collect_list(F.struct(group, "median")))).scalar()
-    away = rows.select(group, F.abs(F.col("x") - F.element_at(centre, F.col(group))).alias("away"))
+    away = rows.join(median, group).select(group, F.abs(F.col("x") - F.col("median")).alias("away"))
     mad = exact_quantiles(away, "away", [0.5], by=[group]).select(
         group, (F.col("quantile") * MAD_SCALE).alias("mad"))
     counted = rows.groupBy(group, "x").agg(F.count(F.lit(1)).alias("copies"))
