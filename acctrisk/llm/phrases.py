@@ -15,7 +15,7 @@ from acctrisk.llm.common import bitset, groups, in_bitset, stored
 from acctrisk.llm.words import BASE, WEIGHTS, mixed
 
 #: Words of the longest phrase. Hashes that a task adds up, and phrases, before it gives them away.
-LONGEST, HELD_HASHES, HELD_PHRASES = 5, 1 << 20, 1 << 17
+LONGEST, HELD_HASHES, HELD_PHRASES = 5, 1 << 20, 1 << 19
 #: Words of the longest phrases that are counted by hash first.
 FILTERED = LONGEST
 #: Rows of a prefix range, rows that a range is chosen by, and most ranges. More rows make longer ranges.
@@ -143,45 +143,71 @@ def shard_phrases(docs: DataFrame, filters: list) -> DataFrame:
     phrases are all phrases that can be frequent, and every occurrence of such is counted once.
     """
     def count(batches):
-        sums: dict[tuple, int] = {}
-        own = [f.value for f in filters]
+        held, own = _Phrases(), [f.value for f in filters]
         for words in _slices(batches):
-            _add_phrases(sums, words, own)
-            if len(sums) > HELD_PHRASES:
-                yield _rows(sorted(sums.items()))
-                sums = {}
-        if sums:
-            yield _rows(sorted(sums.items()))
+            held.add(words, own)
+            if held.full():
+                yield held.give()
+        yield held.give()
 
     return docs.mapInArrow(count, "lang string, words array<string>, n long")
 
 
-def _add_phrases(sums: dict, words: Words, filters: list) -> None:
-    held = words.possible(filters, 1)
-    at = np.flatnonzero(held)
-    if not len(at):
-        return
-    coded = runs.strings(words.data, words.starts[at], words.ends[at]).dictionary_encode()
-    names = [w.as_py() for w in coded.dictionary]
-    code = np.full(len(held) + LONGEST, -1, np.int64)
-    code[at] = coded.indices.to_numpy()
-    size = sum(words.possible(filters, k)[at].astype(np.int64) for k in range(1, LONGEST + 1))
-    keys = words.lang[at] * len(names) + code[at]
-    tables = []
-    for k in range(1, LONGEST):  # pairs of what stands so far and the next word get one number each
-        seen, keys = np.unique(keys, return_inverse=True)
-        tables.append(seen)
-        keys = keys * (len(names) + 1) + np.where(size > k, code[at + k], -1) + 1
-    seen, counts = np.unique(keys, return_counts=True)
-    back, tail = seen, []
-    for table in reversed(tables):
-        tail.append(back % (len(names) + 1) - 1)
-        back = table[back // (len(names) + 1)]
-    columns = [back % len(names), *reversed(tail)]
-    langs = words.names[back // len(names)]
-    for lang, count, *codes in zip(langs.tolist(), counts.tolist(), *[c.tolist() for c in columns]):
-        phrase = (lang, *[names[c] for c in codes if c >= 0])
-        sums[phrase] = sums.get(phrase, 0) + count
+class _Phrases:
+    """Counts of phrases as numbers of their words, two to a 64-bit key, until they are given away as text."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.langs: dict[str, int] = {}
+        self.parts: list[np.ndarray] = []  # three rows of keys and one of counts
+        self.size = 0
+
+    def add(self, words: Words, filters: list) -> None:
+        held = words.possible(filters, 1)
+        at = np.flatnonzero(held)
+        if not len(at):
+            return
+        coded = runs.strings(words.data, words.starts[at], words.ends[at]).dictionary_encode()
+        names = np.array([self.words.setdefault(w, len(self.words) + 1) for w in coded.dictionary.to_pylist()])
+        langs = np.array([self.langs.setdefault(x, len(self.langs) + 1) for x in words.names.tolist()])
+        code = np.zeros(len(held) + LONGEST, np.int64)
+        code[at] = names[coded.indices.to_numpy()]
+        size = sum(words.possible(filters, k)[at].astype(np.int64) for k in range(1, LONGEST + 1))
+        first, *more = [np.where(size > k, code[at + k], 0) for k in range(LONGEST)]
+        columns = [langs[words.lang[at]], first, *more]
+        keys = [columns[i] << 31 | columns[i + 1] for i in range(0, LONGEST + 1, 2)]
+        self.parts.append(_summed(np.stack([*keys, np.ones(len(at), np.int64)])))
+        self.size += self.parts[-1].shape[1]
+        if self.size > 2 * HELD_PHRASES:
+            self._merge()
+
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            self.parts = [_summed(np.concatenate(self.parts, axis=1))]
+            self.size = self.parts[0].shape[1]
+
+    def full(self) -> bool:
+        return len(self.parts) == 1 and self.size > HELD_PHRASES or len(self.words) > 2 * HELD_PHRASES
+
+    def give(self) -> pa.RecordBatch:
+        self._merge()
+        weighted = []
+        if self.parts:
+            names, langs = [None, *self.words], [None, *self.langs]
+            columns = [c.tolist() for key in self.parts[0][:-1] for c in (key >> 31, key & (1 << 31) - 1)]
+            for n, lang, *codes in zip(self.parts[0][-1].tolist(), *columns):
+                weighted.append(((langs[lang], *[names[c] for c in codes if c]), n))
+            weighted.sort()
+        self.__init__()
+        return _rows(weighted)
+
+
+def _summed(table: np.ndarray) -> np.ndarray:
+    """The distinct columns of keys, with the sums of their counts in the last row."""
+    order = np.lexsort(table[:-1])
+    keys = table[:-1, order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    return np.vstack([keys[:, first], np.add.reduceat(table[-1, order], first)])
 
 
 def _rows(weighted: list) -> pa.RecordBatch:
