@@ -136,8 +136,20 @@ def gram_counts(docs: DataFrame, filters: list, size: int) -> DataFrame:
     return docs.mapInArrow(count, "lang string, h long, n long")
 
 
+def pair_words(docs: DataFrame, filters: list) -> DataFrame:
+    """Hashes of the words that stand in a pair that may be frequent: no count of another word is ever asked for."""
+    def find(batches):
+        sums, own = _Sums(), [f.value for f in filters]
+        for words in _slices(batches):
+            at = np.flatnonzero(words.possible(own, 2))
+            yield from sums.add(np.concatenate([words.hashes[at], words.hashes[at + 1]]))
+        yield sums.give()
+
+    return docs.mapInArrow(find, "lang string, h long, n long")
+
+
 def shard_phrases(docs: DataFrame, filters: list) -> DataFrame:
-    """``lang``, ``words`` and ``n``: from each frequent word on, up to five words of which all parts may be frequent.
+    """``lang``, ``words`` and ``n``: from each word of a frequent pair on, up to five words of which all parts may be frequent.
 
     What a task holds is given away in ascending order, equal phrases added up. Beginnings of these
     phrases are all phrases that can be frequent, and every occurrence of such is counted once.
@@ -332,6 +344,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str =
     filters = [spark.sparkContext.broadcast(_frequent(words, least, "frequent"))]
     for size in range(2, FILTERED + 1):
         filters.append(spark.sparkContext.broadcast(_frequent(gram_counts(rows, filters, size), least, "frequent")))
+    filters[0] = spark.sparkContext.broadcast(_frequent(pair_words(rows, filters[:2]), 1, "pair-words"))
     counts = stored(united_counts(stored(shard_phrases(rows, filters), "shards"), least), "counts")
     ahead = part_counts(counts).select("lang", "words", F.col("along").alias("ls"), F.lit(None).cast("array<long>").alias("rs"), "same")
     turned = part_counts(counts.withColumn("words", F.reverse("words")))
