@@ -311,7 +311,11 @@ def mart_test(spark, sf_dir):
     SELECT * REPLACE ({_rounding(*RATIO_MEANS)}, {_PAID}, round(mean_trx_amt, 4) AS mean_trx_amt) FROM mart_filled""")
 def mart_filled(spark, sf_dir):
     # The population is every account with purchases, also those that the inner joins leave out.
-    filled = mart.fill_transactions(account_table(spark, sf_dir), X.features(views.transactions(spark, sf_dir)))
+    # Its features are stored, because the fill and the join both read them.
+    population = checkpointed(X.features(views.transactions(spark, sf_dir)))
+    account = mart.account_table(views.billing(spark, sf_dir), views.payments(spark, sf_dir), population,
+                                 views.performance(spark, sf_dir), aggregated=True)
+    filled = mart.fill_transactions(account, population)
     return rounded(rounded(filled, *RATIO_MEANS), *PAID, "mean_trx_amt", digits=4)
 
 

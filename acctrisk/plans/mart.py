@@ -42,9 +42,11 @@ REVISED8 = (
 
 
 def account_table(billing_rows: DataFrame, payment_rows: DataFrame, transaction_rows: DataFrame,
-                  performance: DataFrame, impute: bool = True) -> DataFrame:
+                  performance: DataFrame, impute: bool = True, aggregated: bool = False) -> DataFrame:
     """Payments and billing features joined to the label; transaction features where there are any.
 
+    With ``aggregated``, ``transaction_rows`` has the features already, one row per account.
+
     Each input is aggregated on the account key before it is joined, so the joins meet rows
     that are already partitioned by that key. Train and test accounts are told apart by
     membership in ``performance``; pass both to build them in one go. Missing payment amounts
@@ -57,7 +59,7 @@ def account_table(billing_rows: DataFrame, payment_rows: DataFrame, transaction_
         payments.features(payment_rows)
         .join(billing.features(billing_rows), KEY)
         .join(performance.select(KEY, LABEL), KEY)
-        .join(transactions.features(transaction_rows), KEY, "left")
+        .join(transaction_rows if aggregated else transactions.features(transaction_rows), KEY, "left")
     )
     return cast_columns(wide, LOGICAL, "int")
 
