@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acctrisk.catalog.features import account_table, rounded
 from acctrisk.catalog.registry import query
-from acctrisk.models import bayes, boosting, kernel_bayes, knn, linear, pruning, splines, stacking, stepwise, trees
+from acctrisk.models import bayes, boosting, kernel_bayes, knn, linear, networks, pruning, splines, stacking, stepwise, trees
 from acctrisk.models.base import Fit, settled
 from acctrisk.operators import splits
 from acctrisk.plans import mart
@@ -51,7 +51,7 @@ _register("fit_gbt_var2", lambda: trees.boosted(
 _register("fit_svm_linear", lambda: linear.svm_linear(FULL24))
 _register("fit_svm_rff", lambda: linear.svm_radial(FULL24))
 _register("fit_gam_spline", lambda: splines.additive(FULL24))
-_register("fit_mlp_avg", lambda: linear.network_average(NET16, networks=3, max_iter=50))
+_register("fit_mlp_avg", lambda: networks.network_average(NET16))
 _register("nb_kernel", lambda: kernel_bayes.kernel(FULL24))
 _register("nb_model_avg", lambda: bayes.model_averaged(mart.BAYES14))
 _register("adaboost", lambda: trees.adaptive(FULL24, rounds=5))
@@ -205,6 +205,12 @@ def grid_search(spark, sf_dir):
     return boosting.grid_search(rows, mart.REVISED8, grid, 3)
 
 
+@query("network_grid")
+def network_grid(spark, sf_dir):
+    rows = splits.hashed_folds(model_rows(spark, sf_dir).where(views.is_train()), 3)
+    return networks.network_grid(rows, mart.BAYES14, (3, 5, 7), (0.1, 0.15, 0.2), 3)
+
+
 @query("cross_validation")
 def cross_validation(spark, sf_dir):
     rows = splits.hashed_folds(model_rows(spark, sf_dir), 2)

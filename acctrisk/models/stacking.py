@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, functions as F
 
 from acctrisk.functions.columns import at_threshold
-from acctrisk.models import bayes, kernel_bayes, knn, linear, trees
+from acctrisk.models import bayes, kernel_bayes, knn, linear, networks, trees
 from acctrisk.models.base import Fit, assembled
 from acctrisk.operators.joins import side_by_side, union_all
 from acctrisk.operators.splits import in_fold, outside_fold
@@ -22,7 +22,7 @@ from acctrisk.plans.mart import BAYES14, BILLING13, FULL24, NET16, PAYMENTS11
 from acctrisk.sources.schemas import KEY, LABEL
 
 
-def registry(rounds: int = 300, small_rounds: int = 100, trees_: int = 100, networks: int = 5) -> dict[str, Fit]:
+def registry(rounds: int = 300, small_rounds: int = 100, trees_: int = 100, networks_: int = 5) -> dict[str, Fit]:
     """The first-level models by name. The arguments set the length of the long-running ones."""
     return {
         "svm_radial": linear.svm_radial(FULL24),
@@ -33,7 +33,7 @@ def registry(rounds: int = 300, small_rounds: int = 100, trees_: int = 100, netw
         "boosted_payments": trees.boosted(
             PAYMENTS11, rounds=small_rounds, step=0.3, max_depth=3, min_gain=0.0, min_rows=1, rows=0.5),
         "forest": trees.forest(FULL24, trees=trees_),
-        "network_average": linear.network_average(NET16, networks=networks),
+        "network_average": networks.network_average(NET16, networks=networks_),
         **{f"knn_{k}": knn.nearest(FULL24, k) for k in (2, 4, 8, 16)},
         "bayes": bayes.gaussian(FULL24),
         "bayes_kernel": kernel_bayes.kernel(FULL24),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from acctrisk.models import bayes, kernel_bayes, knn, linear, stacking, trees
+from acctrisk.models import bayes, kernel_bayes, knn, linear, networks, stacking, trees
 from acctrisk.models.base import settled
 from acctrisk.operators import splits
 from acctrisk.plans.evaluate import roc_auc
@@ -50,6 +50,7 @@ FITS = {
     "svm_radial": (lambda: linear.svm_radial(P, size=60, max_iter=10), 0.8),
     "additive": (lambda: linear.additive(P, smooth={"a": 4}, interactions=[("a", "b")]), 0.83),
     "network": (lambda: linear.network_average(P, networks=2, max_iter=20), 0.8),
+    "network_decay": (lambda: networks.network_average(P, networks=2), 0.83),
     "bayes": (lambda: bayes.gaussian(P), 0.83),
     "bayes_averaged": (lambda: bayes.model_averaged(P), 0.83),
     "bayes_kernel": (lambda: kernel_bayes.kernel(P), 0.82),
