@@ -9,8 +9,8 @@ from acctrisk.llm.common import NO_ID, or_empty, stored
 #: ASCII space, tab, line feed, vertical tab, form feed, carriage return; the ASCII letters.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of one line are joined with its decision in so many parts.
-SALTS = 16
+#: A line of more than this part of all long lines is heavy. So there are fewer heavy ones than its inverse.
+HEAVY = 1 / 1000
 
 
 def line_key(line: Column) -> Column:
@@ -37,19 +37,21 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_l
     by the same rule. A missing text is one empty line. Rows without id count together as one
     document below all others. Existing columns with the three names are replaced.
 
-    Only hashes of long lines are shuffled. Distinct documents are counted in two steps (by line
-    and document, then by line), and the decision about a line meets its rows in :data:`SALTS`
-    parts, so that a line of a third of all documents is no single task.
+    Lines are counted by their hashes. Distinct documents are counted in two steps (by line and document,
+    then by line). Decisions about heavy lines, at most ``1 / HEAVY``, are broadcast, so that a line of a
+    third of all documents is no single task; the others meet their rows by hash. Texts shuffle in the
+    last join unless few of them lose lines.
     """
     lines = long_lines(docs, id, text, least_length)
-    frequent = (
-        lines.groupBy("hash").agg(F.count_distinct("id").alias("documents"), F.max("id").alias("holder"))
-        .where(F.col("documents") >= least_documents)
-        .select("hash", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
+    frequent = stored(
+        lines.groupBy("hash").agg(F.count_distinct("id").alias("documents"), F.max("id").alias("holder"), F.count(F.lit(1)).alias("rows"))
+        .where(F.col("documents") >= least_documents).select("hash", "holder", "rows"), "frequent")
+    heavy = F.col("rows") > lines.count() * HEAVY
+    many = F.broadcast(frequent.where(heavy).drop("rows"))
+    decided = lines.join(many, "hash").unionByName(
+        lines.join(many.drop("holder"), "hash", "left_anti").join(frequent.where(~heavy).drop("rows"), "hash"))
     drops = (
-        lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        .join(frequent, ["hash", "salt"]).where(F.col("id") != F.col("holder"))
+        decided.where(F.col("id") != F.col("holder"))
         .groupBy("id", "mark").agg(F.collect_set("pos").alias("__drop"))  # at most the lines of one text
         .select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__drop")
     )

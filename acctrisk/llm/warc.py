@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from acctrisk.llm.common import stored
 
-#: Payload bytes of a file, about. Files are read whole, so this bounds a task's memory.
-SEGMENT_BYTES = 16 << 20
+#: Bytes of a file, about, and of a record without its payload. Files are read whole, so this bounds a task's memory.
+SEGMENT_BYTES, HEAD_BYTES = 16 << 20, 600
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_FROM = 100
-#: Rows of one payload are dealt over so many tasks.
-SALTS = 16
+#: A payload of more than this part of all records is heavy. So there are fewer heavy ones than its inverse.
+HEAVY = 1 / 1000
 END = "\r\n\r\n"
 #: Fixed value of the format's standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,22 +32,26 @@ def as_records(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
 def with_types(records: DataFrame, revisit_from: int = REVISIT_FROM, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Add ``refers_to``, the id of the response that a revisit repeats; missing for responses.
 
-    Digests that occur once need no decision. Those that occur more often are few and narrow; they
-    are repeated for every salt, and the records shuffle once, by digest and salt, into as many
-    parts as there will be files.
+    Digests that occur once, and payloads below ``revisit_from``, need no decision. Heavy digests, at
+    most ``1 / HEAVY``, are broadcast; the others that occur more often meet their records by digest. The
+    records shuffle once, into as many parts as there will be files: those of short and heavy payloads
+    by a hash of id and address, which spreads them evenly.
     """
-    total = records.agg(F.sum("bytes")).first()[0] or 0
-    files = max(1, -(-total // segment_bytes))
-    first = (
+    n, total = records.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    files = max(1, -(-((total or 0) + n * HEAD_BYTES) // segment_bytes))
+    repeated = stored(
         records.where(F.col("bytes") >= revisit_from).groupBy("digest")
-        .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        .select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        .repartition(files, "digest", "salt")
-    )
-    salt = F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")
-    dealt = records.withColumn("salt", salt).repartition(files, "digest", "salt")
-    refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    return dealt.join(first, ["digest", "salt"], "left").withColumn("refers_to", refers).drop("first", "salt")
+        .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "repeated")
+    heavy = F.col("n") > n * HEAVY
+    many = repeated.where(heavy).select("digest", F.col("first").alias("many_first"), F.lit(True).alias("many"))
+    by_digest = F.xxhash64("digest")
+    few = repeated.where(~heavy).select("digest", "first", by_digest.alias("deal")).repartition(files, "deal")
+    spread = (F.col("bytes") < revisit_from) | F.col("many").isNotNull()
+    dealt = (records.join(F.broadcast(many), "digest", "left")
+             .withColumn("deal", F.when(spread, F.xxhash64("id", "url")).otherwise(by_digest)).repartition(files, "deal"))
+    first = F.coalesce("many_first", "first")
+    refers = F.when(~F.col("id").eqNullSafe(first), first)
+    return dealt.join(few, ["deal", "digest"], "left").withColumn("refers_to", refers).drop("first", "many_first", "many", "deal")
 
 
 def _field(name: str, value: Column) -> Column:

@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from acctrisk.llm import jaccard, packing, quality, words
+from acctrisk.llm import jaccard, lines, packing, quality, warc, words
 
 
 @pytest.mark.parametrize("by_kind", [False, True])
@@ -68,3 +69,35 @@ def test_hash_of_a_word_does_not_depend_on_its_place():
     a, = words.words_of(pa.array(["zebra " + "y" * 100]), tables)
     b, = words.words_of(pa.array(["y" * 100 + " zebra"]), tables)
     assert np.array_equal(a, b[::-1])
+
+
+def test_small_pages_fill_many_files(spark):
+    """Headers count, and pages without payload spread over all files."""
+    pages = spark.range(6000).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "CAST(NULL AS STRING) AS html")
+    typed = warc.with_types(warc.as_records(pages), segment_bytes=400_000)
+    sizes = [r["count"] for r in typed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 2 * 6000 / 9
+    assert typed.where("refers_to IS NOT NULL").count() == 0
+
+
+def test_heavy_payloads_spread_and_refer(spark):
+    html = F.when(F.col("id") % 3 == 0, F.repeat(F.lit("same"), 50)).when(F.col("id") % 3 == 1, F.concat(F.repeat(F.lit("x"), 100), F.col("id") % 1000)).otherwise("short")
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), html.alias("html"))
+    typed = warc.with_types(warc.as_records(pages), segment_bytes=400_000)
+    got = {r["id"]: r["refers_to"] for r in typed.select("id", "refers_to").collect()}
+    first = {}
+    for i in range(6000):
+        key = 0 if i % 3 == 0 else ("x", i % 1000) if i % 3 == 1 else ("short", i)
+        first.setdefault(key, i)
+        assert got[i] == (first[key] if first[key] != i else None)
+    sizes = [r["count"] for r in typed.where(F.col("id") % 3 == 0).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 2000 / len(sizes) and len(sizes) > 5
+
+
+def test_heavy_and_rare_lines_go_alike(spark):
+    heavy, rare = "h" * 45, "r" * 45
+    text = F.concat_ws("\n", F.lit(heavy), F.concat(F.lit("own line of this very document, which is long "), "id"), F.when(F.col("id") < 5, rare))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = {r["doc_id"]: r["kept_text"].split("\n") for r in lines.dedup_lines(docs).collect()}
+    assert [i for i in got if heavy in got[i]] == [2999] and [i for i in got if rare in got[i]] == [4]
+    assert all(f"own line of this very document, which is long {i}" in got[i] for i in got)
