@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acctrisk.catalog.features import account_table, rounded
 from acctrisk.catalog.registry import query
-from acctrisk.models import bayes, boosting, kernel_bayes, knn, linear, networks, pruning, splines, stacking, stepwise, trees
+from acctrisk.models import bayes, boosting, kernel_bayes, knn, linear, networks, oob, pruning, splines, stacking, stepwise, trees
 from acctrisk.models.base import Fit, settled
 from acctrisk.operators import splits
 from acctrisk.plans import mart
@@ -40,6 +40,7 @@ _register("fit_logit_interactions", lambda: linear.logistic_formula(
     linear.formula(NET16, linear.LOGISTIC_INTERACTIONS)))
 _register("fit_step_aic", lambda: stepwise.stepwise(FULL24))
 _register("fit_forest", lambda: trees.forest(FULL24))
+_register("fit_forest_tuned", lambda: oob.tuned_forest(FULL24))
 _register("fit_gbt", lambda: trees.boosted(FULL24, rounds=10, max_depth=5, min_rows=20, min_gain=0.0))
 STOPPED = dict(holdout=0.2, rounds=500, step=0.1, max_depth=3, min_loss=5.0, min_hessian=1.0, stop=5)
 _register("fit_boosted", lambda: boosting.boosted(FULL24))
@@ -150,6 +151,11 @@ def complexity_table(spark, sf_dir):
     return pruning.complexity_table(rows, FULL24, 10)
 
 
+@query("forest_oob")
+def forest_oob(spark, sf_dir):
+    return oob.oob_table(model_rows(spark, sf_dir).where(views.is_train()), FULL24)
+
+
 @query("step_path")
 def step_path(spark, sf_dir):
     rows = model_rows(spark, sf_dir)

@@ -86,15 +86,18 @@ def _nodes(tree: tuple, x: np.ndarray) -> np.ndarray:
     return node
 
 
-def _drawn(keys: np.ndarray, seed: int, share: float) -> np.ndarray:
-    """A repeatable sample of rows by key."""
-    if share >= 1:
-        return np.ones(len(keys), bool)
+def _uniform(keys: np.ndarray, seed: int) -> np.ndarray:
+    """A repeatable number in [0, 1) for each key."""
     with np.errstate(over="ignore"):
         h = keys.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return (h >> np.uint64(11)).astype(float) / (1 << 53) < share
+    return (h >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def _drawn(keys: np.ndarray, seed: int, share: float) -> np.ndarray:
+    """A repeatable sample of rows by key."""
+    return np.ones(len(keys), bool) if share >= 1 else _uniform(keys, seed) < share
 
 
 @dataclass
