@@ -53,13 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bucketed_rank(df: DataFrame, group: list[str], order: list, bucket_by: list[str], rows: int, name: str,
-                  bucket: Column | None = None) -> DataFrame:
+                  bucket: Column | None = None, per_group: DataFrame | None = None) -> DataFrame:
     """Add ``name``: a gapless number from 0 within each ``group``, whose columns are not missing.
 
     Rows are numbered inside hash buckets of a group, and counts of the buckets give their offsets:
     a large group is no single task. There are as many buckets as the root of the number of all
     ``rows``, so that a group has as many offsets as a bucket has rows at most. With ``bucket``, an
     integer that never falls along ``order``, the numbers follow ``order`` across buckets, too.
+    The columns of ``per_group``, which has one row for each group, come along with the offsets.
     """
     buckets = math.isqrt(max(rows, 1))
     hashed = F.pmod(F.xxhash64(*bucket_by), F.lit(buckets)).cast("int") if bucket is None else bucket
@@ -68,6 +69,8 @@ def bucketed_rank(df: DataFrame, group: list[str], order: list, bucket_by: list[
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(*place, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    if per_group is not None:
+        offsets = offsets.join(per_group, group)
     inside = F.row_number().over(Window.partitionBy(*place).orderBy(*order)) - 1
     joined = df.join(offsets.hint("shuffle_hash"), place)
     return joined.withColumn(name, F.col("__before") + inside).drop("__bucket", "__before")
