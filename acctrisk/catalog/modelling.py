@@ -54,7 +54,6 @@ _register("fit_svm_rff", lambda: linear.svm_radial(FULL24))
 _register("fit_gam_spline", lambda: splines.additive(FULL24))
 _register("fit_mlp_avg", lambda: networks.network_average(NET16))
 _register("nb_kernel", lambda: kernel_bayes.kernel(FULL24))
-_register("nb_model_avg", lambda: bayes.model_averaged(mart.BAYES14))
 _register("adaboost", lambda: trees.adaptive(FULL24, rounds=5))
 _register("bagged_adaboost", lambda: trees.bagged_adaptive(FULL24, bags=2, rounds=3))
 _register("knn_weighted", lambda: knn.nearest(FULL24, 8, weighted=True))
@@ -86,6 +85,32 @@ def nb_gaussian(spark, sf_dir):
     return rounded(fitted(spark, sf_dir, bayes.gaussian(BAYES)), "score", digits=6)
 
 
+_STATS = " UNION ALL ".join(
+    f"""SELECT '{p}' AS p, "Default" AS c, count(*) AS n, avg({p}) AS m, greatest(var_samp({p}), CAST(0.000001 AS DOUBLE)) AS v FROM train GROUP BY "Default" """
+    for p in mart.BAYES14)
+_TEST = " UNION ALL ".join(f"""SELECT ID_CPTE, "Default", '{p}' AS p, {p} AS x FROM test""" for p in mart.BAYES14)
+_DENSITY = "(-ln(2 * pi() * {v}) / 2 - (x - {m}) * (x - {m}) / (2 * {v}))"
+
+
+@query("nb_model_avg", f"""
+    WITH m AS ({_MODEL}), train AS (SELECT * FROM m WHERE ID_CPTE % 10 < 7), test AS (SELECT * FROM m WHERE ID_CPTE % 10 >= 7),
+    stats AS ({_STATS}),
+    means AS (SELECT p, sum(n) AS n, sum(n * m) / sum(n) AS m, -0.5 * sum(n * ln(v)) AS apart FROM stats GROUP BY p),
+    pooled AS (SELECT a.p, a.n, a.m, a.apart, greatest(sum((s.n - 1) * s.v + s.n * (s.m - a.m) * (s.m - a.m)) / (a.n - 1), CAST(0.000001 AS DOUBLE)) AS v
+               FROM means a JOIN stats s ON a.p = s.p GROUP BY a.p, a.n, a.m, a.apart),
+    odds AS (SELECT *, greatest(least(apart + 0.5 * n * ln(v) - ln(n), 700.0), -700.0) AS o FROM pooled),
+    terms AS (SELECT t.ID_CPTE, t."Default", s.c, s.n,
+                     {_DENSITY.format(m="s.m", v="s.v")} + ln(1 / (1 + exp(-o))) AS a,
+                     {_DENSITY.format(m="o.m", v="o.v")} + ln(greatest(1 - 1 / (1 + exp(-o)), 1e-300)) AS b
+              FROM ({_TEST}) t JOIN stats s ON t.p = s.p JOIN odds o ON t.p = o.p),
+    logs AS (SELECT ID_CPTE, "Default", c, ln(max(n)) + sum(greatest(a, b) + ln(1 + exp(-abs(a - b)))) AS l
+             FROM terms GROUP BY ID_CPTE, "Default", c)
+    SELECT ID_CPTE, "Default", round(1 / (1 + exp(max(l) FILTER (WHERE c = 0) - max(l) FILTER (WHERE c = 1))), 6) AS score
+    FROM logs GROUP BY ID_CPTE, "Default" """)
+def nb_model_avg(spark, sf_dir):
+    return rounded(fitted(spark, sf_dir, bayes.model_averaged(mart.BAYES14)), "score", digits=6)
+
+
 @query("oof_nb", f"""
     WITH m AS ({_MODEL}), folded AS (SELECT m.*, h % 10 AS fold FROM m JOIN hashed x ON m.ID_CPTE = x.ID_CPTE
                                      WHERE seed = 0),
