@@ -6,8 +6,9 @@ predictors: the probability of default unless the model says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -28,6 +29,21 @@ def check_predictors(df: DataFrame, predictors: Sequence[str]) -> None:
         raise ValueError(f"not in the table: {', '.join(unknown)}")
 
 
+def added(batches: Iterator[pa.RecordBatch], places: Sequence[str], sums: Callable) -> Iterator[tuple[tuple, object]]:
+    """The sums of rows that come together, by the columns ``places``; ``sums`` reads those of row ``i`` of a batch."""
+    held, total = None, None
+    for batch in batches:
+        for i, place in enumerate(zip(*(batch.column(c).to_pylist() for c in places))):
+            if place == held:
+                total = total + sums(batch, i)
+            else:
+                if held is not None:
+                    yield held, total
+                held, total = place, sums(batch, i)
+    if held is not None:
+        yield held, total
+
+
 def settled(df: DataFrame, partitions: int | None = None, key: str = KEY) -> DataFrame:
     """Rows placed and ordered by key.
 

@@ -1,13 +1,14 @@
 """Second-order boosting of trees on binned predictors, many models at once.
 
-A round of all models takes one job per level of their trees. A task adds up gradients and Hessians of
-its rows per model, node, predictor and cut, and Spark adds the sums of the tasks. So what leaves a task,
-and what reaches the driver, depends on the models and not on the rows.
+A round of all models takes one job per level of their trees. Rows are stored as blocks of bin numbers, one
+line per predictor. A task adds up gradients and Hessians of its rows per model, node, predictor and bin; the
+sums of the tasks meet by node, and one row per open node reaches the driver. So what leaves a task, and what
+reaches the driver, depends on the models and not on the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,13 +17,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from acctrisk.functions.hashing import uniform
-from acctrisk.models.base import Fit, Scorer, check_predictors
+from acctrisk.models.base import Fit, Scorer, added, check_predictors
 from acctrisk.session import checkpointed
 from acctrisk.sources.schemas import KEY, LABEL
 
 #: Bins of a predictor, rounds between two stored tables, and steps of a score in the area under its curve.
 BINS, STORED_ROUNDS, SCORE_STEPS = 64, 10, 4096
 
+#: Rows of a stored block, bytes of a partition of blocks, and rows for which another partition pays.
+BLOCK_ROWS, PART_BYTES, PART_ROWS = 10_000, 32 << 20, 25_000
+
+#: Bytes of the sums of all tasks up to which they are added at the driver, which saves a shuffle.
+DRIVER_BYTES = 8 << 20
+
+#: Splits up to which rows are sent down a tree split by split, by comparing whole lines.
+FEW_SPLITS = 100
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -77,12 +87,27 @@ class Tree:
 
 
 def _nodes(tree: tuple, x: np.ndarray) -> np.ndarray:
-    """The node in which each row ends."""
+    """The node in which each row ends; ``x`` has a line per predictor."""
     predictor, cut, _, depth = tree
-    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    n = x.shape[1]
+    inner = np.flatnonzero(predictor >= 0).tolist()
+    if len(inner) <= FEW_SPLITS:
+        kind = np.uint8 if len(predictor) < 256 else np.uint16
+        node, reach = np.zeros(n, kind), {0: np.ones(n, bool)}
+        for i in inner:  # parents come first
+            here = reach.pop(i, None)
+            if here is None:
+                continue
+            right = here & (x[predictor[i]] > cut[i])
+            node += here * kind(i + 1)
+            node += right
+            reach[2 * i + 1], reach[2 * i + 2] = here ^ right, right
+        return node
+    node, rows, flat = np.zeros(n, np.int64), np.arange(n), np.ascontiguousarray(x).ravel()
     for _ in range(depth):
-        p = predictor[node]
-        node = np.where(p >= 0, 2 * node + 1 + (x[rows, np.maximum(p, 0)] > cut[node]), node)
+        p = predictor.take(node)
+        on = p >= 0
+        node = np.where(on, 2 * node + 1 + (flat.take(np.where(on, p, 0) * n + rows) > cut.take(node)), node)
     return node
 
 
@@ -121,76 +146,123 @@ def bin_cuts(df: DataFrame, predictors: Sequence[str], bins: int = BINS) -> list
 
 
 def binned(df: DataFrame, predictors: Sequence[str], cuts: list[list[float]], models: int, fold: Column) -> DataFrame:
-    """Stored rows of key, label, fold, bin numbers ``x`` and a ``margin`` of 0 per model."""
+    """Stored blocks of rows: keys, labels, folds, bin numbers ``x`` and a ``margin`` of 0 per model.
+
+    The number of partitions follows the bytes, so that a task may hold the blocks of its partition.
+    """
     edges = [np.array(c) for c in cuts]
 
     def place(batches):
-        for batch in batches:
-            x = np.stack([np.searchsorted(e, batch.column(p).to_numpy(zero_copy_only=False)) for p, e in zip(predictors, edges)], axis=1)
-            yield _batch(batch, x, np.zeros((batch.num_rows, models)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(start, BLOCK_ROWS)
+                x = np.stack([np.searchsorted(e, batch.column(p).to_numpy(zero_copy_only=False)) for p, e in zip(predictors, edges)])
+                yield _block(Block(
+                    x.astype(np.uint8), np.zeros((models, batch.num_rows)), batch.column(LABEL).to_numpy(zero_copy_only=False).astype(float),
+                    batch.column("fold").fill_null(-1).to_numpy().astype(np.int32),
+                    batch.column(KEY).cast(pa.int64()).fill_null(-1 << 63).to_numpy()))
 
     rows = df.select(KEY, F.col(LABEL).cast("double").alias(LABEL), fold.cast("int").alias("fold"), *predictors)
-    return checkpointed(rows.mapInArrow(place, f"{KEY} long, `{LABEL}` double, fold int, x array<int>, margin array<double>"))
+    count = df.count()
+    bytes_ = count * (len(predictors) + 8 * models + 20)
+    parts = max(1, -(-bytes_ // PART_BYTES), min(df.sparkSession.sparkContext.defaultParallelism, count // PART_ROWS))
+    return checkpointed(rows.repartition(parts).mapInArrow(place, ", ".join(f"{c} binary" for c in PARTS)))
+
+
+@dataclass
+class Block:
+    """``x`` has a line per predictor, ``margin`` one per model; a missing label is NaN, a missing fold -1."""
+
+    x: np.ndarray
+    margin: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    key: np.ndarray
+
+
+#: Columns of the stored blocks.
+PARTS = {"x": np.uint8, "margin": np.float64, "y": np.float64, "fold": np.int32, "key": np.int64}
 
 
-def _batch(rows: pa.RecordBatch, x: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
-    n = rows.num_rows
-    lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * a.shape[1], pa.array(a.ravel(), t))
-             for a, t in ((x, pa.int32()), (margin, pa.float64()))]
-    return pa.RecordBatch.from_arrays([rows.column(KEY), rows.column(LABEL), rows.column("fold"), *lists], names=[KEY, LABEL, "fold", "x", "margin"])
+def _block(block: Block) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(getattr(block, c)).tobytes()], pa.binary()) for c in PARTS], names=list(PARTS))
 
 
-def _numbers(batch: pa.RecordBatch) -> tuple:
-    n = batch.num_rows
-    x, margin = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("x", "margin"))
-    return x, margin.copy(), batch.column(LABEL).to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(zero_copy_only=False), batch.column(KEY).to_numpy(zero_copy_only=False)
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x, margin, y, fold, key = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in PARTS.items())
+            yield Block(x.reshape(-1, len(key)), margin.reshape(-1, len(key)).copy(), y, fold, key)
 
 
-def _advance(x: np.ndarray, margin: np.ndarray, since: list[dict[int, tuple]]):
-    """The margins after each of some rounds."""
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """All rows of a partition as one block, if there are any."""
+    found = list(blocks(batches))
+    if found:
+        yield Block(*(np.concatenate([getattr(b, c) for b in found], axis=-1) for c in PARTS))
+
+
+def _advance(x: np.ndarray, margin: dict[int, np.ndarray], since: list[dict[int, tuple]]) -> Iterator[None]:
+    """Moves the margins of some models on, round by round."""
     for trees in since:
         for m, tree in trees.items():
-            margin[:, m] += tree[2][_nodes(tree, x)]
-        yield margin
+            if m in margin:
+                margin[m] += tree[2].take(_nodes(tree, x))
+        yield
 
 
-def cut_sums(rows: DataFrame, tasks: dict[int, dict], since: list[dict[int, tuple]], cuts: list[int], seed: int) -> DataFrame:
-    """Sums of gradients and Hessians left of every cut (``gl``, ``hl``) and of the node (``g``, ``h``).
+def cut_sums(rows: DataFrame, tasks: dict[int, dict], since: list[dict[int, tuple]], seed: int) -> DataFrame:
+    """Per model and node the ``sums`` of gradients and Hessians by predictor and bin, one row per task.
 
     ``tasks`` has for each model its settings, held-out fold, partial tree, open nodes and predictors.
-    Sums of running totals are running totals of sums: no window is needed behind the exchange.
     """
     def add(batches):
-        held = {m: np.zeros((2, len(t["open"]), len(t["predictors"]), BINS)) for m, t in tasks.items()}
-        for batch in batches:
-            x, margin, y, fold, key = _numbers(batch)
-            for _ in _advance(x, margin, since):
-                pass
-            for m, t in tasks.items():
-                use = np.flatnonzero(_drawn(key, seed, t["share"]) & ((fold != t["held"]) if t["held"] is not None else True))
-                node = _nodes(t["tree"], x[use])
-                place = np.searchsorted(t["open"], node)
-                inside = t["open"][np.minimum(place, len(t["open"]) - 1)] == node
-                use, place = use[inside], place[inside]
-                p = 1 / (1 + np.exp(-margin[use, m]))
-                for j, f in enumerate(t["predictors"]):
-                    at = place * BINS + x[use, f]
-                    for k, w in enumerate((p - y[use], p * (1 - p))):
-                        held[m][k, :, j] += np.bincount(at, w, len(t["open"]) * BINS).reshape(-1, BINS)
+        held = {m: np.zeros((len(t["predictors"]), 2, len(t["open"]) * BINS)) for m, t in tasks.items()}
+        alike: dict[tuple, list[int]] = {}  # models that use the same rows
         for m, t in tasks.items():
-            sums = held[m].cumsum(axis=3)
-            for j, f in enumerate(t["predictors"]):
-                n = cuts[f]
-                for i, node in enumerate(t["open"].tolist()):
-                    if n and sums[1, i, j, -1]:
-                        ones = np.ones(n)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(n, m, np.int32)), pa.array(np.full(n, node, np.int32)), pa.array(np.full(n, f, np.int32)), pa.array(np.arange(n, dtype=np.int32)),
-                            pa.array(sums[0, i, j, :n]), pa.array(sums[1, i, j, :n]), pa.array(ones * sums[0, i, j, -1]), pa.array(ones * sums[1, i, j, -1])], names=names)
+            alike.setdefault((t["share"], t["held"]), []).append(m)
+        places = {}
+        for m, t in tasks.items():
+            places[m] = np.full(2 * max(len(t["tree"][0]), int(t["open"][-1]) + 1) + 1, -1)
+            places[m][t["open"]] = np.arange(len(t["open"]))
+        for block in blocks(batches):
+            for (share, out), members in alike.items():
+                use = np.flatnonzero(_drawn(block.key, seed, share) & ((block.fold != out) if out is not None else True))
+                x, y = block.x[:, use], block.y[use]
+                margin = {m: block.margin[m, use] for m in members}
+                for _ in _advance(x, margin, since):
+                    pass
+                for m in members:
+                    t = tasks[m]
+                    place = places[m].take(_nodes(t["tree"], x))
+                    inside = np.flatnonzero(place >= 0)
+                    p = 1 / (1 + np.exp(-margin[m][inside]))
+                    weights = p - y[inside], p * (1 - p)
+                    place = place[inside] * BINS
+                    for j, f in enumerate(t["predictors"]):
+                        at = place + x[f, inside]
+                        for k, w in enumerate(weights):
+                            held[m][j, k] += np.bincount(at, w, len(t["open"]) * BINS)
+        for m, t in tasks.items():
+            n = len(t["open"])
+            sums = held[m].reshape(-1, 2, n, BINS).transpose(2, 1, 0, 3)
+            some = np.flatnonzero(sums[:, 1].any(axis=(1, 2)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), m, np.int32)), pa.array(t["open"][some].astype(np.int32)), pa.array([sums[i].tobytes() for i in some], pa.binary())],
+                names=["model", "node", "sums"])
+
+    return rows.mapInArrow(add, "model int, node int, sums binary")
 
-    names = ["model", "node", "predictor", "cut", "gl", "hl", "g", "h"]
-    found = rows.mapInArrow(add, "model int, node int, predictor int, cut int, gl double, hl double, g double, h double")
-    return found.groupBy("model", "node", "predictor", "cut").agg(*[F.sum(c).alias(c) for c in names[4:]])
+
+def _together(sums: DataFrame) -> DataFrame:
+    return sums.repartition("model", "node").sortWithinPartitions("model", "node")
+
+
+def _left_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Model, node, and sums left of every cut, by kind, predictor and bin."""
+    read = lambda batch, i: np.frombuffer(batch.column("sums")[i].as_buffer())
+    for (model, node), total in added(batches, ("model", "node"), read):
+        yield model, node, total.reshape(2, -1, BINS).cumsum(axis=2)
 
 
 def removed_loss(gl, hl, g, h, l2: float = 1.0):
@@ -203,28 +275,49 @@ def first_gains(rows: DataFrame, predictors: Sequence[str], cuts: list[list[floa
     """Every cut of the first tree's root: ``predictor``, ``cut``, the sums left of it and the ``gain``."""
     check_predictors(rows, predictors)
     used = [j for j, c in enumerate(cuts) if c]
+
+    def table(batches):
+        for _, _, left in _left_sums(batches):
+            for j, f in enumerate(used):
+                n = len(cuts[f])
+                gl, hl = left[:, j, :n]
+                gain = removed_loss(gl, hl, *left[:, j, -1], l2)
+                yield pa.RecordBatch.from_arrays([pa.array([predictors[f]] * n, pa.string()), *map(pa.array, (np.array(cuts[f], float), gl, hl, gain))],
+                                                 names=["predictor", "cut", "gl", "hl", "gain"])
+
     root = {0: {"share": 1.0, "held": None, "tree": Tree().arrays(), "open": np.array([0]), "predictors": used}}
-    sums = cut_sums(binned(rows, predictors, cuts, 1, F.lit(1)), root, [], [len(c) for c in cuts], 0)
-    names = F.create_map(*[F.lit(v) for j in used for v in (j, predictors[j])])
-    values = F.create_map(*[F.lit(v) for j in used for v in (j, F.array(*map(F.lit, cuts[j])))])
-    gain = removed_loss(*(F.col(c) for c in ("gl", "hl", "g", "h")), l2)
-    return sums.select(names[F.col("predictor")].alias("predictor"), values[F.col("predictor")][F.col("cut")].alias("cut"), "gl", "hl", gain.alias("gain"))
+    sums = cut_sums(binned(rows, predictors, cuts, 1, F.lit(1)), root, [], 0)
+    return _together(sums).mapInArrow(table, "predictor string, cut double, gl double, hl double, gain double")
 
 
-def _best(sums: DataFrame, settings: dict[int, Settings]) -> list[tuple]:
+def _best(sums: DataFrame, tasks: dict[int, dict], settings: dict[int, Settings], cuts: list[int], parts: int) -> list[tuple]:
     """``model``, ``node``, sums, and the best cut of every node: of equal ones that of the first predictor and bin.
 
-    As many rows reach the driver as the open nodes have cuts, whatever the number of rows of the table.
+    The sums of ``parts`` tasks are added at the driver if they are small, else by node in the tasks of a shuffle.
     """
-    table = sums.toArrow()
-    model, node, predictor, cut, gl, hl, g, h = (table[c].to_numpy() for c in ("model", "node", "predictor", "cut", "gl", "hl", "g", "h"))
-    l2, least = (np.array([getattr(settings[m], name) for m in model.tolist()]) for name in ("l2", "min_hessian"))
-    with np.errstate(invalid="ignore", divide="ignore"):  # an empty child, without an L2 term
-        gain = removed_loss(gl, hl, g, h, l2)
-    splits = (hl >= least) & (h - hl >= least) & (gain > 1e-6)
-    order = np.lexsort((cut, predictor, -gain, ~splits, node, model))
-    first = np.flatnonzero(np.diff(model[order], prepend=-1).astype(bool) | np.diff(node[order], prepend=-1).astype(bool))
-    return list(zip(*(a[order[first]].tolist() for a in (model, node, splits, gain, predictor, cut, gl, hl, g, h))))
+    predictors = {m: np.array(t["predictors"]) for m, t in tasks.items()}
+    names = ["model", "node", "splits", "gain", "predictor", "cut", "gl", "hl", "g", "h"]
+
+    def choose(batches):
+        out = []
+        for model, node, (gl, hl) in _left_sums(batches):
+            own, given = predictors[model], settings[model]
+            g, h = gl[:, -1:], hl[:, -1:]
+            with np.errstate(invalid="ignore", divide="ignore"):  # an empty child, without an L2 term
+                gain = removed_loss(gl, hl, g, h, given.l2)
+            gain = np.where((np.arange(BINS) < np.array(cuts)[own][:, None]) & (h != 0) & ~np.isnan(gain), gain, -np.inf)
+            splits = (hl >= given.min_hessian) & (h - hl >= given.min_hessian) & (gain > 1e-6)
+            found = bool(splits.any())
+            j, k = np.unravel_index(int(np.argmax(np.where(splits, gain, -np.inf) if found else gain)), gain.shape)
+            out.append((model, node, found, *map(float, (gain[j, k],)), int(own[j]), int(k), *map(float, (gl[j, k], hl[j, k], g[j, 0], h[j, 0]))))
+        if out:
+            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    if parts * sum(len(t["open"]) * len(t["predictors"]) for t in tasks.values()) * 2 * 8 * BINS <= DRIVER_BYTES:
+        return [r for batch in choose(sums.toArrow().sort_by([("model", "ascending"), ("node", "ascending")]).to_batches()) for r in zip(*batch.to_pydict().values())]
+    found = _together(sums).mapInArrow(choose, "model int, node int, splits boolean, gain double, predictor int, cut int, gl double, hl double, g double, h double")
+    return [tuple(r) for r in found.collect()]
 
 
 def _grow(rows: DataFrame, models: dict[int, Model], since: list[dict], cuts: list[int], number: int, seed: int) -> dict[int, Tree]:
@@ -241,9 +334,9 @@ def _grow(rows: DataFrame, models: dict[int, Model], since: list[dict], cuts: li
                  for m, f in frontier.items() if f and chosen[m]}
         if not tasks:
             break
-        found = _best(cut_sums(rows, tasks, since, cuts, seed * 1_000_003 + number), {m: models[m].settings for m in tasks})
+        found = _best(cut_sums(rows, tasks, since, seed * 1_000_003 + number), tasks, {m: models[m].settings for m in tasks}, cuts, rows.rdd.getNumPartitions())
         frontier = {m: [] for m in models}
-        for m, node, splits, gain, predictor, cut, gl, hl, g, h in found:
+        for m, node, splits, gain, predictor, cut, gl, hl, g, h in sorted(found):
             tree, settings = trees[m], models[m].settings
             tree.sums.setdefault(node, (g, h))
             depth = (node + 1).bit_length() - 1
@@ -263,31 +356,40 @@ def staged_areas(rows: DataFrame, models: dict[int, Model], since: list[dict], s
     Scores are counted in ``steps`` steps; pairs within a step count one half.
     """
     def count(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            x, margin, y, fold, _ = _numbers(batch)
-            for stage, now in enumerate(_advance(x, margin, since)):
+        sums = {(m, stage): np.zeros(4 * steps + 1, np.int32) for m in models for stage in range(len(since))}
+        for block in blocks(batches):
+            margin = {m: block.margin[m] for m in models}
+            label = np.where(block.y == 1, 1, np.where(block.y == 0, 0, -4))  # others count nowhere
+            parts = {held: np.where(label < 0, 4, label + 2 * (0 if held is None else block.fold == held)) * steps for held in {m.held for m in models.values()}}
+            for stage, _ in enumerate(_advance(block.x, margin, since)):
                 for m, model in models.items():
-                    at = np.minimum((steps / (1 + np.exp(-now[:, m]))).astype(np.int64), steps - 1)
-                    inside = model.trains(fold)
-                    for held, use in ((False, inside), (True, ~inside)):
-                        for label in (0, 1):
-                            key = m, stage, held, label
-                            sums[key] = sums.get(key, 0) + np.bincount(at[use & (y == label)], minlength=steps)
-        for (m, stage, held, label), counts in sums.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(at), m, np.int32)), pa.array(np.full(len(at), stage, np.int32)), pa.array([held] * len(at), pa.bool_()),
-                pa.array(at.astype(np.int32)), pa.array(counts[at] * label), pa.array(counts[at] * (1 - label))],
-                names=["model", "stage", "held", "step", "pos", "neg"])
-
-    place = ["model", "stage", "held"]
-    counts = rows.mapInArrow(count, "model int, stage int, held boolean, step int, pos long, neg long")
-    counts = counts.groupBy(*place, "step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    below = Window.partitionBy(*place).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    sums = counts.withColumn("pairs", pairs).groupBy(*place).agg(*[F.sum(c).alias(c) for c in ("pairs", "pos", "neg")])
-    return sums.select(*place, F.try_divide("pairs", F.col("pos") * F.col("neg")).alias("auc"))
+                    part = parts[model.held]
+                    at = np.minimum((steps / (1 + np.exp(-margin[m]))).astype(np.int64), steps - 1)
+                    sums[m, stage] += np.bincount(np.minimum(part + at, 4 * steps), minlength=4 * steps + 1).astype(np.int32)
+        for (m, stage), counts in sums.items():
+            at = np.flatnonzero(counts[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([m], pa.int32()), pa.array([stage], pa.int32()), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts[at].tolist()], pa.list_(pa.int32()))],
+                names=["model", "stage", "at", "n"])
+
+    def read(batch, i):
+        counts = np.zeros(4 * steps, np.int64)
+        counts[batch.column("at")[i].values.to_numpy()] = batch.column("n")[i].values.to_numpy()
+        return counts
+
+    def area(batches):
+        out = []
+        for (m, stage), counts in added(batches, ("model", "stage"), read):
+            for held, (neg, pos) in zip((False, True), counts.reshape(2, 2, steps).astype(float)):
+                if neg.any() or pos.any():
+                    pairs = neg.sum() * pos.sum()
+                    out.append((m, stage, held, float(pos @ (neg.cumsum() - neg / 2) / pairs) if pairs else None))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.bool_(), pa.float64()))],
+                                             names=["model", "stage", "held", "auc"])
+
+    counts = rows.mapInArrow(count, "model int, stage int, at array<int>, n array<int>").repartition("model", "stage").sortWithinPartitions("model", "stage")
+    return counts.mapInArrow(area, "model int, stage int, held boolean, auc double")
 
 
 def best_round(areas: Sequence[float | None], stop: int) -> tuple[int, bool]:
@@ -340,11 +442,10 @@ def train(rows: DataFrame, models: list[Model], cuts: list[list[float]], groups:
 
 def _moved(since: list[dict]):
     def move(batches):
-        for batch in batches:
-            x, margin, *_ = _numbers(batch)
-            for _ in _advance(x, margin, since):
+        for block in blocks(batches):
+            for _ in _advance(block.x, dict(enumerate(block.margin)), since):
                 pass
-            yield _batch(batch, x, margin)
+            yield _block(block)
 
     return move
 
@@ -363,8 +464,8 @@ def scorer(predictors: Sequence[str], cuts: list[list[float]], trees: list[Tree]
 
     @F.pandas_udf("double")
     def probability(*columns: pd.Series) -> pd.Series:
-        x = np.stack([np.searchsorted(e, c.to_numpy()) for e, c in zip(edges, columns)], axis=1)
-        margin = np.zeros(len(x))
+        x = np.stack([np.searchsorted(e, c.to_numpy()) for e, c in zip(edges, columns)])
+        margin = np.zeros(x.shape[1])
         for tree in arrays:
             margin += tree[2][_nodes(tree, x)]
         return pd.Series(1 / (1 + np.exp(-margin)))

@@ -66,20 +66,31 @@ def _counts(rows: DataFrame, work: list[tuple], seed: int) -> DataFrame:
     """
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros((2, nodes.size * drawn.shape[1] * BINS), np.int32) for _, _, _, nodes, drawn in work]
-        for batch in batches:
-            x, _, y, _, key = boosting._numbers(batch)
-            for own, (_, number, tree, nodes, drawn) in zip(held, work):
-                weight = bag(key, number, seed)
+        numbers: dict[int, list[int]] = {}  # trees of several settings share a bag
+        for i, (_, number, *_) in enumerate(work):
+            numbers.setdefault(number, []).append(i)
+        for block in boosting.joined(batches):
+            for number, members in numbers.items():
+                weight = bag(block.key, number, seed)
                 use = np.flatnonzero(weight)
-                node = boosting._nodes(tree, x[use])
-                place = np.minimum(np.searchsorted(nodes, node), nodes.size - 1)
-                inside = nodes[place] == node
-                use, place = use[inside], place[inside]
-                width = drawn.shape[1]
-                at = (place[:, None] * width + np.arange(width)) * BINS + x[use[:, None], drawn[place]]
-                for label in (0, 1):
-                    mine = y[use] == label
-                    own[label] += np.bincount(at[mine].ravel(), np.repeat(weight[use][mine], width), own.shape[1]).astype(np.int32)
+                x, y = block.x[:, use], block.y[use]
+                weight, ones, flat = weight[use], y == 1, x.ravel()
+                counted = ones | (y == 0)
+                for i in members:
+                    _, _, tree, nodes, drawn = work[i]
+                    places = np.full(max(len(tree[0]), int(nodes[-1]) + 1), -1)
+                    places[nodes] = np.arange(nodes.size)
+                    place = places.take(boosting._nodes(tree, x))
+                    inside = np.flatnonzero((place >= 0) & counted)
+                    place = place[inside]
+                    width, times, own = drawn.shape[1], weight[inside], held[i].reshape(-1)
+                    first = place * (width * BINS) + ones[inside] * held[i].shape[1]
+                    for j in range(width):
+                        at = first + j * BINS + flat.take(drawn[:, j].take(place) * use.size + inside)
+                        if at.size * 4 < own.size:
+                            np.add.at(own, at, times.astype(np.int32))
+                        else:
+                            own += np.bincount(at, times, own.size).astype(np.int32)
         for own, (position, _, _, nodes, drawn) in zip(held, work):
             step = drawn.shape[1] * BINS
             lists = [pa.ListArray.from_arrays(np.arange(nodes.size + 1, dtype=np.int32) * step, pa.array(a)) for a in own]
@@ -189,18 +200,20 @@ def grow(rows: DataFrame, cuts: list[list[float]], per_split: Sequence[int], tre
 def oob_votes(rows: DataFrame, grown: Sequence[Grown], seed: int = 8) -> DataFrame:
     """Per row and setting: ``votes`` of the trees that did not see the row, and those of class 1 (``ones``); a leaf of equal counts says 0."""
     settings = sorted({t.per_split for t in grown})
-    trees = [(settings.index(t.per_split), t.number, t.arrays()) for t in grown]
-    numbers = sorted({t.number for t in grown})
+    numbers: dict[int, list[tuple]] = {}  # trees of several settings share a bag
+    for t in grown:
+        numbers.setdefault(t.number, []).append((settings.index(t.per_split), t.arrays()))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, _, y, _, key = boosting._numbers(batch)
-            outside = {t: bag(key, t, seed) == 0 for t in numbers}
+        for block in boosting.blocks(batches):
+            key, y = block.key, block.y
             votes, ones = np.zeros((2, len(settings), len(key)), np.int64)
-            for s, number, tree in trees:
-                out = outside[number]
-                votes[s] += out
-                ones[s, out] += tree[2][boosting._nodes(tree, x[out])] > 0.5
+            for number, members in numbers.items():
+                out = np.flatnonzero(bag(key, number, seed) == 0)
+                x = block.x[:, out]
+                for s, tree in members:
+                    votes[s, out] += 1
+                    ones[s, out] += tree[2][boosting._nodes(tree, x)] > 0.5
             for s, m in enumerate(settings):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(y), pa.array(np.full(len(key), m, np.int32)), pa.array(votes[s]), pa.array(ones[s])],
                                                  names=[KEY, LABEL, "per_split", "votes", "ones"])
@@ -247,7 +260,7 @@ def tuned_forest(predictors: Sequence[str], per_split: Sequence[int] = range(2,
 
         @F.pandas_udf("double")
         def share(*columns: pd.Series) -> pd.Series:
-            x = np.stack([np.searchsorted(e, c.to_numpy()) for e, c in zip(edges, columns)], axis=1)
+            x = np.stack([np.searchsorted(e, c.to_numpy()) for e, c in zip(edges, columns)])
             return pd.Series(np.mean([t[2][boosting._nodes(t, x)] for t in own], axis=0))
 
         def score(df: DataFrame) -> DataFrame:

@@ -103,12 +103,12 @@ def complexity_table(df: DataFrame, predictors: Sequence[str], folds: int, cp: f
 
     def count(batches):
         wrong = np.zeros(len(means), np.int64)
-        for batch in batches:
-            x, _, y, fold, _ = boosting._numbers(batch)
+        for block in boosting.blocks(batches):
             for f, trees in enumerate(subtrees):
-                own = fold == f
+                own = block.fold == f
+                x, y = block.x[:, own], block.y[own]
                 for k, tree in enumerate(trees):
-                    wrong[k] += int(np.sum((tree[2][boosting._nodes(tree, x[own])] > 0.5) != (y[own] == 1)))
+                    wrong[k] += int(np.sum((tree[2][boosting._nodes(tree, x)] > 0.5) != (y == 1)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(wrong), dtype=np.int32)), pa.array(wrong)], names=["k", "wrong"])
 
     wrong = {r.k: r.wrong for r in rows.mapInArrow(count, "k int, wrong long").groupBy("k").agg(F.sum("wrong").alias("wrong")).collect()}
@@ -138,7 +138,7 @@ def pruned_tree(predictors: Sequence[str], cp: float = 0.001, min_split: int = 1
 
         @F.pandas_udf("double")
         def share(*columns: pd.Series) -> pd.Series:
-            x = np.stack([np.searchsorted(e, c.to_numpy()) for e, c in zip(edges, columns)], axis=1)
+            x = np.stack([np.searchsorted(e, c.to_numpy()) for e, c in zip(edges, columns)])
             return pd.Series(own[2][boosting._nodes(own, x)])
 
         def score(df: DataFrame) -> DataFrame:
