@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from acctrisk.functions.hashing import poisson_weight
-from acctrisk.models.base import Fit, Scorer, check_predictors
+from acctrisk.models.base import Fit, Scorer, added, check_predictors
 from acctrisk.models.gram import standard
 from acctrisk.operators.joins import union_all
 from acctrisk.plans.evaluate import roc_auc
@@ -62,32 +62,78 @@ def row_sums(theta: np.ndarray, size: int, x: np.ndarray, y: np.ndarray, weight:
     return loss, jacobian.T @ (weight * (p - y)), curved.T @ jacobian
 
 
+def _part_sums(theta: np.ndarray, size: int, x: np.ndarray, products: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list:
+    """What :func:`row_sums` adds up, without the Jacobian: its rows are products of a row of ``x`` and a slope per hidden unit.
+
+    ``products`` has those of all pairs of columns of ``x``; networks on the same rows share them.
+    """
+    hidden, odds = forward(theta, size, x)
+    p = 1 / (1 + np.exp(-odds))
+    slope = hidden * (1 - hidden) * theta[-size:]
+    off, curve = weight * (p - y), weight * p * (1 - p)
+    loss = -np.sum(weight * (y * np.log(p) + (1 - y) * np.log1p(-p)))
+    curved, tail = slope * curve[:, None], np.column_stack([np.ones(len(x)), hidden])
+    first, second = np.triu_indices(size)
+    return [loss, (x.T @ (slope * off[:, None])).ravel(), tail.T @ off, products.T @ (curved[:, first] * slope[:, second]),
+            x.T @ (curved[:, :, None] * tail[:, None, :]).reshape(len(x), -1), tail.T @ (tail * curve[:, None])]
+
+
+def _places(n: int) -> np.ndarray:
+    """Where the pair of two columns stands among the pairs of ``n``."""
+    out = np.zeros((n, n), np.int64)
+    out[np.triu_indices(n)] = np.arange(n * (n + 1) // 2)
+    return np.maximum(out, out.T)
+
+
+def _whole(size: int, inputs: int, parts: list) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Gauss-Newton matrix from the sums of :func:`_part_sums`."""
+    loss, inner, outer, pairs, cross, corner = parts
+    block = pairs[_places(inputs + 1)][:, :, _places(size)].transpose(0, 2, 1, 3).reshape((inputs + 1) * size, -1)
+    cross = cross.reshape((inputs + 1) * size, size + 1)
+    return loss, np.concatenate([inner, outer]), np.block([[block, cross], [cross.T, corner]])
+
+
 def network_sums(rows: DataFrame, inputs: int, nets: dict[int, tuple[int, int, np.ndarray]]) -> dict[int, tuple]:
-    """The sums of :func:`row_sums` over all rows, for networks given as weight column, size and coefficients."""
+    """The sums of :func:`row_sums` over all rows, for networks given as weight column, size and coefficients.
+
+    The sums of the tasks meet by network, one row per network and task.
+    """
     def add(batches):
-        sums = {m: [0.0, np.zeros(len(t)), np.zeros((len(t), len(t)))] for m, (_, _, t) in nets.items()}
+        sums: dict[int, list] = {}
+        alike: dict[int, list[int]] = {}
+        for m, (w, _, _) in nets.items():
+            alike.setdefault(w, []).append(m)
+        first, second = np.triu_indices(inputs + 1)
         for batch in batches:
             column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
             x = np.column_stack([np.ones(batch.num_rows), *[column(f"x{i}") for i in range(inputs)]])
             y = column("y")
-            for m, (w, size, theta) in nets.items():
+            for w, members in alike.items():
                 weight = column(f"w{w}")
-                use = weight > 0
-                for k, part in enumerate(row_sums(theta, size, x[use], y[use], weight[use])):
-                    sums[m][k] = sums[m][k] + part
-        for m, (loss, gradient, matrix) in sums.items():
-            values = np.concatenate([[loss], gradient, matrix[np.triu_indices(len(gradient))]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(values), m, np.int32)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)],
-                names=["net", "place", "value"])
-
-    found = rows.mapInArrow(add, "net int, place int, value double").groupBy("net", "place").agg(F.sum("value").alias("value")).toArrow()
-    net, place, value = (found[c].to_numpy() for c in ("net", "place", "value"))
+                use = np.flatnonzero(weight > 0)
+                own, label, weight = x[use], y[use], weight[use]
+                products = own[:, first] * own[:, second]
+                for m in members:
+                    found = _part_sums(nets[m][2], nets[m][1], own, products, label, weight)
+                    sums[m] = [a + b for a, b in zip(sums[m], found)] if m in sums else found
+        values = []
+        for m, parts in sums.items():
+            loss, gradient, matrix = _whole(nets[m][1], inputs, parts)
+            values.append(np.concatenate([[loss], gradient, matrix[np.triu_indices(len(gradient))]]).tobytes())
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(values, pa.binary())], names=["net", "sums"])
+
+    def meet(batches):
+        for (m,), total in added(batches, ("net",), lambda batch, i: np.frombuffer(batch.column("sums")[i].as_buffer())):
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["net", "sums"])
+
+    kind = "net int, sums binary"
+    found = rows.mapInArrow(add, kind).repartition("net").sortWithinPartitions("net").mapInArrow(meet, kind).toArrow()
+    held = {m: np.frombuffer(v) for m, v in zip(found["net"].to_pylist(), found["sums"].to_pylist())}
     out = {}
     for m, (_, _, theta) in nets.items():
-        n, own = len(theta), net == m
-        values = np.zeros(1 + n + n * (n + 1) // 2)
-        values[place[own]] = value[own]
+        n = len(theta)
+        values = held.get(m, np.zeros(1 + n + n * (n + 1) // 2))
         matrix = np.zeros((n, n))
         matrix[np.triu_indices(n)] = values[1 + n:]
         out[m] = values[0], values[1:n + 1], matrix + np.triu(matrix, 1).T
