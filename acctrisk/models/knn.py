@@ -2,8 +2,11 @@
 
 Training points are assigned to the nearest of a few pivots. The pivots' distances bound, by
 the triangle inequality, how far a row's k-th neighbour can be and which cells can hold a
-nearer one, so a row visits only those cells. Cells are split into blocks of bounded size on
-both sides before rows meet, and a block returns only its nearest points.
+nearer one, so a row visits only those cells. A first search near the own pivot gives each row a
+distance within which its neighbours lie; the second goes to all parts that can hold a nearer point.
+Cells are split or packed into parts of bounded size, rows into blocks, before they meet, and a
+part returns only what lies within that distance. Products of matrices say which points can be near;
+their distances are then computed coordinate by coordinate.
 
 Equal points are merged first, with their counts, so that copies cost nothing. All rows at
 the distance of the k-th neighbour count as neighbours.
@@ -21,8 +24,10 @@ from acctrisk.models.base import Fit, Scorer, check_predictors
 from acctrisk.session import checkpointed
 from acctrisk.sources.schemas import KEY, LABEL
 
-BLOCK = 20_000
-SLACK = 1e-9
+#: Points of a part and rows of a block; rows that are held against pivots at a time; distances held at a time.
+BLOCK, ROWS, DISTANCES = 40_000, 1_000, 4_000_000
+#: Room for rounding: of bounds, and of squared distances from products of matrices.
+SLACK, PRODUCT_SLACK = 1e-9, 1e-12
 
 
 def standardised(df: DataFrame, predictors: Sequence[str], moments: dict[str, tuple[float, float]]) -> Column:
@@ -79,55 +84,130 @@ class Cells:
 
         @F.pandas_udf("cell int, away double")
         def nearest(points: pd.Series) -> pd.DataFrame:
-            away = np.sqrt(squared_distances(_stack(points), pivots))
-            cell = away.argmin(axis=1)
-            return pd.DataFrame({"cell": cell.astype("int32"), "away": away[np.arange(len(cell)), cell]})
+            cell, least = np.zeros(len(points), "int32"), np.zeros(len(points))
+            for a in range(0, len(points), ROWS):
+                away = np.sqrt(squared_distances(_stack(points[a:a + ROWS]), pivots))
+                cell[a:a + ROWS], least[a:a + ROWS] = away.argmin(axis=1), away.min(axis=1)
+            return pd.DataFrame({"cell": cell, "away": least})
 
         return nearest
 
-    def candidates(self):
-        """A column function: the cells that can hold one of a point's neighbours."""
+    def parts(self, block: int) -> tuple[list[int], list[int]]:
+        """First part and number of parts of each cell: large cells are split, near ones packed together."""
+        first, count, number, filled = [0] * len(self.pivots), [1] * len(self.pivots), -1, block
+        for cell in _near_order(self.pivots, np.arange(len(self.pivots))):
+            size = int(self.points[cell])
+            if size > block:
+                first[cell], count[cell] = number + 1, -(-size // block)
+                number, filled = number + count[cell], block
+            else:
+                if filled + size > block:
+                    number, filled = number + 1, 0
+                first[cell], filled = number, filled + size
+        return first, count
+
+    def candidates(self, first: list[int], count: list[int]):
+        """A column function: the parts that can hold one of a point's neighbours, given a squared distance within which they lie."""
         pivots, low, high, reach = self.pivots, self.low, self.high, self.reach
         apart = np.sqrt(squared_distances(pivots, pivots))
+        held = [range(a, a + n) for a, n in zip(first, count)]
 
         @F.pandas_udf("array<int>")
-        def cells(points: pd.Series) -> pd.Series:
-            away = np.sqrt(squared_distances(_stack(points), pivots))
-            bound = (away + reach).min(axis=1)[:, None] * (1 + SLACK) + SLACK
-            own = away.argmin(axis=1)
-            nearest = away[np.arange(len(own)), own][:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (away ** 2 - nearest ** 2) / (2 * apart[own])
-            plane = np.where(np.isfinite(plane), plane, 0.0)
-            least = np.maximum.reduce([low - away, away - high, plane])
-            return pd.Series([np.flatnonzero(row).astype("int32") for row in least <= bound])
+        def visited(points: pd.Series, limit: pd.Series) -> pd.Series:
+            out = []
+            for a in range(0, len(points), ROWS):
+                away = np.sqrt(squared_distances(_stack(points[a:a + ROWS]), pivots))
+                bound = np.minimum((away + reach).min(axis=1), np.sqrt(limit[a:a + ROWS].to_numpy()))[:, None] * (1 + SLACK) + SLACK
+                own = away.argmin(axis=1)
+                nearest = away[np.arange(len(own)), own][:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = (away ** 2 - nearest ** 2) / (2 * apart[own])
+                plane = np.where(np.isfinite(plane), plane, 0.0)
+                least = np.maximum.reduce([low - away, away - high, plane])
+                out += [sorted({p for cell in np.flatnonzero(row).tolist() for p in held[cell]}) for row in least <= bound]
+            return pd.Series(out, dtype=object)
+
+        return visited
+
+
+def _near_order(pivots: np.ndarray, own: np.ndarray) -> list[int]:
+    """Pivots in an order in which neighbours tend to be near: halves along the widest coordinate."""
+    if len(own) <= 2:
+        return own.tolist()
+    widest = int(np.ptp(pivots[own], axis=0).argmax())
+    own = own[np.argsort(pivots[own, widest], kind="stable")]
+    half = len(own) // 2
+    return _near_order(pivots, own[:half]) + _near_order(pivots, own[half:])
+
+
+def _search(asked: np.ndarray, limit: np.ndarray, points: np.ndarray, n: np.ndarray, pos: np.ndarray, most: int) -> pd.DataFrame:
+    """Of each asked row the nearest points until ``most`` rows are counted, as far as they lie within its limit."""
+    k, parts = min(most, len(points)) - 1, []
+    lengths = (points * points).sum(axis=1)
+    right = np.column_stack([-2 * points, lengths]).T
+    step = max(1, DISTANCES // len(points))
+    for start in range(0, len(asked), step):
+        some, within = asked[start:start + step], limit[start:start + step].copy()
+        own = (some * some).sum(axis=1)
+        slack = PRODUCT_SLACK * (np.sqrt(own) + np.sqrt(lengths.max())) ** 2
+        about = np.column_stack([some, np.ones(len(some))]) @ right
+        free = np.flatnonzero(~np.isfinite(within))
+        if len(free):
+            within[free] = np.partition(about[free], k, axis=1)[:, k] + own[free] + slack[free]
+        row, col = np.nonzero(about <= (within + slack - own)[:, None])
+        squared = np.zeros(len(row))
+        for j in range(points.shape[1]):
+            away = some[row, j] - points[col, j]
+            squared += away * away
+        parts.append(pd.DataFrame({"row": row + start, "squared": squared, "n": n[col], "pos": pos[col]}))
+    near = pd.concat(parts).groupby(["row", "squared"], as_index=False).sum()
+    return near[near.groupby("row")["n"].cumsum() - near["n"] < most]
+
+
+def _numbers(rows: pd.DataFrame, train: pd.DataFrame) -> tuple:
+    return _stack(rows["point"]), rows["limit"].to_numpy(dtype="float64"), _stack(train["point"]), train["n"].to_numpy(), train["pos"].to_numpy()
+
+
+def _limits(most: int):
+    """Each row with the squared distance up to which ``most`` points of the part are counted; infinite if there are fewer."""
+
+    def search(rows: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+        limit = np.full(len(rows), np.inf)
+        if len(rows) and len(train):
+            near = _search(*_numbers(rows, train), most)
+            sums = near.groupby("row").agg({"squared": "max", "n": "sum"})
+            sums = sums[sums["n"] >= most]
+            limit[sums.index.to_numpy()] = sums["squared"]
+        return rows[["qid", "point"]].assign(limit=limit)
 
-        return cells
+    return search
 
 
-def _nearest_in_block(most: int):
-    """For each row of a block pair its nearest training points until ``most`` rows are counted."""
+def _nearest_in_part(most: int):
+    """For each row of a block its nearest points of the part."""
 
     def search(rows: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(train):
             return pd.DataFrame({"qid": [], "squared": [], "n": [], "pos": []})
-        points, n, pos = _stack(train["point"]), train["n"].to_numpy(), train["pos"].to_numpy()
-        asked, k = _stack(rows["point"]), min(most, len(points)) - 1
-        step, parts = max(1, 4_000_000 // len(points)), []
-        for start in range(0, len(asked), step):
-            squared = squared_distances(asked[start:start + step], points)
-            furthest = np.partition(squared, k, axis=1)[:, k]
-            row, col = np.nonzero(squared <= furthest[:, None])
-            parts.append(pd.DataFrame({
-                "row": row + start, "squared": squared[row, col], "n": n[col], "pos": pos[col]}))
-        near = pd.concat(parts).groupby(["row", "squared"], as_index=False).sum()
-        near = near[near.groupby("row")["n"].cumsum() - near["n"] < most]
+        near = _search(*_numbers(rows, train), most)
         return pd.DataFrame({"qid": rows["qid"].to_numpy()[near["row"]], "squared": near["squared"].to_numpy(),
                              "n": near["n"].to_numpy(), "pos": near["pos"].to_numpy()})
 
     return search
 
 
+def _meet(rows: DataFrame, train: DataFrame, parts: int, block: int, search, schema: str) -> DataFrame:
+    """``search`` of every block of rows and the part they visit; both have a column ``part``."""
+    sizes = [1] * parts
+    for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("visits")).collect():  # one row per part
+        sizes[r["part"]] = -(-r["visits"] // block)
+    blocks = F.array(*[F.lit(n) for n in sizes])[F.col("part")]
+    left = rows.withColumn("row_block", F.pmod(F.xxhash64("point"), blocks).cast("int"))
+    right = train.withColumn("row_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    on = ["part", "row_block"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(search, schema)
+
+
 def neighbours(rows: DataFrame, points: DataFrame, most: int, block: int = BLOCK,
                pivots: int | None = None) -> DataFrame:
     """The nearest training rows of each point: ``qid, squared, n, pos`` per distinct distance.
@@ -139,30 +219,18 @@ def neighbours(rows: DataFrame, points: DataFrame, most: int, block: int = BLOCK
     if pivots is None:
         pivots = int(min(256, max(1, points.count() // 1000)))
     cells = Cells(points, most, pivots)
-    spread = checkpointed(rows.withColumn("cell", F.explode(cells.candidates()(F.col("point")))))
-    visits = {r["cell"]: r["visits"] for r in spread.groupBy("cell").agg(F.count(F.lit(1)).alias("visits")).collect()}
-
-    def blocks(sizes: dict | np.ndarray) -> Column:
-        count = F.lit(1)
-        for cell in range(len(cells.pivots)):
-            size = sizes.get(cell, 0) if isinstance(sizes, dict) else int(sizes[cell])
-            if size > block:
-                count = F.when(F.col("cell") == cell, -(-size // block)).otherwise(count)
-        return count
-
-    def own(count: Column) -> Column:
-        return F.pmod(F.xxhash64("point"), count).cast("int")
-
-    def every(count: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), count - 1))
-
-    train_blocks, row_blocks = blocks(cells.points), blocks(visits)
-    left = spread.withColumn("row_block", own(row_blocks)).withColumn("train_block", every(train_blocks))
-    right = (cells.assigned.select("point", "n", "pos", "cell")
-             .withColumn("train_block", own(train_blocks)).withColumn("row_block", every(row_blocks)))
-    on = ["cell", "train_block", "row_block"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(
-        _nearest_in_block(most), f"qid {dict(rows.dtypes)['qid']}, squared double, n long, pos long")
+    first, count = cells.parts(block)
+    total = max((a + n for a, n in zip(first, count)), default=0)
+    kind = dict(rows.dtypes)["qid"]
+    if not total:
+        return rows.sparkSession.createDataFrame([], f"qid {kind}, squared double, n long, pos long")
+    firsts, counts = (F.array(*map(F.lit, a))[F.col("cell")] for a in (first, count))
+    train = cells.assigned.select("point", "n", "pos", (firsts + F.pmod(F.xxhash64("point"), counts)).cast("int").alias("part"))
+    own = rows.select("qid", "point", cells._nearest()(F.col("point"))["cell"].alias("cell"), F.lit(float("inf")).alias("limit"))
+    limited = checkpointed(_meet(own.select("qid", "point", "limit", firsts.alias("part")), train, total, block, _limits(most),
+                                 f"qid {kind}, point array<double>, limit double"))
+    spread = limited.withColumn("part", F.explode(cells.candidates(first, count)(F.col("point"), F.col("limit"))))
+    found = _meet(spread, train, total, block, _nearest_in_part(most), f"qid {kind}, squared double, n long, pos long")
     return found.groupBy("qid", "squared").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
