@@ -72,3 +72,27 @@ def test_incomplete_rows_and_label_are_refused(rows):
         networks.fit_networks(rows.withColumn("a", F.when(F.col("a") > 0, F.col("a"))), P, [Net()])
     with pytest.raises(ValueError, match="label"):
         networks.fit_networks(rows, ("a", "Default"), [Net()])
+
+
+def test_sums_leave_a_task_as_one_row_per_network(spark, rows, data, monkeypatch):
+    x, y = np.column_stack([np.ones(N), data[0]]), data[1]
+    products = x[:, np.triu_indices(3)[0]] * x[:, np.triu_indices(3)[1]]
+    random = np.random.default_rng(5)
+    for size in (1, 3):
+        theta, weight = random.normal(size=size * 4 + 1), random.poisson(1.0, N).astype(float)
+        found = networks._whole(size, 2, networks._part_sums(theta, size, x, products, y, weight))
+        for a, b in zip(found, networks.row_sums(theta, size, x, y, weight)):
+            assert np.allclose(a, b, rtol=1e-10, atol=1e-10)
+    left = []
+    monkeypatch.setattr(type(rows), "mapInArrow", _counting(type(rows).mapInArrow, left))
+    table = rows.select(F.col("Default").alias("y"), F.col("a").alias("x0"), F.col("b").alias("x1"), F.lit(1.0).alias("w0"))
+    networks.network_sums(table, 2, {m: (0, 3, random.normal(size=13)) for m in range(4)})
+    assert left[0] <= 4 * table.rdd.getNumPartitions()
+
+
+def _counting(original, left):
+    def counted(self, *args, **kwargs):
+        out = original(self, *args, **kwargs)
+        left.append(out.count())
+        return out
+    return counted

@@ -164,3 +164,29 @@ def test_splines_have_the_wanted_degrees(rows):
 
 def deviance(scored):
     return -2 * np.log(np.where(scored[LABEL] == 1, scored["score"], 1 - scored["score"])).sum()
+
+
+def test_a_task_gives_one_row_per_node_and_either_way_adds_up_alike(rows, monkeypatch):
+    cuts = boosting.bin_cuts(rows, X)
+    stored = boosting.binned(rows, X, cuts, 2, boosting.F.col("fold"))
+    used = [j for j, c in enumerate(cuts) if c]
+    root = {m: {"share": 1.0, "held": m, "tree": boosting.Tree().arrays(), "open": boosting.np.array([0]), "predictors": used} for m in (0, 1)}
+    sums = boosting.cut_sums(stored, root, [], 0)
+    assert sums.count() <= 2 * stored.rdd.getNumPartitions()
+    found = []
+    for most in (0, 1 << 30):
+        monkeypatch.setattr(boosting, "DRIVER_BYTES", most)
+        settings = {m: boosting.Settings(min_hessian=1.0) for m in root}
+        found.append(sorted(boosting._best(sums, root, settings, [len(c) for c in cuts], 4)))
+    assert len(found[0]) == 2
+    for a, b in zip(*found):
+        assert a[:3] == b[:3] and a[4:6] == b[4:6] and a[3] == pytest.approx(b[3])
+
+
+def test_both_ways_down_a_tree_agree(monkeypatch):
+    random = boosting.np.random.default_rng(4)
+    x = random.integers(0, 64, (5, 3000)).astype("uint8")
+    tree = boosting.Tree({n: (int(random.integers(5)), int(random.integers(64))) for n in [0, 1, 2, 4, 5, 9, 10, 300]})
+    few = boosting._nodes(tree.arrays(), x)
+    monkeypatch.setattr(boosting, "FEW_SPLITS", 0)
+    assert (few == boosting._nodes(tree.arrays(), x)).all() and len(set(few.tolist())) > 4
