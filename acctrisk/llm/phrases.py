@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from acctrisk.llm import runs
 from acctrisk.llm.automata import Automaton, composed, prefix_sums, united
 from acctrisk.llm.common import bitset, groups, in_bitset, stored
-from acctrisk.llm.words import BASE, WEIGHTS, mixed
+from acctrisk.llm.words import BASE, WEIGHTS, mixed, unmixed
 
 #: Words of the longest phrase. Hashes that a task adds up, and phrases, before it gives them away.
 LONGEST, HELD_HASHES, HELD_PHRASES = 5, 1 << 20, 1 << 19
@@ -75,38 +76,55 @@ def _slices(batches):
 
 
 class _Sums:
-    """Counts of 64-bit hashes, given away when there are many."""
+    """Counts of 64-bit hashes with the hashes they were made of, given away when there are many."""
 
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, found: np.ndarray):
-        keys, counts = np.unique(found, return_counts=True)
-        self.parts.append((keys, counts))
-        self.size += len(keys)
+    def add(self, found: np.ndarray, before: np.ndarray | None = None):
+        if before is None:
+            keys, counts = np.unique(found, return_counts=True)
+            self.parts.append((keys, np.zeros(len(keys), np.uint64), counts))
+        else:
+            self.parts.append(_run_sums(found, before, np.ones(len(found), np.int64)))
+        self.size += len(self.parts[-1][0])
         if self.size > 4 * HELD_HASHES:
             self.merge()
             if self.size > HELD_HASHES:
                 yield self.give()
 
     def merge(self):
-        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([c for _, c in self.parts])).astype(np.int64)
-        self.parts, self.size = [(keys, counts)], len(keys)
+        self.parts = [_run_sums(*[np.concatenate(c) for c in zip(*self.parts)])]
+        self.size = len(self.parts[0][0])
 
     def give(self) -> pa.RecordBatch:
         if self.parts:
             self.merge()
-        keys, counts = self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keys, before, counts = self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "h", "n"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(before.view(np.int64)),
+                                           pa.array(counts)], names=["lang", "h", "p", "n"])
 
 
-def _frequent(counts: DataFrame, least: int, kind: str) -> np.ndarray:
-    """A set of bits that holds all hashes with at least ``least`` occurrences, and few others."""
-    found = stored(counts.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), kind)
+def _run_sums(keys: np.ndarray, before: np.ndarray, counts: np.ndarray) -> tuple:
+    """Keys in ascending order with the sums of their counts; a key has a row for each run of one value of ``before``."""
+    order = np.argsort(keys)
+    keys, before = keys[order], before[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (before[1:] != before[:-1])
+    first = np.flatnonzero(new)
+    return keys[first], before[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+
+
+def _frequent(counts: DataFrame, least: int, kind: str) -> tuple[DataFrame, np.ndarray]:
+    """All hashes with at least ``least`` occurrences, and a set of bits that holds them and few others.
+
+    Columns: ``h``, ``n``, and the least (``p``) and largest (``q``) hash of the words before the last.
+    """
+    sums = counts.where("h is not null").repartition("h").groupBy("h").agg(F.sum("n").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"))
+    found = stored(sums.where(F.col("n") >= least), kind)
     bits = min(max((64 * found.count()).bit_length(), 20), 27)  # 16 MB at most; fuller sets let more through
-    return np.frombuffer(bitset(found, "h", bits), np.uint64)
+    return found, np.frombuffer(bitset(found, "h", bits), np.uint64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -118,27 +136,108 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for name, n in zip(words.names, np.bincount(words.lang, minlength=len(words.names)).tolist()):
                 totals[name] = totals.get(name, 0) + n
         yield sums.give()
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()),
-                                          pa.array(list(totals.values()), pa.int64())], names=["lang", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()), pa.nulls(len(totals), pa.int64()),
+                                          pa.array(list(totals.values()), pa.int64())], names=["lang", "h", "p", "n"])
 
-    return docs.mapInArrow(count, "lang string, h long, n long")
+    return docs.mapInArrow(count, "lang string, h long, p long, n long")
 
 
 def gram_counts(docs: DataFrame, filters: list, size: int) -> DataFrame:
-    """Counts of hashed phrases of ``size`` words whose parts are all frequent."""
+    """Counts of hashed phrases of ``size`` words whose parts are all frequent (``h``, ``n``).
+
+    ``p`` is the hash of the words before the last one. It and ``h`` determine the hash of the last word.
+    """
     def count(batches):
         sums, own = _Sums(), [f.value for f in filters]
         for words in _slices(batches):
             at = np.flatnonzero(words.possible(own, size))
-            yield from sums.add(words.grams(at, size))
+            yield from sums.add(words.grams(at, size), words.grams(at, size - 1) if size > 2 else words.hashes[at])
         yield sums.give()
 
-    return docs.mapInArrow(count, "lang string, h long, n long")
+    return docs.mapInArrow(count, "lang string, h long, p long, n long")
+
+
+def word_texts(docs: DataFrame, filters: list) -> DataFrame:
+    """``h``, ``lang`` and ``word``: all words whose hash may be frequent, for each task that has them."""
+    def name(batches):
+        seen, own = {}, [f.value for f in filters]
+        for words in _slices(batches):
+            at = np.flatnonzero(words.possible(own, 1))
+            if not len(at):
+                continue
+            coded = runs.strings(words.data, words.starts[at], words.ends[at]).dictionary_encode()
+            place = words.lang[at] * len(coded.dictionary) + coded.indices.to_numpy()
+            some = np.full(len(words.names) * len(coded.dictionary), -1)
+            some[place] = words.hashes[at].view(np.int64)
+            there = np.zeros(len(some), bool)
+            there[place] = True
+            texts, langs = coded.dictionary.to_pylist(), words.names.tolist()
+            for i, h in zip(np.flatnonzero(there).tolist(), some[there].tolist()):
+                seen[langs[i // len(texts)], texts[i % len(texts)]] = h
+            if len(seen) > 2 * HELD_PHRASES:
+                yield _named(seen)
+                seen = {}
+        yield _named(seen)
+
+    return docs.mapInArrow(name, "h long, lang string, word string")
+
+
+def _named(seen: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array(list(seen.values()), pa.int64()), pa.array([x for x, _ in seen], pa.string()),
+        pa.array([w for _, w in seen], pa.string())], names=["h", "lang", "word"])
+
+
+def last_words(found: DataFrame, size: int) -> DataFrame:
+    """The hash of the last word (``last``) of frequent phrases of ``size`` words, from those of the phrase and of the words before."""
+    back = np.uint64(pow(int(WEIGHTS[size - 1]), -1, 1 << 64))
+
+    def part(batches):
+        for batch in batches:
+            h, p = [batch.column(c).to_numpy().view(np.uint64) for c in ("h", "p")]
+            sums = p * WEIGHTS[0] + np.uint64(1) if size == 2 else unmixed(p)
+            last = (unmixed(h) - sums - np.uint64(1)) * back
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(last.view(np.int64))], names=["h", "p", "n", "last"])
+
+    return found.select("h", "p", "n").mapInArrow(part, "h long, p long, n long, last long")
+
+
+def level_phrases(levels: list[DataFrame], texts: DataFrame) -> DataFrame:
+    """``lang``, ``words`` and ``n``: each frequent phrase once, ``n`` times without a frequent word behind that lengthens it.
+
+    A phrase is the one of all but its last word, by the hash ``p``, and its last word: two joins a level.
+    """
+    named = texts.join(levels[0].select("h", "n"), "h")
+    rows = stored(named.select("h", "lang", F.array("word").alias("words"), "n"), "phrases")
+    parts = []
+    ends = texts.select(F.col("h").alias("last"), "word")
+    for size, found in enumerate([*levels[1:], None], 2):
+        if found is None:
+            parts.append(rows.select("lang", "words", "n"))
+            break
+        more = found.groupBy(F.col("p").alias("h")).agg(F.sum("n").alias("more"))
+        own = F.col("n") - F.coalesce("more", F.lit(0))
+        parts.append(rows.join(more, "h", "left").select("lang", "words", own.alias("n")).where("n > 0"))
+        begun = rows.select(F.col("h").alias("p"), "lang", "words")
+        longer = last_words(found, size).join(begun, "p").join(ends, "last")
+        rows = stored(longer.select("h", "lang", F.concat("words", F.array("word")).alias("words"), "n"), "phrases")
+    return reduce(DataFrame.union, parts).sortWithinPartitions("lang", "words")
+
+
+def one_phrase_each(levels: list[DataFrame], texts: DataFrame) -> bool:
+    """Whether no two words or phrases share the hash of a frequent one.
+
+    Hashes of words are held against their texts, and a phrase of frequent hash must have the same words
+    before its last one wherever it stands, by a hash that was checked before.
+    """
+    twice = texts.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    return all(x.isEmpty() for x in (twice.join(levels[0], "h"), *[f.where("p <> q") for f in levels[1:]]))
 
 
 def shard_phrases(docs: DataFrame, filters: list) -> DataFrame:
     """``lang``, ``words`` and ``n``: from each frequent word on, up to five words of which all parts may be frequent.
 
+    Only for tables where hashes are shared (:func:`one_phrase_each`): every task gives away all phrases it has.
     What a task holds is given away in ascending order, equal phrases added up. Beginnings of these
     phrases are all phrases that can be frequent, and every occurrence of such is counted once.
     """
@@ -318,8 +417,9 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str =
     """The ``top`` phrases of each language by score: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 
     Phrases have two to five words of one piece and occur at least ``least`` times. Words and
-    phrases are first counted by hash, level by level, which only rules out what can't be frequent; all that is left
-    is counted as text. Phrases inside a longer one with the same count go.
+    phrases are counted by hash, level by level, each with the hash of the words before its last one. Where that
+    shows that a frequent hash has one phrase only, the phrases are put together from it; where two share a
+    hash, all that may be frequent is counted as text. Phrases inside a longer one with the same count go.
 
     A missing language is ``und``, also next to a language of that name. Missing and empty texts have
     no words, texts and words of any length are read whole, repeated rows count as often as they
@@ -329,10 +429,14 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str =
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     words = stored(word_counts(rows), "words")
     totals = words.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    filters = [spark.sparkContext.broadcast(_frequent(words, least, "frequent"))]
-    for size in range(2, FILTERED + 1):
-        filters.append(spark.sparkContext.broadcast(_frequent(gram_counts(rows, filters, size), least, "frequent")))
-    counts = stored(united_counts(stored(shard_phrases(rows, filters), "shards"), least), "counts")
+    levels, filters = [], []
+    for size in range(1, FILTERED + 1):
+        found, bits = _frequent(gram_counts(rows, filters, size) if filters else words, least, "frequent")
+        levels.append(found)
+        filters.append(spark.sparkContext.broadcast(bits))
+    texts = stored(word_texts(rows, filters[:1]).distinct(), "texts")
+    shards = level_phrases(levels, texts) if one_phrase_each(levels, texts) else shard_phrases(rows, filters)
+    counts = stored(united_counts(stored(shards, "shards"), least), "counts")
     ahead = part_counts(counts).select("lang", "words", F.col("along").alias("ls"), F.lit(None).cast("array<long>").alias("rs"), "same")
     turned = part_counts(counts.withColumn("words", F.reverse("words")))
     behind = turned.select("lang", F.reverse("words").alias("words"), F.lit(None).cast("array<long>").alias("ls"), F.col("along").alias("rs"), "same")

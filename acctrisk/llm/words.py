@@ -21,6 +21,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def unmixed(h: np.ndarray) -> np.ndarray:
+    """The numbers that :func:`mixed` makes these of."""
+    h = (h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))) * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h = (h ^ (h >> np.uint64(27)) ^ (h >> np.uint64(54))) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+
+
 _numbers = mixed(np.arange(1, 1025, dtype=np.uint64) * np.uint64(BASE))
 #: A number per byte, with ASCII letters in lower case and as they are; the weights of a shingle's words.
 LOWER = _numbers[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]

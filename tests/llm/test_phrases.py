@@ -4,10 +4,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from acctrisk.llm import phrases
 from acctrisk.llm.automata import Automaton, composed, prefix_sums, united
+from acctrisk.llm.words import mixed, unmixed
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -84,3 +86,37 @@ def test_automata():
     with pytest.raises(ValueError):
         Automaton([(("b",), 1), (("a",), 1)])
     assert list(Automaton()) == []
+
+
+def test_hashes_give_back_what_they_are_made_of():
+    numbers = np.random.default_rng(1).integers(0, 2 ** 64, 1000, np.uint64)
+    assert (unmixed(mixed(numbers)) == numbers).all()
+
+
+def test_shard_rows_do_not_grow_with_the_tasks(spark, monkeypatch):
+    rows = [(" ".join(f"w{(7 * i + j * j) % 30}" for j in range(40)), "en") for i in range(400)]
+    taken = []
+    whole = phrases.united_counts
+    monkeypatch.setattr(phrases, "united_counts", lambda shards, least: taken.append(shards.count()) or whole(shards, least))
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = [sorted(tuple(r) for r in phrases.collocations(docs.repartition(n), 20).collect()) for n in (1, 8)]
+    assert got[0] == got[1] == brute(rows, 20, 2000)
+    assert taken[0] == taken[1]
+
+
+@pytest.mark.parametrize("weak", ["words", "phrases"])
+def test_shared_hashes(spark, monkeypatch, weak):
+    """Words or phrases that share a hash, frequent ones among them, are told apart by their texts."""
+    if weak == "words":
+        kept = phrases.runs.hashes
+        monkeypatch.setattr(phrases.runs, "hashes", lambda *a: kept(*a) & np.uint64(0xF))
+    else:
+        monkeypatch.setattr(phrases.Words, "grams", lambda own, at, size: own.hashes[at] ^ own.hashes[at + size - 1])
+    used = []
+    by_text = phrases.shard_phrases
+    monkeypatch.setattr(phrases, "shard_phrases", lambda *a: used.append(1) or by_text(*a))
+    random.seed(3)
+    rows = [(" ".join(random.choices([f"w{i}" for i in range(25)], k=40)), random.choice(["en", None])) for _ in range(200)]
+    rows += [("q" * 70_000 + f"{i % 2} end", "en") for i in range(40)]
+    assert found(spark, rows, 15) == brute(rows, 15, 2000)
+    assert used
