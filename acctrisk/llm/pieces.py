@@ -22,8 +22,12 @@ SLICE = 1 << 22
 KEPT_WORDS, KEPT_LENGTH = 1 << 19, 48
 #: Characters of a word whose agenda is a plain list; a place behind all scores.
 SHORT, LAST = 32, 1 << 60
+#: Short words whose agendas are rows of one table: more than that at once, and most in a table.
+FEW, TABLE = 64, 1 << 13
 # Kinds of pieces and the number of merge-type models in a model file.
 NORMAL, BYTE, MERGE_TYPE = 1, 6, 2
+#: No place in the order of scores.
+NONE = np.iinfo(np.int32).max
 
 
 class Encoder:
@@ -66,6 +70,19 @@ class Encoder:
                 a, b = self.number.get(piece[:k]), self.number.get(piece[k:])
                 if a is not None and b is not None:
                     self.rank[a, b], self.merged[a, b] = order[score], i
+        # The same for many words at once: pairs as numbers in ascending order, and the symbol of a character.
+        pairs = np.array(list(self.rank), np.int64).reshape(-1, 2)
+        self.chars = self.size + len(self.number)  # from here on, characters that stand in no piece
+        self.width = self.chars + 0x110000
+        keys = pairs[:, 0] * self.width + pairs[:, 1]
+        by_key = np.argsort(keys)
+        self.pairs = np.append(keys[by_key], 1 << 62)
+        self.ranks = np.append(np.array(list(self.rank.values()), np.int32)[by_key], NONE)
+        self.made = np.array(list(self.merged.values()), np.int64)[by_key]
+        self.symbol = np.arange(self.chars, self.width)
+        for c, i in self.number.items():
+            if len(c) == 1:
+                self.symbol[ord(c)] = i
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         inner = any(SPACE in piece.lstrip(SPACE) for piece in scores)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not inner else r"(?s).+").findall
@@ -75,7 +92,10 @@ class Encoder:
     def merge(self, word: str) -> list[int]:
         """The ids of one word, by the agenda: a list for a short word, a heap for a long one."""
         symbols = [self.number.get(c, c) for c in word]
-        symbols = self._short(symbols) if len(symbols) <= SHORT else self._long(symbols)
+        return self._spelled(self._short(symbols) if len(symbols) <= SHORT else self._long(symbols))
+
+    def _spelled(self, symbols: list) -> list[int]:
+        """Symbols that are pieces, and the bytes of the others."""
         ids = []
         for s in symbols:
             if isinstance(s, int) and s < self.size:
@@ -97,6 +117,62 @@ class Encoder:
                 agenda[i] = rank((symbols[i], symbols[i + 1]), LAST)
         return symbols
 
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. Agendas of many short words are rows of tables, and a step merges a pair in each row."""
+        out: list = [None] * len(words)
+        short = sorted((i for i, w in enumerate(words) if len(w) <= SHORT), key=lambda i: len(words[i]))
+        if len(short) <= FEW:
+            short = []
+        for at in range(0, len(short), TABLE):
+            some = short[at:at + TABLE]
+            for i, ids in zip(some, self._table([words[i] for i in some])):
+                out[i] = ids
+        return [self.merge(w) if ids is None else ids for w, ids in zip(words, out)]
+
+    def _table(self, words: list[str]) -> list[list[int]]:
+        """Ids of short words, ascending by length."""
+        sizes = np.array([len(w) for w in words])
+        n, most = len(words), int(sizes[-1])
+        symbols = np.full((n, most), -1, np.int64)
+        signs = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        symbols[np.arange(most) < sizes[:, None]] = self.symbol[signs]
+        rank = self._ranks(symbols[:, :-1], symbols[:, 1:])
+        done: list = [None] * n
+        rows = np.arange(n)
+        while len(rows):
+            width = symbols.shape[1]
+            at = np.arange(len(rows))
+            first = rank.argmin(axis=1) if width > 1 else at
+            left = rank[at, first] < NONE if width > 1 else np.zeros(len(rows), bool)
+            for r, ids in zip(rows[~left].tolist(), symbols[~left].tolist()):
+                ids = ids[:sizes[r]]
+                if max(ids, default=0) >= self.size:
+                    ids = self._spelled([chr(s - self.chars) if s >= self.chars else s for s in ids])
+                done[r] = ids
+            if not left.all():
+                rows, first, symbols, rank = rows[left], first[left], symbols[left], rank[left]
+                at = np.arange(len(rows))
+            if not len(rows):
+                break
+            sizes[rows] -= 1
+            symbols[at, first] = self.made[np.searchsorted(self.pairs, symbols[at, first] * self.width + symbols[at, first + 1])]
+            kept = np.ones(symbols.shape, bool)  # what stands behind the pair moves up by one place
+            kept[at, first + 1] = False
+            symbols = symbols[kept].reshape(len(rows), width - 1)
+            kept = kept[:, 1:]
+            rank = rank[kept].reshape(len(rows), width - 2)
+            for beside in (first - 1, first):
+                some = np.flatnonzero((beside >= 0) & (beside < width - 2))
+                x = beside[some]
+                rank[some, x] = self._ranks(symbols[some, x], symbols[some, x + 1])
+        return done
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places of pairs of symbols in the order of scores."""
+        keys = a * self.width + b
+        place = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[place] == keys, self.ranks[place], NONE)
+
     def _long(self, symbols: list) -> list:
         rank, merged, n = self.rank.get, self.merged, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -122,7 +198,7 @@ class Encoder:
             self.kept.clear()
         kept, split = self.kept, [self.words(t) for t in self.library.normalize(texts)]
         new = list({w for words in split for w in words if w not in kept})
-        own = [self.merge(w) for w in new]
+        own = self.merge_all(new)
         # The library puts a space in front of what it gets unless that is empty; every word begins with one.
         theirs = self.library.encode([w[1:] for w in new], num_threads=1)
         wrong = {w for w, a, b in zip(new, own, theirs) if a != b and w != SPACE}

@@ -66,3 +66,19 @@ def test_other_vocabularies_are_refused(tmp_path):
     (tmp_path / "unigram.model").write_bytes(model.SerializeToString())
     with pytest.raises(ValueError):
         pieces.Encoder(str(tmp_path / "unigram.model"))
+
+
+def test_words_together_and_one_by_one(library, monkeypatch):
+    """Many short words are merged in tables without a call a word, with the ids of one word at a time."""
+    random.seed(11)
+    words = list({"▁" + "".join(random.choices("▁abeinrst'.\x00éñ世\U0001f642\U0010ffff", k=random.randint(0, 40))) for _ in range(3000)})
+    own = pieces.Encoder(pieces.default_path())
+    want = [own.merge(w) for w in words]
+    assert own.merge_all(words) == want
+    monkeypatch.setattr(pieces, "TABLE", 7)
+    assert own.merge_all(words) == want
+    alone = []
+    monkeypatch.setattr(own, "merge", lambda w: alone.append(w) or [])
+    own.merge_all(words)
+    assert alone and all(len(w) > pieces.SHORT for w in alone)
+    assert own.merge_all([]) == []
