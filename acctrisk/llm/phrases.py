@@ -17,6 +17,8 @@ from acctrisk.llm.words import BASE, WEIGHTS, mixed, unmixed
 
 #: Words of the longest phrase. Hashes that a task adds up, and phrases, before it gives them away.
 LONGEST, HELD_HASHES, HELD_PHRASES = 5, 1 << 20, 1 << 19
+#: Bytes of words, their hashes and counts that a task adds up before it gives them away.
+HELD_BYTES = 1 << 26
 #: Words of the longest phrases that are counted by hash first.
 FILTERED = LONGEST
 #: Rows of a prefix range, rows that a range is chosen by, and most ranges. More rows make longer ranges.
@@ -40,8 +42,8 @@ class Words:
         row = np.searchsorted(offsets, self.starts, "right") - 1
         self.names, lang = np.unique(np.array(langs, object), return_inverse=True)
         self.lang = lang[row]
-        seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in self.names], np.uint64)
-        self.hashes = mixed(runs.hashes(data, self.starts, self.ends) ^ seeds[self.lang])
+        self.seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in self.names], np.uint64)
+        self.hashes = mixed(runs.hashes(data, self.starts, self.ends) ^ self.seeds[self.lang])
         piece = np.cumsum(_ENDS[data])[self.starts] + row if len(row) else row
         #: Whether a word and the next one stand in the same piece.
         self.joined = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
@@ -81,12 +83,8 @@ class _Sums:
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, found: np.ndarray, before: np.ndarray | None = None):
-        if before is None:
-            keys, counts = np.unique(found, return_counts=True)
-            self.parts.append((keys, np.zeros(len(keys), np.uint64), counts))
-        else:
-            self.parts.append(_run_sums(found, before, np.ones(len(found), np.int64)))
+    def add(self, found: np.ndarray, before: np.ndarray):
+        self.parts.append(_run_sums(found, before, np.ones(len(found), np.int64)))
         self.size += len(self.parts[-1][0])
         if self.size > 4 * HELD_HASHES:
             self.merge()
@@ -102,8 +100,50 @@ class _Sums:
             self.merge()
         keys, before, counts = self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(before.view(np.int64)),
-                                           pa.array(counts)], names=["lang", "h", "p", "n"])
+        order = np.argsort(before)  # rows of one beginning together take less room when they are compressed
+        return pa.RecordBatch.from_arrays([pa.array(x[order].view(np.int64)) for x in (keys, before, counts)], names=["h", "p", "n"])
+
+
+class _Texts:
+    """Counts of words as text with their hashes, given away when there are many words or bytes."""
+
+    def __init__(self):
+        self.langs: dict[str, int] = {}
+        self.parts: list[pa.Table] = []  # columns ``lang``, a number, ``word``, ``h`` and ``n``
+        self.size = self.bytes = 0
+
+    def add(self, words: Words):
+        coded = runs.strings(words.data, words.starts, words.ends).dictionary_encode()
+        texts = coded.dictionary
+        place, first, n = np.unique(words.lang * max(len(texts), 1) + coded.indices.to_numpy(), return_index=True, return_counts=True)
+        lang, text = np.divmod(place, max(len(texts), 1))
+        langs = np.array([self.langs.setdefault(x, len(self.langs)) for x in words.names.tolist()], np.int64)
+        self._hold(pa.table({"lang": langs[lang], "word": texts.take(pa.array(text)), "h": words.hashes[first].view(np.int64), "n": n}))
+        if self.size > 2 * HELD_HASHES or self.bytes > 2 * HELD_BYTES:
+            self.merge()
+            if self.size > HELD_HASHES or self.bytes > HELD_BYTES:
+                yield self.give()
+
+    def _hold(self, part: pa.Table):
+        self.parts.append(part)
+        self.size += part.num_rows
+        self.bytes += part.nbytes
+
+    def merge(self):
+        rows = pa.concat_tables(self.parts).group_by(["lang", "word"], use_threads=False).aggregate([("h", "min"), ("n", "sum")])
+        self.parts, self.size, self.bytes = [], 0, 0
+        self._hold(rows.select(["lang", "word", "h_min", "n_sum"]).rename_columns(["lang", "word", "h", "n"]))
+
+    def give(self) -> pa.RecordBatch:
+        schema = pa.schema({"lang": pa.string(), "h": pa.int64(), "word": pa.string(), "n": pa.int64()})
+        if not self.parts:
+            return pa.RecordBatch.from_pylist([], schema)
+        self.merge()
+        rows = self.parts[0].combine_chunks()
+        lang, word, h, n = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns]
+        names = pa.array(list(self.langs), pa.string())
+        self.__init__()
+        return pa.RecordBatch.from_arrays([names.take(lang), h, word.cast(pa.string()), n], schema=schema)
 
 
 def _run_sums(keys: np.ndarray, before: np.ndarray, counts: np.ndarray) -> tuple:
@@ -116,30 +156,43 @@ def _run_sums(keys: np.ndarray, before: np.ndarray, counts: np.ndarray) -> tuple
     return keys[first], before[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-def _frequent(counts: DataFrame, least: int, kind: str) -> tuple[DataFrame, np.ndarray]:
-    """All hashes with at least ``least`` occurrences, and a set of bits that holds them and few others.
+def _bits(found: DataFrame) -> np.ndarray:
+    """A set of bits that holds the hashes of ``found`` and few others."""
+    bits = min(max((64 * found.count()).bit_length(), 20), 27)  # 16 MB at most; fuller sets let more through
+    return np.frombuffer(bitset(found, "h", bits), np.uint64)
+
+
+def frequent_grams(counts: DataFrame, least: int) -> DataFrame:
+    """All hashes with at least ``least`` occurrences: ``h``, ``n``, and the least (``p``) and largest (``q``) hash of the words before the last."""
+    sums = counts.repartition("h").groupBy("h").agg(F.sum("n").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"))
+    return stored(sums.where(F.col("n") >= least), "frequent")
+
+
+def frequent_words(counts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """All hashes of words with at least ``least`` occurrences, and the number of words (``n``) of each ``lang``.
 
-    Columns: ``h``, ``n``, and the least (``p``) and largest (``q``) hash of the words before the last.
+    Columns of the hashes: ``h``, ``n``, ``texts``, the number of words that share it, and ``lang`` and ``word`` of one of them.
     """
-    sums = counts.where("h is not null").repartition("h").groupBy("h").agg(F.sum("n").alias("n"), F.min("p").alias("p"), F.max("p").alias("q"))
-    found = stored(sums.where(F.col("n") >= least), kind)
-    bits = min(max((64 * found.count()).bit_length(), 20), 27)  # 16 MB at most; fuller sets let more through
-    return found, np.frombuffer(bitset(found, "h", bits), np.uint64)
+    sums = counts.repartition("h").groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
+    whole = F.when(F.col("word").isNull(), F.col("lang")).alias("whole")
+    each = sums.groupBy("h", whole).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("lang").alias("lang"), F.min("word").alias("word"))
+    found = stored(each.where((F.col("n") >= least) | F.col("whole").isNotNull()), "frequent")
+    return found.where("whole is null").drop("whole"), found.where("whole is not null").select("lang", "n")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Counts of hashed words (``h``, ``n``) and, without a hash, of all words of a language (``lang``, ``n``)."""
+    """``lang``, ``h``, ``word`` and ``n``: counts of a task's words, with their hashes, and without a word those of a whole language."""
     def count(batches):
-        sums, totals = _Sums(), {}
+        sums, totals = _Texts(), {}
         for words in _slices(batches):
-            yield from sums.add(words.hashes)
-            for name, n in zip(words.names, np.bincount(words.lang, minlength=len(words.names)).tolist()):
-                totals[name] = totals.get(name, 0) + n
+            yield from sums.add(words)
+            for name, seed, n in zip(words.names, words.seeds.view(np.int64).tolist(), np.bincount(words.lang, minlength=len(words.names)).tolist()):
+                totals[name, seed] = totals.get((name, seed), 0) + n
         yield sums.give()
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()), pa.nulls(len(totals), pa.int64()),
-                                          pa.array(list(totals.values()), pa.int64())], names=["lang", "h", "p", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in totals], pa.string()), pa.array([h for _, h in totals], pa.int64()),
+                                          pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "h", "word", "n"])
 
-    return docs.mapInArrow(count, "lang string, h long, p long, n long")
+    return docs.mapInArrow(count, "lang string, h long, word string, n long")
 
 
 def gram_counts(docs: DataFrame, filters: list, size: int) -> DataFrame:
@@ -154,38 +207,7 @@ def gram_counts(docs: DataFrame, filters: list, size: int) -> DataFrame:
             yield from sums.add(words.grams(at, size), words.grams(at, size - 1) if size > 2 else words.hashes[at])
         yield sums.give()
 
-    return docs.mapInArrow(count, "lang string, h long, p long, n long")
-
-
-def word_texts(docs: DataFrame, filters: list) -> DataFrame:
-    """``h``, ``lang`` and ``word``: all words whose hash may be frequent, for each task that has them."""
-    def name(batches):
-        seen, own = {}, [f.value for f in filters]
-        for words in _slices(batches):
-            at = np.flatnonzero(words.possible(own, 1))
-            if not len(at):
-                continue
-            coded = runs.strings(words.data, words.starts[at], words.ends[at]).dictionary_encode()
-            place = words.lang[at] * len(coded.dictionary) + coded.indices.to_numpy()
-            some = np.full(len(words.names) * len(coded.dictionary), -1)
-            some[place] = words.hashes[at].view(np.int64)
-            there = np.zeros(len(some), bool)
-            there[place] = True
-            texts, langs = coded.dictionary.to_pylist(), words.names.tolist()
-            for i, h in zip(np.flatnonzero(there).tolist(), some[there].tolist()):
-                seen[langs[i // len(texts)], texts[i % len(texts)]] = h
-            if len(seen) > 2 * HELD_PHRASES:
-                yield _named(seen)
-                seen = {}
-        yield _named(seen)
-
-    return docs.mapInArrow(name, "h long, lang string, word string")
-
-
-def _named(seen: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array(list(seen.values()), pa.int64()), pa.array([x for x, _ in seen], pa.string()),
-        pa.array([w for _, w in seen], pa.string())], names=["h", "lang", "word"])
+    return docs.mapInArrow(count, "h long, p long, n long")
 
 
 def last_words(found: DataFrame, size: int) -> DataFrame:
@@ -202,15 +224,14 @@ def last_words(found: DataFrame, size: int) -> DataFrame:
     return found.select("h", "p", "n").mapInArrow(part, "h long, p long, n long, last long")
 
 
-def level_phrases(levels: list[DataFrame], texts: DataFrame) -> DataFrame:
+def level_phrases(levels: list[DataFrame]) -> DataFrame:
     """``lang``, ``words`` and ``n``: each frequent phrase once, ``n`` times without a frequent word behind that lengthens it.
 
     A phrase is the one of all but its last word, by the hash ``p``, and its last word: two joins a level.
     """
-    named = texts.join(levels[0].select("h", "n"), "h")
-    rows = stored(named.select("h", "lang", F.array("word").alias("words"), "n"), "phrases")
+    rows = levels[0].select("h", "lang", F.array("word").alias("words"), "n")
     parts = []
-    ends = texts.select(F.col("h").alias("last"), "word")
+    ends = levels[0].select(F.col("h").alias("last"), "word")
     for size, found in enumerate([*levels[1:], None], 2):
         if found is None:
             parts.append(rows.select("lang", "words", "n"))
@@ -224,14 +245,13 @@ def level_phrases(levels: list[DataFrame], texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts).sortWithinPartitions("lang", "words")
 
 
-def one_phrase_each(levels: list[DataFrame], texts: DataFrame) -> bool:
+def one_phrase_each(levels: list[DataFrame]) -> bool:
     """Whether no two words or phrases share the hash of a frequent one.
 
-    Hashes of words are held against their texts, and a phrase of frequent hash must have the same words
-    before its last one wherever it stands, by a hash that was checked before.
+    Words were counted as text, so that those of one hash are known, and a phrase of frequent hash must have
+    the same words before its last one wherever it stands, by a hash that was checked before.
     """
-    twice = texts.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    return all(x.isEmpty() for x in (twice.join(levels[0], "h"), *[f.where("p <> q") for f in levels[1:]]))
+    return all(x.isEmpty() for x in (levels[0].where("texts > 1"), *[f.where("p <> q") for f in levels[1:]]))
 
 
 def shard_phrases(docs: DataFrame, filters: list) -> DataFrame:
@@ -416,8 +436,8 @@ def part_counts(counts: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
     """The ``top`` phrases of each language by score: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 
-    Phrases have two to five words of one piece and occur at least ``least`` times. Words and
-    phrases are counted by hash, level by level, each with the hash of the words before its last one. Where that
+    Phrases have two to five words of one piece and occur at least ``least`` times. Words are counted as text,
+    phrases by hash, level by level, each with the hash of the words before its last one. Where that
     shows that a frequent hash has one phrase only, the phrases are put together from it; where two share a
     hash, all that may be frequent is counted as text. Phrases inside a longer one with the same count go.
 
@@ -427,15 +447,12 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    words = stored(word_counts(rows), "words")
-    totals = words.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    levels, filters = [], []
-    for size in range(1, FILTERED + 1):
-        found, bits = _frequent(gram_counts(rows, filters, size) if filters else words, least, "frequent")
-        levels.append(found)
-        filters.append(spark.sparkContext.broadcast(bits))
-    texts = stored(word_texts(rows, filters[:1]).distinct(), "texts")
-    shards = level_phrases(levels, texts) if one_phrase_each(levels, texts) else shard_phrases(rows, filters)
+    found, totals = frequent_words(word_counts(rows), least)
+    levels, filters = [found], [spark.sparkContext.broadcast(_bits(found))]
+    for size in range(2, FILTERED + 1):
+        levels.append(frequent_grams(gram_counts(rows, filters, size), least))
+        filters.append(spark.sparkContext.broadcast(_bits(levels[-1])))
+    shards = level_phrases(levels) if one_phrase_each(levels) else shard_phrases(rows, filters)
     counts = stored(united_counts(stored(shards, "shards"), least), "counts")
     ahead = part_counts(counts).select("lang", "words", F.col("along").alias("ls"), F.lit(None).cast("array<long>").alias("rs"), "same")
     turned = part_counts(counts.withColumn("words", F.reverse("words")))

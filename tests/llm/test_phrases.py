@@ -104,6 +104,44 @@ def test_shard_rows_do_not_grow_with_the_tasks(spark, monkeypatch):
     assert taken[0] == taken[1]
 
 
+def test_rows_of_words_grow_with_the_input(spark, monkeypatch):
+    """Five times the texts and tasks, by which all words become frequent, give five times the rows with words."""
+    taken = []
+    frame = type(spark.range(1))
+    whole = frame.mapInArrow
+
+    def counted(own, function, schema, *args, **named):
+        out = whole(own, function, schema, *args, **named)
+        if "word string" in schema:
+            taken.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    rows = [(" ".join(f"w{(3 * i + j) % 97} the" for j in range(97)), "en") for i in range(20)]
+    sums = []
+    for copies, tasks in ((1, 2), (5, 10)):
+        docs = spark.createDataFrame([r for r in rows for _ in range(copies)], "text string, lang string")
+        taken.clear()
+        got = sorted(tuple(r) for r in phrases.collocations(docs.repartition(tasks), 60).collect())
+        assert got == brute(rows * copies, 60, 2000)
+        sums.append(sum(taken))
+    assert 0 < sums[1] <= 5 * sums[0]
+
+
+def test_words_are_counted_as_text_where_little_is_held(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "HELD_BYTES", 2000)
+    random.seed(6)
+    rows = [("A b. " * random.randint(0, 3) + "z" * random.randint(0, 300) + " Été", random.choice(["en", "und", None])) for _ in range(300)]
+    counts = phrases.word_counts(spark.createDataFrame([(t, g or "und") for t, g in rows], "text string, lang string").repartition(3))
+    got = Counter()
+    for r in counts.collect():
+        got[r.lang, r.word] += r.n
+    want = Counter((g or "und", w) for t, g in rows for w in re.findall(r"[^\x20\x09.]+", t.translate(LOWER)))
+    want += Counter({(lang, None): sum(n for (x, _), n in want.items() if x == lang) for lang in ("en", "und")})
+    assert got == want
+    assert found(spark, rows, 5) == brute(rows, 5, 2000)
+
+
 @pytest.mark.parametrize("weak", ["words", "phrases"])
 def test_shared_hashes(spark, monkeypatch, weak):
     """Words or phrases that share a hash, frequent ones among them, are told apart by their texts."""
