@@ -121,8 +121,9 @@ def oof_nb(spark, sf_dir):
     return rounded(stacking.out_of_fold(rows, bayes.gaussian(BAYES), 10), "score", digits=6)
 
 
-NEAR = ("mean_payment", "max_balance", "count_num_cmp", "TotalBalanceOL_perc_max")
-_MOMENTS = ", ".join(f"avg({p}) AS m_{p}, stddev_samp({p}) AS s_{p}" for p in NEAR)
+NEAR = FULL24
+#: As in ``knn.moments_of``, a predictor that does not vary is divided by one.
+_MOMENTS = ", ".join(f"avg({p}) AS m_{p}, coalesce(nullif(stddev_samp({p}), 0), 1) AS s_{p}" for p in NEAR)
 _POINT = ", ".join(f"round(({p} - m_{p}) / s_{p}, 6) AS {p}" for p in NEAR)
 _SQUARED = " + ".join(f"(a.{p} - b.{p}) * (a.{p} - b.{p})" for p in NEAR)
 _KS = (2, 4, 8, 16)
