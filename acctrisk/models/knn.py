@@ -5,8 +5,10 @@ the triangle inequality, how far a row's k-th neighbour can be and which cells c
 nearer one, so a row visits only those cells. A first search near the own pivot gives each row a
 distance within which its neighbours lie; the second goes to all parts that can hold a nearer point.
 Cells are split or packed into parts of bounded size, rows into blocks, before they meet, and a
-part returns only what lies within that distance. Products of matrices say which points can be near;
-their distances are then computed coordinate by coordinate.
+part returns only what lies within that distance. Within a part, leaves with boxes along the main
+axes say which points a row is held against, so that a row that visits a part does not meet all of it.
+Products of matrices say which points can be near; their distances are then computed coordinate by
+coordinate.
 
 Equal points are merged first, with their counts, so that copies cost nothing. All rows at
 the distance of the k-th neighbour count as neighbours.
@@ -26,6 +28,8 @@ from acctrisk.sources.schemas import KEY, LABEL
 
 #: Points of a part and rows of a block; rows that are held against pivots at a time; distances held at a time.
 BLOCK, ROWS, DISTANCES = 40_000, 1_000, 4_000_000
+#: Points of a leaf of a part; leaves are made when there is more than one row for so many points; share of the variance left out of boxes.
+LEAF, FEW, LEAST = 256, 100, 0.05
 #: Room for rounding: of bounds, and of squared distances from products of matrices.
 SLACK, PRODUCT_SLACK = 1e-9, 1e-12
 
@@ -140,26 +144,88 @@ def _near_order(pivots: np.ndarray, own: np.ndarray) -> list[int]:
     return _near_order(pivots, own[:half]) + _near_order(pivots, own[half:])
 
 
+def _leaves(points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves of at most ``size`` points: an order of the points, where each leaf starts in it, axes, and the box of each leaf along them.
+
+    The axes are the main ones of the points' covariance: halves along them leave small boxes although predictors are correlated.
+    """
+    spread, axes = np.atleast_2d(np.cov(points.T)), np.eye(points.shape[1])
+    if np.isfinite(spread).all():
+        held, axes = np.linalg.eigh(spread)
+        axes = axes[:, held.cumsum() > LEAST * held.sum()]
+    turned, leaves, open_ = points @ axes, [], [np.arange(len(points))]
+    while open_:
+        own = open_.pop()
+        if len(own) <= size:
+            leaves.append(own)
+            continue
+        half, widest = len(own) // 2, turned[own].var(axis=0).argmax()
+        own = own[np.argpartition(turned[own, widest], half)]
+        open_ += [own[:half], own[half:]]
+    starts = np.cumsum([0] + [len(own) for own in leaves])
+    low, high = (np.array([side(turned[own], axis=0) for own in leaves]) for side in (np.min, np.max))
+    return np.concatenate(leaves), starts, axes, low, high
+
+
+def _box_distances(turned: np.ndarray, room: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """At least how far, squared, each row is from every point of each box."""
+    total = np.zeros((len(turned), len(low)))
+    for a in range(0, len(turned), ROWS):  # small arrays stay in the processor's cache
+        some = total[a:a + ROWS]
+        below, above = np.empty_like(some), np.empty_like(some)
+        for j in range(turned.shape[1]):
+            x = turned[a:a + ROWS, j][:, None]
+            np.subtract(low[:, j] - room, x, out=below)
+            np.subtract(x, high[:, j] + room, out=above)
+            np.maximum(below, above, out=below)
+            np.maximum(below, 0.0, out=below)
+            below *= below
+            some += below
+    return total
+
+
 def _search(asked: np.ndarray, limit: np.ndarray, points: np.ndarray, n: np.ndarray, pos: np.ndarray, most: int) -> pd.DataFrame:
-    """Of each asked row the nearest points until ``most`` rows are counted, as far as they lie within its limit."""
-    k, parts = min(most, len(points)) - 1, []
+    """Of each asked row the nearest points until ``most`` rows are counted, as far as they lie within its limit.
+
+    Enough rows share leaves of the points: a row is held only against those whose boxes reach within its limit.
+    """
+    k, size, width, parts = min(most, len(points)) - 1, max(LEAF, 2 * most), points.shape[1], []
+    if len(points) > size and len(asked) * FEW > len(points):
+        order, starts, axes, low, high = _leaves(points, size)
+        points, n, pos = points[order], n[order], pos[order]
+    else:
+        starts, axes = np.array([0, len(points)]), np.eye(width)
+        low, high = np.full((1, width), -np.inf), np.full((1, width), np.inf)
     lengths = (points * points).sum(axis=1)
     right = np.column_stack([-2 * points, lengths]).T
-    step = max(1, DISTANCES // len(points))
+    step = max(1, DISTANCES // max(np.diff(starts).max(), len(low)))
     for start in range(0, len(asked), step):
         some, within = asked[start:start + step], limit[start:start + step].copy()
         own = (some * some).sum(axis=1)
-        slack = PRODUCT_SLACK * (np.sqrt(own) + np.sqrt(lengths.max())) ** 2
-        about = np.column_stack([some, np.ones(len(some))]) @ right
-        free = np.flatnonzero(~np.isfinite(within))
-        if len(free):
-            within[free] = np.partition(about[free], k, axis=1)[:, k] + own[free] + slack[free]
-        row, col = np.nonzero(about <= (within + slack - own)[:, None])
+        largest = np.sqrt(own) + np.sqrt(lengths.max())
+        slack, left = PRODUCT_SLACK * largest ** 2, np.column_stack([some, np.ones(len(some))])
+        least = _box_distances(some @ axes, PRODUCT_SLACK * np.nanmax(largest, initial=0.0), low, high)
+        free, home = ~np.isfinite(within), least.argmin(axis=1)
+        for leaf in np.unique(home[free]):
+            held = np.flatnonzero(free & (home == leaf))
+            about = left[held] @ right[:, starts[leaf]:starts[leaf + 1]]
+            within[held] = np.partition(about, k, axis=1)[:, k] + own[held] + slack[held]
+        visits, found = least <= (within + slack)[:, None], []
+        for leaf in np.flatnonzero(visits.any(axis=0)):
+            held = np.flatnonzero(visits[:, leaf])
+            about = left[held] @ right[:, starts[leaf]:starts[leaf + 1]]
+            row, col = np.nonzero(about <= (within + slack - own)[held][:, None])
+            found.append((held[row], col + starts[leaf]))
+        if not found:
+            continue
+        row, col = (np.concatenate(a) for a in zip(*found))
         squared = np.zeros(len(row))
-        for j in range(points.shape[1]):
+        for j in range(width):
             away = some[row, j] - points[col, j]
             squared += away * away
         parts.append(pd.DataFrame({"row": row + start, "squared": squared, "n": n[col], "pos": pos[col]}))
+    if not parts:
+        return pd.DataFrame({"row": np.zeros(0, "int64"), "squared": np.zeros(0), "n": n[:0], "pos": pos[:0]})
     near = pd.concat(parts).groupby(["row", "squared"], as_index=False).sum()
     return near[near.groupby("row")["n"].cumsum() - near["n"] < most]
 

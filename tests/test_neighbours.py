@@ -87,3 +87,26 @@ def test_query_agrees_with_sql_where_a_predictor_does_not_vary(spark, accounts):
     for name in tables:
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
     assert oracle.compare(spark, db, "knn_exact", folder) == ""
+
+
+@pytest.mark.parametrize("width,most", [(24, 17), (2, 17), (1, 5), (3, 300)])
+def test_leaves_keep_every_near_point(width, most):
+    random = np.random.default_rng(9)
+    mixed = random.normal(size=(width, width))
+    points = random.permutation(np.unique((random.normal(size=(3000, width)) @ mixed).round(1), axis=0))
+    asked = np.concatenate([(random.normal(size=(100, width)) @ mixed).round(1), points[:20], np.full((1, width), np.nan)])
+    n = random.integers(1, 4, len(points))
+    limit = np.where(np.arange(len(asked)) % 3 == 0, np.inf, 0.5 * width)
+    got = knn._search(asked, limit, points, n, n, most).set_index(["row", "squared"])["n"].to_dict()
+    for i, q in enumerate(asked[:-1]):
+        squared, seen = knn.squared_distances(q[None, :], points)[0], 0
+        for d in np.unique(squared[squared <= limit[i]]):
+            if seen >= most:
+                break
+            assert got[i, d] == n[squared == d].sum()
+            seen += got[i, d]
+    order, starts, axes, low, high = knn._leaves(points, 256)
+    assert sorted(order) == [*range(len(points))] and np.diff(starts).max() <= 256
+    away = knn._box_distances(asked[:120] @ axes, 0.0, low, high)
+    for a, b, least in zip(starts, starts[1:], away.T):
+        assert (least <= knn.squared_distances(asked[:120], points[order[a:b]]).min(axis=1) + 1e-9).all()
